@@ -1,15 +1,16 @@
 """Random draws computed from keys.
 
-A draw depends only on (seed, salt, key columns), never on partitioning, task order or
-retries, so a lost executor cannot change a row that was already written.
+A draw depends only on (seed, salt, key), never on partitioning, task order or retries, so a
+lost executor cannot change a row that was already written.
 
 Draws per row start from an MD5 digest. Draws per list position are mixed from one such row draw
-by whole-number arithmetic, several times cheaper than a digest per position.
+by whole-number arithmetic, several times cheaper than a digest per position. The expressions
+are given to Spark as SQL text; `key` and `items` are column names or SQL expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,75 +20,69 @@ PRIME = 2**31 - 1
 STEP = 506952113
 
 
-def draw_key(seed: int, salt: str, *keys: Column) -> Column:
-    return F.concat_ws(
-        "|", F.lit(str(seed)), F.lit(salt), *[key.cast("string") for key in keys]
-    )
+def digest_sql(seed: int, salt: str, *keys: str) -> str:
+    texts = "".join(f", cast({key} as string)" for key in keys)
+    return f"md5(concat_ws('|', '{seed}', '{salt}'{texts}))"
 
 
-def hash32(seed: int, salt: str, *keys: Column) -> Column:
-    """A draw from 0 .. 2^32-1 as bigint."""
-    digest = F.md5(draw_key(seed, salt, *keys))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+def _hash32_sql(seed: int, salt: str, key: str) -> str:
+    return f"cast(conv(substring({digest_sql(seed, salt, key)}, 1, 8), 16, 10) as bigint)"
 
 
-def uniform(seed: int, salt: str, *keys: Column) -> Column:
-    """A draw from [0, 1)."""
-    return hash32(seed, salt, *keys) / F.lit(float(2**32))
+def _uniform_sql(seed: int, salt: str, key: str) -> str:
+    return f"({_hash32_sql(seed, salt, key)} / {float(2**32)}D)"
 
 
-def spread(row_draw: Column, pos: Column) -> Column:
-    """A number from 0 .. PRIME-1 per list position, to be mixed by `mix`."""
-    return (row_draw + pos.cast("bigint") * F.lit(STEP)) % F.lit(PRIME)
+def hash32(seed: int, salt: str, key: str = "id") -> Column:
+    """A draw from 0 .. 2^32-1 as bigint."""
+    return F.expr(_hash32_sql(seed, salt, key))
 
 
-def mix(x: Column) -> Column:
-    """x^5 modulo PRIME: positions of one row never collide."""
-    power = x
-    for _ in range(4):
-        power = power * x % F.lit(PRIME)
-    return power
+def uniform(seed: int, salt: str, key: str = "id") -> Column:
+    """A draw from [0, 1)."""
+    return F.expr(_uniform_sql(seed, salt, key))
 
 
-def positional(items: Column, row_draw: Column) -> Column:
-    """Array of struct (k, item): each item with a draw from 0 .. PRIME-1."""
-    spaced = bound(
-        row_draw,
-        lambda draw: F.transform(
-            items, lambda item, pos: F.struct(spread(draw, pos).alias("k"), item.alias("item"))
-        ),
-    )
-    return F.transform(
-        spaced, lambda s: F.struct(mix(s["k"]).alias("k"), s["item"].alias("item"))
-    )
+def random_index(seed: int, salt: str, bound: str, key: str = "id") -> Column:
+    """A whole number from 0 .. bound-1."""
+    return F.expr(f"cast(floor({_uniform_sql(seed, salt, key)} * {bound}) as int)")
 
 
-def random_index(u: Column, n: Column) -> Column:
-    """A whole number from 0 .. n-1, given a uniform draw."""
-    return F.floor(u * n).cast("int")
+def choose(
+    seed: int, salt: str, weighted: Sequence[tuple[str | float, float]], key: str = "id"
+) -> Column:
+    """The value whose share of [0, 1) the draw falls into, in the given order."""
 
+    def literal(value: str | float) -> str:
+        return f"'{value}'" if isinstance(value, str) else f"{float(value)!r}D"
 
-def choose(u: Column, weighted: Sequence[tuple[object, float]]) -> Column:
-    """The value whose share of [0, 1) the draw falls into, in the given order."""
+    u = _uniform_sql(seed, salt, key)
     total = sum(weight for _, weight in weighted)
-    reached = 0.0
-    picked = None
+    reached, cases = 0.0, ""
     for value, weight in weighted[:-1]:
         reached += weight
-        hit = u < F.lit(reached / total)
-        picked = F.when(hit, F.lit(value)) if picked is None else picked.when(hit, F.lit(value))
-    last = F.lit(weighted[-1][0])
-    return last if picked is None else picked.otherwise(last)
+        cases += f" when {u} < {reached / total!r}D then {literal(value)}"
+    last = literal(weighted[-1][0])
+    return F.expr(f"case{cases} else {last} end" if cases else last)
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with the value computed once.
+def positional_sql(items: str, seed: int, salt: str, key: str = "id") -> str:
+    """Array of struct (k, item): each item with a draw k from 0 .. PRIME-1.
 
-    Spark inlines a column that is used once, even if that one use is in a lambda run per item.
+    Positions of one row never collide: spacing the row's draw by position, then raising it to
+    the fifth power, are both one-to-one. The row draw is held in a one-item array, or Spark
+    would compute it again for every position.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    power = "s.k"
+    for _ in range(4):
+        power = f"{power} * s.k % {PRIME}"
+    spaced = (
+        f"transform(array({_hash32_sql(seed, salt, key)}), d -> transform({items}, (x, i) -> "
+        f"named_struct('k', (d + i * {STEP}L) % {PRIME}, 'item', x)))[0]"
+    )
+    return f"transform({spaced}, s -> named_struct('k', {power}, 'item', s.item))"
 
 
-def shuffled(items: Column, row_draw: Column) -> Column:
+def shuffled(items: str, seed: int, salt: str, key: str = "id") -> Column:
     """The items sorted by the draw of their position."""
-    return F.transform(F.array_sort(positional(items, row_draw)), lambda s: s["item"])
+    return F.expr(f"transform(array_sort({positional_sql(items, seed, salt, key)}), s -> s.item)")

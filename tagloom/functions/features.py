@@ -1,4 +1,7 @@
-"""Tokens that describe a post: aspect ratio, length, rating."""
+"""Tokens that describe a post: aspect ratio, length, rating.
+
+Arguments are column names or SQL expressions.
+"""
 
 from __future__ import annotations
 
@@ -9,46 +12,40 @@ from tagloom.constants import COARSE_RATING, EXACT_RATING, LENGTH_BOUNDS, LENGTH
 from tagloom.functions.draws import uniform
 
 
-def aspect_ratio_token(width: Column, height: Column) -> Column:
+def aspect_ratio_token(width: str = "image_width", height: str = "image_height") -> Column:
     """Class of width / height; null where the height is zero."""
-    ratio = F.try_divide(width.cast("double"), height.cast("double"))
-    return (
-        F.when(ratio.isNull(), F.lit(None).cast("string"))
-        .when(ratio <= F.lit(1 / 2), "<|aspect_ratio:ultra_tall|>")
-        .when(ratio <= F.lit(8 / 9), "<|aspect_ratio:tall|>")
-        .when(ratio < F.lit(9 / 8), "<|aspect_ratio:square|>")
-        .when(ratio < F.lit(2.0), "<|aspect_ratio:wide|>")
-        .otherwise("<|aspect_ratio:ultra_wide|>")
+    ratio = f"try_divide(cast({width} as double), cast({height} as double))"
+    return F.expr(
+        f"""case
+        when {ratio} <= 1D / 2 then '<|aspect_ratio:ultra_tall|>'
+        when {ratio} <= 8D / 9 then '<|aspect_ratio:tall|>'
+        when {ratio} < 9D / 8 then '<|aspect_ratio:square|>'
+        when {ratio} < 2D then '<|aspect_ratio:wide|>'
+        when {ratio} >= 2D then '<|aspect_ratio:ultra_wide|>' end"""
     )
 
 
-def length_token(n_tags: Column) -> Column:
-    token = None
-    for bound, name in LENGTH_BOUNDS:
-        hit = n_tags < bound
-        token = F.when(hit, name) if token is None else token.when(hit, name)
-    return token.otherwise(LENGTH_OPEN)
+def length_token(n_tags: str) -> Column:
+    cases = " ".join(f"when {n_tags} < {bound} then '{name}'" for bound, name in LENGTH_BOUNDS)
+    return F.expr(f"case {cases} else '{LENGTH_OPEN}' end")
 
 
-def _by_rating(rating: Column, table: dict[str, str]) -> Column:
-    token = None
-    for short, name in table.items():
-        hit = rating == short
-        token = F.when(hit, name) if token is None else token.when(hit, name)
-    return token
+def _by_rating(rating: str, table: dict[str, str]) -> Column:
+    cases = " ".join(f"when '{short}' then '{name}'" for short, name in table.items())
+    return F.expr(f"case {rating} {cases} end")
 
 
-def exact_rating(rating: Column) -> Column:
+def exact_rating(rating: str = "rating") -> Column:
     """Exact rating token; null for an unknown rating."""
     return _by_rating(rating, EXACT_RATING)
 
 
-def coarse_rating(rating: Column) -> Column:
+def coarse_rating(rating: str = "rating") -> Column:
     """Safe / not safe token; null for an unknown rating."""
     return _by_rating(rating, COARSE_RATING)
 
 
-def fuzzy_rating(rating: Column, rate: float, seed: int, key: Column) -> Column:
+def fuzzy_rating(rate: float, seed: int, rating: str = "rating", key: str = "id") -> Column:
     """The coarse token with probability `rate`, else the exact one."""
-    u = uniform(seed, "fuzzy_rating", key)
-    return F.when(u < F.lit(float(rate)), coarse_rating(rating)).otherwise(exact_rating(rating))
+    fuzzy = uniform(seed, "fuzzy_rating", key) < float(rate)
+    return F.when(fuzzy, coarse_rating(rating)).otherwise(exact_rating(rating))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagloom.constants import IGNORE_LABEL, MASK_RATE, MAX_LENGTH
-from tagloom.functions.draws import PRIME, hash32, positional
+from tagloom.functions.draws import PRIME, positional_sql
 
 
 def _ignore() -> Column:
@@ -32,17 +32,17 @@ def completion_labels(ids: Column, input_end_id: int, pad_id: int) -> Column:
     from_end = F.array_position(F.reverse(ids), F.lit(input_end_id))
     end = F.when(from_end > 0, F.size(ids) - from_end).otherwise(F.size(ids))
     return F.transform(
-        ids, lambda x, i: F.when((i < end) | (x == pad_id), _ignore()).otherwise(x)
+        ids, lambda x, i: F.when((i <= end) | (x == pad_id), _ignore()).otherwise(x)
     )
 
 
 def masked_token_labels(
-    ids: Column,
+    ids: str,
     special_ids: Sequence[int],
     mask_id: int,
     vocab_size: int,
     seed: int,
-    key: Column,
+    key: str = "id",
     rate: float = MASK_RATE,
 ) -> Column:
     """Struct (input_ids, labels) for masked-token training.
@@ -51,7 +51,7 @@ def masked_token_labels(
     10 % a random id, 10 % stay. One draw per position decides all three.
     """
     special = [F.lit(i) for i in special_ids]
-    drawn = positional(ids, hash32(seed, "mask", key))
+    drawn = F.expr(positional_sql(ids, seed, "mask", key))
 
     def one(s: Column) -> Column:
         x = s["item"]

@@ -43,7 +43,7 @@ def tag_count(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case and cut at commas with any white space after them; empty pieces vanish."""
-    return F.filter(F.split(F.lower(text), TOKEN_SEPARATOR), lambda piece: piece != "")
+    return F.array_remove(F.split(F.lower(text), TOKEN_SEPARATOR), "")
 
 
 def iso_year(created_at: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.constants import ORIGINAL
-from tagloom.functions.draws import choose, hash32, random_index, shuffled, uniform
+from tagloom.functions.draws import choose, random_index, shuffled, uniform
 from tagloom.functions.features import aspect_ratio_token, fuzzy_rating, length_token
 from tagloom.functions.text import join_tags
 from tagloom.operators.organize import TagOf, plain
@@ -40,15 +40,13 @@ def shown_tags() -> Column:
 def with_common_tokens(df: DataFrame, params: ComposeParams) -> DataFrame:
     """Add length_token, rating_token and aspect_token."""
     n = F.size("people") + F.size("focus") + F.size(F.flatten(F.col("other")))
-    return df.withColumns(
+    return df.withColumn("_shown", n).withColumns(
         {
-            "length_token": length_token(n),
-            "rating_token": fuzzy_rating(
-                F.col("rating"), params.fuzzy_rating_rate, params.seed, F.col("id")
-            ),
-            "aspect_token": aspect_ratio_token(F.col("image_width"), F.col("image_height")),
+            "length_token": length_token("_shown"),
+            "rating_token": fuzzy_rating(params.fuzzy_rating_rate, params.seed),
+            "aspect_token": aspect_ratio_token(),
         }
-    )
+    ).drop("_shown")
 
 
 def names_franchise(copyright: Column, character: Column, empty_counts: bool = True) -> Column:
@@ -62,8 +60,7 @@ def names_franchise(copyright: Column, character: Column, empty_counts: bool = T
 
 
 def condition_rate(params: ComposeParams) -> Column:
-    u = uniform(params.seed, "condition_rate", F.col("id"))
-    return choose(u, params.condition_rates)
+    return choose(params.seed, "condition_rate", params.condition_rates)
 
 
 def _augmentation(params: ComposeParams) -> Column:
@@ -86,8 +83,7 @@ def recompose(
     other = F.col("other")
     single = F.size(other) == 1
     n = F.when(single, F.size(F.get(other, F.lit(0)))).otherwise(F.size(other))
-    u = uniform(params.seed, "split", F.col("id"))
-    cut = random_index(u, F.ceil(F.col("_n") * F.col("_rate")))
+    cut = random_index(params.seed, "split", "ceil(_n * _rate)")
     counted = df.withColumns({"_n": n, "_rate": rate}).withColumn("_cut", cut)
 
     def part(begin: Column, length: Column) -> Column:
@@ -120,7 +116,7 @@ def _arranged(df: DataFrame, params: ComposeParams) -> DataFrame:
     """Shuffle the condition, the copyright and the character tags; sort the completion."""
 
     def mixed(column: str) -> Column:
-        return shuffled(F.col(column), hash32(params.seed, column, F.col("id")))
+        return shuffled(column, params.seed, column)
 
     return df.withColumns(
         {
@@ -139,17 +135,15 @@ def condition_keeping_identity(df: DataFrame, params: ComposeParams) -> DataFram
 
 def condition_free(df: DataFrame, params: ComposeParams) -> DataFrame:
     """Condition drawn tag by tag; people and focus tags now and then must be completed."""
-    id_ = F.col("id")
-    mixed = shuffled(F.flatten(F.col("other")), hash32(params.seed, "other", id_))
-    u = uniform(params.seed, "split", id_)
-    share = F.col("_n") * condition_rate(params) / _augmentation(params)
-    drop = uniform(params.seed, "drop_people", id_) < F.lit(float(params.drop_people_rate))
+    mixed = shuffled("flatten(other)", params.seed, "other")
+    drop = uniform(params.seed, "drop_people") < float(params.drop_people_rate)
     lead = F.concat(F.col("people"), F.col("focus"))
     nothing = F.slice(F.col("people"), 1, 0)
     cut = (
         df.withColumn("_mixed", mixed)
-        .withColumn("_n", F.size("_mixed"))
-        .withColumns({"_cut": random_index(u, F.ceil(share)), "_drop": drop})
+        .withColumns({"_n": F.size("_mixed"), "_rate": condition_rate(params), "_drop": drop})
+        .withColumn("_share", F.col("_n") * F.col("_rate") / _augmentation(params))
+        .withColumn("_cut", random_index(params.seed, "split", "ceil(_share)"))
     )
     parts = cut.withColumns(
         {
@@ -163,7 +157,7 @@ def condition_free(df: DataFrame, params: ComposeParams) -> DataFrame:
             ),
             "composable": F.col("_n") > 0,
         }
-    ).drop("_mixed", "_n", "_cut", "_drop")
+    ).drop("_mixed", "_n", "_rate", "_share", "_cut", "_drop")
     return _arranged(parts, params)
 
 
@@ -185,8 +179,7 @@ def with_component_texts(df: DataFrame, tag_of: TagOf = plain) -> DataFrame:
     completion_text."""
 
     def text(column: str, of: TagOf) -> Column:
-        tags = F.col(column) if of is plain else F.transform(F.col(column), of)
-        return join_tags(tags)
+        return join_tags(of(F.col(column)))
 
     return df.withColumns(
         {
@@ -214,8 +207,7 @@ def components_free(df: DataFrame, params: ComposeParams, tag_of: TagOf = plain)
 
 
 def identity_level(
-    rates: Sequence[tuple[str, float]], seed: int, id_: Column | None = None
+    rates: Sequence[tuple[str, float]], seed: int
 ) -> Column:
     """How closely the completion must keep to the condition's character."""
-    key = F.col("id") if id_ is None else id_
-    return choose(uniform(seed, "identity", key), rates)
+    return choose(seed, "identity", rates)

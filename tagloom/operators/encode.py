@@ -30,19 +30,14 @@ class Encoder:
     def pad_id(self) -> int:
         return self.special[C.PAD]
 
-    def special_id(self, token: Column, among: tuple[str, ...]) -> Column:
+    def special_id(self, token: str, among: tuple[str, ...]) -> Column:
         """Id of a special token held in a column, one of a few."""
-        found = None
-        for name in among:
-            hit = token == name
-            found = F.when(hit, self.special[name]) if found is None else found.when(
-                hit, self.special[name]
-            )
-        return found
+        cases = " ".join(f"when '{name}' then {self.special[name]}" for name in among)
+        return F.expr(f"case {token} {cases} end")
 
     def mark(self, *tokens: str) -> Column:
         """Array of the ids of fixed special tokens."""
-        return F.array(*[F.lit(self.special[t]) for t in tokens])
+        return F.expr(f"array({', '.join(str(self.special[t]) for t in tokens)})")
 
     def known_ids(self, df: DataFrame, text: str, out: str) -> DataFrame:
         """Ids of a tag string in order, null for each unknown tag."""

@@ -97,21 +97,14 @@ def by_cluster(
 
     keyed = df.withColumn("_keys", F.transform(F.col("rest"), key))
     found = clusters.resolve(keyed, "_keys", "_clusters")
-    pairs = F.zip_with(
-        F.col("rest"), F.col("_clusters"), lambda t, c: F.struct(t.alias("t"), c.alias("c"))
-    )
+    ids = F.col("_clusters")
 
     def members(cluster: Column) -> Column:
-        inside = F.filter(F.col("_pairs"), lambda p: p["c"].eqNullSafe(cluster))
-        return F.transform(inside, lambda p: p["t"])
+        return F.filter(F.col("rest"), lambda _, i: F.get(ids, i).eqNullSafe(cluster))
 
-    other = F.transform(F.array_distinct(F.col("_clusters")), members)
-    lost = F.exists(F.col("_clusters"), lambda c: c.isNull())
+    other = F.transform(F.array_distinct(ids), members)
+    lost = F.exists(ids, lambda c: c.isNull())
     if level is not None:
         other = F.when(level == "none", F.array(F.col("rest"))).otherwise(other)
         lost = (level != "none") & lost
-    return (
-        found.withColumn("_pairs", pairs)
-        .withColumns({"other": other, "unclustered": lost})
-        .drop("_keys", "_clusters", "_pairs")
-    )
+    return found.withColumns({"other": other, "unclustered": lost}).drop("_keys", "_clusters")

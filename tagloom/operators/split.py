@@ -15,7 +15,7 @@ _BUCKET_BITS = 16
 
 
 def split_draw(seed: int) -> Column:
-    return hash32(seed, "split_rows", F.col("id"))
+    return hash32(seed, "split_rows")
 
 
 @dataclass(frozen=True)

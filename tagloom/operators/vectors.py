@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.draws import draw_key
+from tagloom.functions.draws import digest_sql
 
 MAX_MATRIX_BYTES = 256 * 2**20
 _ROUND = 9
@@ -161,15 +161,15 @@ def similar_tags(
     )
 
 
-def _normal(seed: int, token: Column, pos: Column) -> Column:
-    """A standard normal draw per (token, position), from two uniform ones."""
-    digest = F.md5(F.concat_ws("|", draw_key(seed, "init", token), pos.cast("string")))
+def _normals(seed: int, key: str, size: int, spread: float) -> Column:
+    """Normal draws per (key, position), each from two uniform ones of one digest."""
 
-    def u(begin: int) -> Column:
-        whole = F.conv(F.substring(digest, begin, 8), 16, 10).cast("bigint")
-        return (whole + 1) / F.lit(float(2**32))
+    def u(begin: int) -> str:
+        return f"(cast(conv(substring(d, {begin}, 8), 16, 10) as bigint) + 1) / {float(2**32)}D"
 
-    return F.sqrt(F.lit(-2.0) * F.log(u(1))) * F.cos(F.lit(2.0 * np.pi) * u(9))
+    normal = f"sqrt(-2D * ln({u(1)})) * cos({2 * np.pi!r}D * ({u(9)}))"
+    digests = f"transform(sequence(0, {size - 1}), i -> {digest_sql(seed, 'init', key, 'i')})"
+    return F.expr(f"transform({digests}, d -> cast({float(spread)!r}D * ({normal}) as float))")
 
 
 def transfer_vectors(
@@ -185,11 +185,7 @@ def transfer_vectors(
     vector of another size raises.
     """
     old = vectors.select("token", F.col("embedding").alias("_old"))
-    # Column lambdas need distinct positions, hence the sequence.
-    places = F.sequence(F.lit(0), F.lit(hidden_size - 1))
-    drawn = F.transform(
-        places, lambda i: (_normal(seed, F.col("token"), i) * initializer_range).cast("float")
-    )
+    drawn = _normals(seed, "token", hidden_size, initializer_range)
     wrong = F.raise_error(F.concat(F.lit("vector size differs for "), F.col("token")))
     kept = F.when(F.size("_old") == hidden_size, F.col("_old")).otherwise(wrong.cast("array<float>"))
     return (

@@ -31,6 +31,7 @@ from tagloom.operators.organize import (
     named,
     organize_by_group,
 )
+from tagloom.operators.select import select_where
 from tagloom.operators.split import find_cut
 
 
@@ -95,7 +96,7 @@ def known_posts(posts: DataFrame, encoder: Encoder, caps: Caps) -> DataFrame:
 
 
 def _ids(column: str) -> Column:
-    return F.transform(F.col(column), lambda t: t["token_id"])
+    return F.col(f"{column}.token_id")
 
 
 def _head_ids(encoder: Encoder) -> list[Column]:
@@ -106,9 +107,9 @@ def _head_ids(encoder: Encoder) -> list[Column]:
         F.col("_character_ids"),
         encoder.mark(C.CHARACTER_END),
         F.array(
-            encoder.special_id(F.col("rating_token"), C.RATING_TOKENS),
-            encoder.special_id(F.col("aspect_token"), C.ASPECT_RATIO_TOKENS),
-            encoder.special_id(F.col("length_token"), C.LENGTH_TOKENS),
+            encoder.special_id("rating_token", C.RATING_TOKENS),
+            encoder.special_id("aspect_token", C.ASPECT_RATIO_TOKENS),
+            encoder.special_id("length_token", C.LENGTH_TOKENS),
         ),
         encoder.mark(C.GENERAL_START),
     ]
@@ -197,14 +198,13 @@ def finetune_rows(
     grouped = organize_by_group(leveled, "tokens", groups, named)
     organized = by_cluster(grouped, clusters, named, F.col("level"))
     composed = components_keeping_identity(organized, params.compose, named)
-    ided = _with_section_ids(composed, encoder)
-    identity = F.coalesce(
-        *[F.when(F.col("level") == name, token) for name, token in C.IDENTITY_TOKEN.items()]
-    )
+    cases = " ".join(f"when '{name}' then '{t}'" for name, t in C.IDENTITY_TOKEN.items())
+    marked = composed.withColumn("identity_token", F.expr(f"case level {cases} end"))
+    ided = _with_section_ids(marked, encoder)
     ids = F.concat(
         *_head_ids(encoder),
         _ids("condition"),
-        F.array(encoder.special_id(identity, C.IDENTITY_TOKENS)),
+        F.array(encoder.special_id("identity_token", C.IDENTITY_TOKENS)),
         encoder.mark(C.INPUT_END),
         _ids("completion"),
         encoder.mark(C.GENERAL_END, C.EOS),
@@ -220,7 +220,10 @@ def finetune_rows(
     return ided.select(
         "id",
         finetune_prompt(
-            *_head_texts(), F.col("condition_text"), identity, F.col("completion_text")
+            *_head_texts(),
+            F.col("condition_text"),
+            F.col("identity_token"),
+            F.col("completion_text"),
         ).alias("text"),
         ids.alias("input_ids"),
         reason.alias("reason"),
@@ -228,25 +231,18 @@ def finetune_rows(
 
 
 def accepted(rows: DataFrame) -> DataFrame:
-    """Rows without a reason against them.
-
-    Written as zero or one row per post rather than as a filter: Spark would compute a filter's
-    condition, and all it depends on, a second time.
-    """
-    kept = F.struct("id", "text", "input_ids")
-    return rows.select(F.inline(F.when(F.col("reason").isNull(), F.array(kept)).otherwise(
-        F.array().cast("array<struct<id:bigint,text:string,input_ids:array<int>>>")
-    )))
+    """Rows without a reason against them."""
+    return select_where(rows, F.col("reason").isNull(), "id", "text", "input_ids")
 
 
 def quarantined(rows: DataFrame) -> DataFrame:
     """Failed posts and why."""
-    return rows.where(F.col("reason").isNotNull()).select("id", "reason")
+    return select_where(rows, F.col("reason").isNotNull(), "id", "reason")
 
 
 def _split(posts: DataFrame, make_rows, test_size: int, seed: int) -> DataFrame:
     def survivors(some: DataFrame) -> DataFrame:
-        return make_rows(some).where(F.col("reason").isNull()).select("id")
+        return select_where(make_rows(some), F.col("reason").isNull(), "id")
 
     cut = find_cut(posts, test_size, seed, survivors)
     return accepted(make_rows(posts)).withColumn("split", cut.column())

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.functions.draws import hash32, shuffled
+from tagloom.functions.draws import shuffled
 from tagloom.functions.text import has_text
 from tagloom.operators.clean import rename_to_text
 from tagloom.operators.encode import Encoder
+from tagloom.operators.select import select_where
 from tagloom.operators.split import find_cut
 from tagloom.operators.vectors import train_clusters
 from tagloom.sources.readers import read_cluster_map, table_exists
@@ -31,7 +32,7 @@ def vector_rows(posts: DataFrame, encoder: Encoder, params: VectorSetParams) ->
     texts = rename_to_text(posts).where(has_text(F.col("text")))
     found = encoder.known_ids(texts, "text", "found")
     known = found.select("id", F.filter("found", lambda i: i.isNotNull()).alias("known"))
-    return known.where(F.size("known") > params.longer_than)
+    return select_where(known, F.size("known") > params.longer_than, "id", "known")
 
 
 def vector_set(
@@ -44,9 +45,7 @@ def vector_set(
         params.seed,
         lambda some: vector_rows(some, encoder, params).select("id"),
     )
-    ids = F.col("known")
-    if params.shuffle:
-        ids = shuffled(ids, hash32(params.seed, "ids", F.col("id")))
+    ids = shuffled("known", params.seed, "ids") if params.shuffle else F.col("known")
     return vector_rows(posts, encoder, params).select(
         "id", ids.alias("input_ids"), cut.column().alias("split")
     )

@@ -21,6 +21,7 @@ from tagloom.functions.features import (
 from tagloom.functions.text import has_text, iso_year, split_tags, tag_count, tokenize
 from tagloom.operators import clean, compose, organize, stats, vectors
 from tagloom.operators.encode import decode, decoder, unknown_tags
+from tagloom.operators.select import select_where
 from tagloom.operators.split import train_test_split
 from tagloom.operators.vocabulary import (
     VocabularyParams,
@@ -245,24 +246,23 @@ def quality_bands(c: Corpus) -> DataFrame:
 
 @query
 def aspect_ratio_tags(c: Corpus) -> DataFrame:
-    token = aspect_ratio_token(F.col("image_width"), F.col("image_height"))
+    token = aspect_ratio_token()
     return c.posts.select("id", token.alias("aspect_token"))
 
 
 @query
 def length_tags(c: Corpus) -> DataFrame:
-    n = tag_count(F.col("general"))
-    return c.posts.select("id", n.alias("n_tags"), length_token(n).alias("length_token"))
+    counted = c.posts.select("id", tag_count(F.col("general")).alias("n_tags"))
+    return counted.withColumn("length_token", length_token("n_tags"))
 
 
 @query
 def rating_tags(c: Corpus) -> DataFrame:
-    rating = F.col("rating")
     return c.posts.select(
         "id",
-        exact_rating(rating).alias("exact"),
-        coarse_rating(rating).alias("coarse"),
-        fuzzy_rating(rating, 0.25, SEED, F.col("id")).alias("fuzzy"),
+        exact_rating().alias("exact"),
+        coarse_rating().alias("coarse"),
+        fuzzy_rating(0.25, SEED).alias("fuzzy"),
     )
 
 
@@ -370,7 +370,9 @@ def condition_rates(c: Corpus) -> DataFrame:
 
 
 def _parts(df: DataFrame) -> DataFrame:
-    return df.where("composable").select(
+    return select_where(
+        df,
+        F.col("composable"),
         "id",
         joined(F.col("condition"), organize.named).alias("condition"),
         joined(F.col("completion"), organize.named).alias("completion"),
@@ -397,7 +399,9 @@ def condition_free(c: Corpus) -> DataFrame:
 
 def _texts(df: DataFrame) -> DataFrame:
     names = ("copyright", "character", "condition", "completion")
-    return df.where("composable").select(
+    return select_where(
+        df,
+        F.col("composable"),
         "id",
         *[F.col(f"{n}_text").alias(n) for n in names],
         "rating_token",
@@ -447,7 +451,7 @@ def quarantine_sft(c: Corpus) -> DataFrame:
 @query
 def prompt_inference(c: Corpus) -> DataFrame:
     """Every post as a request, padded with blanks; even ids ask in the pretraining layout."""
-    cleaned = clean.with_general_tags(c.posts)
+    cleaned = clean.with_general_tags(c.posts).withColumn("n", tag_count(F.col("general")))
 
     def padded(column: str) -> Column:
         return F.concat(F.lit(" "), F.col(column), F.lit(" \n"))
@@ -458,9 +462,9 @@ def prompt_inference(c: Corpus) -> DataFrame:
         padded("copyright"),
         padded("character"),
         padded("general"),
-        exact_rating(F.col("rating")),
-        aspect_ratio_token(F.col("image_width"), F.col("image_height")),
-        length_token(tag_count(F.col("general"))),
+        exact_rating(),
+        aspect_ratio_token(),
+        length_token("n"),
         F.lit(C.IDENTITY_NONE),
     )
     return cleaned.select("id", prompt.alias("prompt"))
@@ -644,7 +648,7 @@ def mlm_labels(c: Corpus) -> DataFrame:
     special = sorted(c.encoder.special.values())
     size = c.vocab.count()
     both = L.masked_token_labels(
-        F.col("ids"), special, c.encoder.special[C.MASK], size, SEED, F.col("id")
+        "ids", special, c.encoder.special[C.MASK], size, SEED
     )
     return encoded.select("id", both.alias("both")).select(
         "id",
