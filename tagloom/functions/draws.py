@@ -85,4 +85,4 @@ def positional_sql(items: str, seed: int, salt: str, key: str = "id") -> str:
 
 def shuffled(items: str, seed: int, salt: str, key: str = "id") -> Column:
     """The items sorted by the draw of their position."""
-    return F.expr(f"transform(array_sort({positional_sql(items, seed, salt, key)}), s -> s.item)")
+    return F.expr(f"transform(sort_array({positional_sql(items, seed, salt, key)}), s -> s.item)")

@@ -31,9 +31,14 @@ def completion_labels(ids: Column, input_end_id: int, pad_id: int) -> Column:
     """Only ids after the last end-of-input mark count; without the mark none do."""
     from_end = F.array_position(F.reverse(ids), F.lit(input_end_id))
     end = F.when(from_end > 0, F.size(ids) - from_end).otherwise(F.size(ids))
-    return F.transform(
-        ids, lambda x, i: F.when((i <= end) | (x == pad_id), _ignore()).otherwise(x)
-    )
+
+    def labels(end: Column) -> Column:
+        return F.transform(
+            ids, lambda x, i: F.when((i <= end) | (x == pad_id), _ignore()).otherwise(x)
+        )
+
+    # Held in a one-item array, or Spark would look for the mark again at every position.
+    return F.get(F.transform(F.array(end), labels), F.lit(0))
 
 
 def masked_token_labels(

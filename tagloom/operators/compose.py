@@ -121,7 +121,7 @@ def _arranged(df: DataFrame, params: ComposeParams) -> DataFrame:
     return df.withColumns(
         {
             "condition": mixed("condition"),
-            "completion": F.array_sort("completion"),
+            "completion": F.sort_array("completion"),
             "copyright_tags": mixed("copyright_tags"),
             "character_tags": mixed("character_tags"),
         }
@@ -166,9 +166,9 @@ def plain_condition(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "condition": F.slice(F.col("people"), 1, 0),
-            "completion": F.array_sort(shown_tags()),
-            "copyright_tags": F.array_sort("copyright_tags"),
-            "character_tags": F.array_sort("character_tags"),
+            "completion": F.sort_array(shown_tags()),
+            "copyright_tags": F.sort_array("copyright_tags"),
+            "character_tags": F.sort_array("character_tags"),
             "composable": F.lit(True),
         }
     )

@@ -52,7 +52,7 @@ def train_clusters(
 def cluster_members(cluster_map: DataFrame) -> DataFrame:
     """cluster_id, tags (sorted), n."""
     return cluster_map.groupBy("cluster_id").agg(
-        F.array_sort(F.collect_list("token")).alias("tags"), F.count(F.lit(1)).alias("n")
+        F.sort_array(F.collect_list("token")).alias("tags"), F.count(F.lit(1)).alias("n")
     )
 
 
@@ -255,7 +255,7 @@ def _joined_vectors(pairs: DataFrame, ids: str, vectors: DataFrame, out: str) ->
     # The inner join to a hot id is skewed; Spark splits such partitions at run time.
     found = exploded.join(vectors.select("token_id", "embedding"), "token_id", "left")
     grouped = found.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "embedding"))).alias("_parts")
+        F.sort_array(F.collect_list(F.struct("pos", "embedding"))).alias("_parts")
     )
     nothing = F.array().cast("array<array<float>>")
     return pairs.join(grouped, "id", "left").select(

@@ -114,7 +114,7 @@ def duplicate_tokens(vocab: DataFrame) -> DataFrame:
     """Tokens listed more than once: a vocabulary with any is unusable."""
     return (
         vocab.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("kind")).alias("kinds"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("kind")).alias("kinds"))
         .where(F.col("n") > 1)
     )
 

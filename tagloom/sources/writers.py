@@ -23,7 +23,7 @@ def write_json_object(table: DataFrame, key: str, value: str, path: str) -> None
 
     Meant for vocabulary-sized tables: an object is one line, hence one task.
     """
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))
     table.agg(F.to_json(entries).alias("value")).write.mode("overwrite").text(path)
 
 

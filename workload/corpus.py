@@ -36,7 +36,7 @@ def derive_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     def sorted_text(tags: Column) -> Column:
-        return F.array_join(F.array_sort(tags), ", ")
+        return F.array_join(F.sort_array(tags), ", ")
 
     lines = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
     general = F.array(

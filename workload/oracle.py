@@ -860,11 +860,15 @@ ranked AS (
             pieces("g_pieces", "clean", "general"),
             f"""
 ids AS (SELECT id, pos, coalesce(token_id, {special_id(C.UNK)}) AS token_id FROM g_pieces),
-sums AS (SELECT vec_id, list_sum(CAST(embedding AS DOUBLE[])) AS total FROM embeddings)""",
+ends AS (
+  SELECT vec_id,
+         CAST(CAST(round(CAST(embedding[1] AS DOUBLE), 4) AS DECIMAL(10, 4)) AS VARCHAR) || ':' ||
+         CAST(CAST(round(CAST(embedding[64] AS DOUBLE), 4) AS DECIMAL(10, 4)) AS VARCHAR) AS shown
+  FROM embeddings)""",
             select="""
 SELECT id, string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY pos) AS ids,
-       string_agg(printf('%.4f', coalesce(total, 0.0)), ' ' ORDER BY pos) AS sums
-FROM ids LEFT JOIN sums ON token_id = vec_id GROUP BY id""",
+       string_agg(coalesce(shown, '-'), ' ' ORDER BY pos) AS ends
+FROM ids LEFT JOIN ends ON token_id = vec_id GROUP BY id""",
         ),
         "cluster_members": with_(
             POSTS,

@@ -554,18 +554,21 @@ def cosine_topk(c: Corpus) -> DataFrame:
 
 @query
 def vector_lookup(c: Corpus) -> DataFrame:
-    """Per post the sums of its tags' vectors; unknown ids have none."""
+    """Per post the ends of its tags' vectors; unknown ids have none."""
     encoded = c.encoder.encode(clean.with_general_tags(c.posts), "general", "ids")
     found = vectors.lookup_vectors(encoded, "ids", c.vectors)
 
-    def total(vector: Column) -> Column:
-        whole = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-        return F.format_number(F.coalesce(whole, F.lit(0.0)), 4)
+    def ends(vector: Column) -> Column:
+        def shown(x: Column) -> Column:
+            return F.round(x.cast("double"), 4).cast("decimal(10,4)").cast("string")
+
+        both = F.concat_ws(":", shown(F.get(vector, F.lit(0))), shown(F.get(vector, F.lit(63))))
+        return F.coalesce(F.when(vector.isNotNull(), both), F.lit("-"))
 
     return found.select(
         "id",
         numbers(F.col("ids")).alias("ids"),
-        F.array_join(F.transform("embeddings", total), " ").alias("sums"),
+        F.array_join(F.transform("embeddings", ends), " ").alias("ends"),
     )
 
 
