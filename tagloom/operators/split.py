@@ -45,6 +45,8 @@ def find_cut(
     the number of tasks. `survivors` maps rows to those that may be chosen, and runs a second
     time on that one bucket alone. Ids must be unique.
     """
+    if test_size <= 0:
+        return SplitCut(-1, -1, seed)
     bucket = F.shiftright(split_draw(seed), 32 - _BUCKET_BITS)
     counts = survivors(rows).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.orderBy("bucket"))
