@@ -52,7 +52,3 @@ def within_caps(posts: DataFrame, copyright: int, character: int) -> DataFrame:
         at_most(F.col("character"), character) & at_most(F.col("copyright"), copyright)
     )
 
-
-def head(posts: DataFrame, n: int) -> DataFrame:
-    """The first n posts by id: a top-n per task, then a merge of those."""
-    return posts.orderBy("id").limit(n)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LITERAL_ENTRIES = 50_000
+MAX_LITERAL_ENTRIES = 20_000
 _ENTRIES_PER_BUCKET = 2
 _SALTS = 64
 

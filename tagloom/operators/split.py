@@ -1,4 +1,4 @@
-"""Exact-size random test split."""
+"""Exact numbers of rows: a random test split, and the head of a table."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.draws import hash32
 
 Survivors = Callable[[DataFrame], DataFrame]
-_BUCKET_BITS = 16
+_BUCKETS = 65_536
 
 
 def split_draw(seed: int) -> Column:
@@ -35,35 +35,60 @@ class SplitCut:
         return F.when((draw < self.draw) | at_cut, F.lit("test")).otherwise(F.lit("train"))
 
 
-def find_cut(
-    rows: DataFrame, test_size: int, seed: int, survivors: Survivors = lambda df: df
-) -> SplitCut:
-    """Where to cut so that exactly `test_size` rows are test. Runs a job, fetches one row.
-
-    A histogram of the draws finds the bucket the cut falls into; only that bucket, one row in
-    65,536, is then ordered. Sorting or collecting the candidates of every task would grow with
-    the number of tasks. `survivors` maps rows to those that may be chosen, and runs a second
-    time on that one bucket alone. Ids must be unique.
+def smallest(
+    rows: DataFrame,
+    n: int,
+    key: Column,
+    low: int,
+    high: int,
+    survivors: Survivors = lambda df: df,
+) -> tuple[int, int] | None:
+    """(key, id) of the n-th row by (key, id), or None if there are fewer rows.
+
+    Keys are whole numbers in [low, high]. A histogram of them finds the bucket the n-th row
+    falls into, and only that bucket, one row in 65,536 for even keys, is then ordered. Sorting
+    or collecting the n best of every task would grow with the number of tasks. `survivors` maps
+    rows to those that count, and runs a second time on that one bucket alone. One row is
+    fetched from each of the two jobs.
     """
-    if test_size <= 0:
-        return SplitCut(-1, -1, seed)
-    bucket = F.shiftright(split_draw(seed), 32 - _BUCKET_BITS)
+    width = max(1, -(-(high - low + 1) // _BUCKETS))
+    bucket = F.floor((key - F.lit(low).cast("bigint")) / width)
     counts = survivors(rows).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.orderBy("bucket"))
     edge = (
         counts.withColumn("upto", upto)
-        .where((F.col("upto") >= test_size) & (F.col("upto") - F.col("n") < test_size))
-        .select("bucket", (F.lit(test_size) - F.col("upto") + F.col("n")).alias("rank"))
+        .where((F.col("upto") >= n) & (F.col("upto") - F.col("n") < n))
+        .select("bucket", (F.lit(n) - F.col("upto") + F.col("n")).alias("rank"))
         .first()
     )
     if edge is None:
-        return SplitCut(None, None, seed)
+        return None
     near = survivors(rows.where(bucket == edge["bucket"]))
-    ranked = near.select("id", split_draw(seed).alias("draw")).withColumn(
-        "row", F.row_number().over(Window.orderBy("draw", "id"))
+    ranked = near.select("id", key.alias("key")).withColumn(
+        "row", F.row_number().over(Window.orderBy("key", "id"))
     )
     at = ranked.where(F.col("row") == edge["rank"]).first()
-    return SplitCut(at["draw"], at["id"], seed)
+    return at["key"], at["id"]
+
+
+def find_cut(
+    rows: DataFrame, test_size: int, seed: int, survivors: Survivors = lambda df: df
+) -> SplitCut:
+    """Where to cut so that exactly `test_size` of the surviving rows are test. Ids are unique."""
+    if test_size <= 0:
+        return SplitCut(-1, -1, seed)
+    at = smallest(rows, test_size, split_draw(seed), 0, 2**32 - 1, survivors)
+    return SplitCut(*(at or (None, None)), seed)
+
+
+def head(rows: DataFrame, n: int) -> DataFrame:
+    """The first n rows by id."""
+    ends = rows.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    if ends["low"] is None:
+        return rows.limit(n)
+    at = smallest(rows, n, F.col("id"), ends["low"], ends["high"])
+    first = rows if at is None else rows.where(F.col("id") <= at[1])
+    return first.orderBy("id").limit(n)
 
 
 def train_test_split(rows: DataFrame, test_size: int, seed: int = 12345) -> DataFrame:

@@ -7,14 +7,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.draws import digest_sql
 
-MAX_MATRIX_BYTES = 256 * 2**20
+MAX_MATRIX_BYTES = 128 * 2**20
 _ROUND = 9
 _QUERY_CHUNK = 512
 
@@ -50,26 +51,29 @@ def train_clusters(
 
 
 def cluster_members(cluster_map: DataFrame) -> DataFrame:
-    """cluster_id, tags (sorted), n."""
+    """cluster_id, tags (sorted), n. A list per cluster is the result, so it must fit a row."""
     return cluster_map.groupBy("cluster_id").agg(
         F.sort_array(F.collect_list("token")).alias("tags"), F.count(F.lit(1)).alias("n")
     )
 
 
 def same_cluster(queries: DataFrame, cluster_map: DataFrame) -> DataFrame:
-    """token, cluster_id and the tags of that cluster, one row per asked token.
+    """token, cluster_id, member: one row per tag in the cluster of each asked token.
 
-    Unknown tokens keep null. Members are listed once per cluster and attached to the queries,
-    never paired with one another.
+    Tokens without a cluster keep one row of nulls.
     """
     asked = queries.select("token").join(cluster_map, "token", "left")
-    return asked.join(cluster_members(cluster_map), "cluster_id", "left").select(
-        "token", "cluster_id", "tags", "n"
-    )
+    members = cluster_map.select("cluster_id", F.col("token").alias("member"))
+    return asked.join(members, "cluster_id", "left").select("token", "cluster_id", "member")
 
 
-def _matrix(rows: list) -> np.ndarray:
-    return np.array([row["embedding"] for row in rows], dtype=np.float64)
+def _fetched(vectors: DataFrame, name: str) -> tuple[list, np.ndarray]:
+    """Names and matrix of vectors whose size was checked before."""
+    table = vectors.select(name, "embedding").toArrow()
+    names = table.column(name).to_pylist()
+    lists = table.column("embedding").combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return names, flat.reshape(len(names), -1) if names else np.zeros((0, 0))
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -93,11 +97,11 @@ def _first_k(sim: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(nearest, order, axis=1)
 
 
-def _best_of(queries: list, vectors: DataFrame, k: int) -> DataFrame:
+def _best_of(asked: list, matrix: np.ndarray, vectors: DataFrame, k: int) -> DataFrame:
     """Each batch of vectors is multiplied with all queries and returns the k best per query."""
     spark = vectors.sparkSession
-    names = spark.sparkContext.broadcast([q["token"] for q in queries])
-    units = spark.sparkContext.broadcast(_unit(_matrix(queries)))
+    names = spark.sparkContext.broadcast(asked)
+    units = spark.sparkContext.broadcast(_unit(matrix.astype(np.float64)))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -107,13 +111,13 @@ def _best_of(queries: list, vectors: DataFrame, k: int) -> DataFrame:
             ids = batch["token_id"].to_numpy(np.int64)
             tokens = batch["token"].to_numpy(object)
             for start in range(0, len(names.value), _QUERY_CHUNK):
-                asked = names.value[start : start + _QUERY_CHUNK]
+                chunk = names.value[start : start + _QUERY_CHUNK]
                 sim = units.value[start : start + _QUERY_CHUNK] @ block.T
                 best = _first_k(sim, ids, k)
                 value = np.round(np.take_along_axis(sim, best, axis=1), _ROUND).ravel()
                 yield pd.DataFrame(
                     {
-                        "query": np.repeat(np.array(asked, dtype=object), best.shape[1]),
+                        "query": np.repeat(np.array(chunk, dtype=object), best.shape[1]),
                         "token_id": ids[best].ravel(),
                         "token": tokens[best].ravel(),
                         "similarity": np.where(np.isnan(value), None, value),
@@ -144,9 +148,9 @@ def similar_tags(
     parts = []
     for block in range(max(1, n_blocks)):
         mine = F.pmod(F.xxhash64("token"), F.lit(max(1, n_blocks))) == block
-        rows = asked.where(mine).select("token", "embedding").orderBy("token").collect()
-        if rows:
-            parts.append(_best_of(rows, vectors, k))
+        names, matrix = _fetched(asked.where(mine), "token")
+        if names:
+            parts.append(_best_of(names, matrix, vectors, k))
     if not parts:
         empty = "query string, rank int, token_id bigint, token string, similarity double"
         return spark.createDataFrame([], empty)
@@ -200,40 +204,18 @@ def transfer_vectors(
     )
 
 
-def lookup_vectors(
-    rows: DataFrame,
-    ids: str,
-    vectors: DataFrame,
-    out: str = "embeddings",
-    max_bytes: int = MAX_MATRIX_BYTES,
+def _gathered(
+    pairs: DataFrame, ids: str, known: list, matrix: np.ndarray, out: str
 ) -> DataFrame:
-    """id, `ids` and `out`: the vector of every id in order, null where there is none.
-
-    A matrix of checked size goes to the tasks, which gather from it by Arrow: nothing is
-    shuffled. A larger one is joined to the exploded ids and regrouped by row.
-    """
-    size = vectors.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.size("embedding")).alias("d"),
-        F.max("token_id").alias("top"),
-    ).first()
-    pairs = rows.select("id", ids)
-    if (size["top"] or 0) * 4 + size["n"] * (size["d"] or 0) * 4 > max_bytes:
-        return _joined_vectors(pairs, ids, vectors, out)
-    spark = rows.sparkSession
-    known = vectors.select("token_id", "embedding").collect()
-    place = np.full((size["top"] or 0) + 1, -1, dtype=np.int64)
-    for i, row in enumerate(known):
-        place[row["token_id"]] = i
-    matrix = np.array([row["embedding"] for row in known], dtype=np.float32)
-    shared = spark.sparkContext.broadcast((place, matrix))
+    """Each task picks the vectors of its ids from the matrix by Arrow."""
+    place = np.full(max(known) + 1, -1, dtype=np.int64)
+    place[known] = np.arange(len(known))
+    shared = pairs.sparkSession.sparkContext.broadcast((place, matrix.astype(np.float32)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, matrix = shared.value
-        width = matrix.shape[1]
-        flat = pa.array(matrix.ravel(), pa.float32())
-        starts = pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * width)
-        table = pa.ListArray.from_arrays(starts, flat)
+        starts = pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1])
+        table = pa.ListArray.from_arrays(starts, pa.array(matrix.ravel(), pa.float32()))
         for batch in batches:
             lists = batch.column(1)
             wanted = lists.flatten().to_numpy(zero_copy_only=False)
@@ -250,21 +232,50 @@ def lookup_vectors(
     return pairs.mapInArrow(gather, f"id bigint, `{ids}` array<int>, `{out}` array<array<float>>")
 
 
-def _joined_vectors(pairs: DataFrame, ids: str, vectors: DataFrame, out: str) -> DataFrame:
-    exploded = pairs.select("id", F.posexplode(ids).alias("pos", "token_id"))
-    # The inner join to a hot id is skewed; Spark splits such partitions at run time.
-    found = exploded.join(vectors.select("token_id", "embedding"), "token_id", "left")
-    grouped = found.groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "embedding"))).alias("_parts")
+def lookup_vectors(
+    rows: DataFrame,
+    ids: str,
+    vectors: DataFrame,
+    out: str = "embeddings",
+    max_bytes: int = MAX_MATRIX_BYTES,
+) -> DataFrame:
+    """id, `ids` and `out`: the vector of every id in order, null where there is none.
+
+    A matrix of checked size goes to the tasks, which pick from it: nothing is shuffled. Of a
+    larger one only the vectors of the most frequent ids go; the other ids, none of them hot,
+    are exploded, joined and regrouped by row.
+    """
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    pairs = rows.select("id", ids)
+    fitting = max_bytes // (4 * (size["d"] or 1))
+    chosen = vectors
+    if size["n"] > fitting:
+        counts = pairs.select(F.explode(ids).alias("token_id")).groupBy("token_id").count()
+        hottest = counts.orderBy(F.col("count").desc(), "token_id").limit(fitting)
+        chosen = vectors.join(hottest, "token_id", "left_semi")
+    known, matrix = _fetched(chosen, "token_id")
+    if known:
+        found = _gathered(pairs, ids, known, matrix, out)
+    else:
+        found = pairs.withColumn(
+            out, F.transform(F.col(ids), lambda _: F.lit(None).cast("array<float>"))
+        )
+    if size["n"] <= fitting:
+        return found
+    missing = found.select(
+        "id", F.posexplode(F.arrays_zip(F.col(ids).alias("token_id"), F.col(out).alias("v")))
+    ).where(F.col("col.v").isNull())
+    late = (
+        missing.select("id", "pos", "col.token_id")
+        .join(vectors.select("token_id", "embedding"), "token_id")
+        .groupBy("id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "embedding"))).alias("_late"))
     )
-    nothing = F.array().cast("array<array<float>>")
-    return pairs.join(grouped, "id", "left").select(
-        "id",
-        ids,
-        F.when(F.col("_parts").isNull() & F.col(ids).isNotNull(), nothing)
-        .otherwise(F.col("_parts.embedding"))
-        .alias(out),
+    filled = F.transform(
+        F.col(out), lambda v, i: F.coalesce(v, F.try_element_at(F.col("_late"), i))
     )
+    whole = F.when(F.col("_late").isNull(), F.col(out)).otherwise(filled)
+    return found.join(late, "id", "left").withColumn(out, whole).drop("_late")
 
 
 def exclude_special(vectors: DataFrame, special: Sequence[str]) -> DataFrame:

@@ -13,6 +13,8 @@ from tagloom.functions.text import split_tags
 
 FIELDS = ("general", "copyright", "character")
 _POSITIONS = 65536
+# Tags first seen within the same 2^24 ids are ranked together.
+_SPAN_BITS = 40
 
 
 def _popular_defaults() -> dict[str, int]:
@@ -51,6 +53,11 @@ def tag_counts(posts: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     )
 
 
+def most_frequent_first(counts: DataFrame) -> DataFrame:
+    """Tags by falling count; equal counts keep the order of first appearance."""
+    return counts.orderBy("field", F.col("cnt").desc(), "first_seen", "tag")
+
+
 def popular(counts: DataFrame, min_count: dict[str, int]) -> DataFrame:
     """The counted tags that occur at least as often as their field demands."""
     keep = F.lit(False)
@@ -78,21 +85,23 @@ def _kind_rank(kinds: Sequence[str]) -> Column:
 def number_tokens(counts: DataFrame, kinds: Sequence[str], first_id: int) -> DataFrame:
     """Ids by kind, then count (most first), then first appearance.
 
-    Tags are ranked within groups of equal count; the groups' offsets come from the far smaller
-    table of distinct counts, so no task ever orders the whole vocabulary.
+    Tags are ranked within groups of equal count and similar first appearance (rare tags alone
+    can share one count by the million); the groups' offsets come from the far smaller table of
+    groups. So no task ever orders the whole vocabulary.
     """
-    ranked = counts.where(F.col("field").isin(*kinds)).withColumn("_kind", _kind_rank(kinds))
-    groups = ranked.groupBy("_kind", "cnt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_kind", F.col("cnt").desc()).rowsBetween(
-        Window.unboundedPreceding, -1
+    ranked = counts.where(F.col("field").isin(*kinds)).withColumns(
+        {"_kind": _kind_rank(kinds), "_span": F.shiftright("first_seen", _SPAN_BITS)}
     )
-    offsets = groups.select(
-        "_kind", "cnt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    group = ["_kind", "cnt", "_span"]
+    groups = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_kind", F.col("cnt").desc(), "_span").rowsBetween(
+        Window.unboundedPreceding, -1
     )
-    within = Window.partitionBy("_kind", "cnt").orderBy("first_seen", "tag")
+    offsets = groups.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(*group).orderBy("first_seen", "tag")
     return (
         ranked.withColumn("_row", F.row_number().over(within))
-        .join(offsets, ["_kind", "cnt"])
+        .join(offsets, group)
         .select(
             (F.col("_offset") + F.col("_row") - 1 + first_id).cast("int").alias("token_id"),
             F.col("tag").alias("token"),

@@ -9,7 +9,7 @@ from tagloom import constants as C
 from tagloom.operators import compose, organize
 from tagloom.operators.encode import encoder
 from tagloom.operators.lookup import tag_table
-from tagloom.operators.split import find_cut, train_only, train_test_split
+from tagloom.operators.split import find_cut, head, train_only, train_test_split
 from tagloom.operators.vocabulary import VocabularyParams, build_vocabulary
 from tagloom.plans import prompts as jobs
 from tagloom.plans.exploration import corpus_report
@@ -254,6 +254,14 @@ def test_split_is_the_smallest_draws(spark):
     assert train_only(rows, rows.where(F.col("id").isin(*test))).count() == 2900
 
 
+@pytest.mark.parametrize("n", [0, 1, 10, 399, 5000])
+def test_head(spark, n):
+    rows = spark.range(0, 4000, 10).select((F.col("id") * F.col("id") - 70).alias("id"))
+    ids = sorted(r["id"] for r in rows.collect())
+    assert [r["id"] for r in head(rows.repartition(3), n).collect()] == ids[:n]
+    assert head(rows.where("false"), n).count() == 0
+
+
 def test_split_counts_only_survivors(spark):
     rows = spark.range(1000)
     cut = find_cut(rows, 50, 1, lambda df: df.where("id % 3 = 0"))

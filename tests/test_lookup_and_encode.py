@@ -9,6 +9,7 @@ from tagloom.operators.vocabulary import (
     build_vocabulary,
     check_unique,
     duplicate_tokens,
+    most_frequent_first,
     number_tokens,
     popular,
     tag_counts,
@@ -42,6 +43,8 @@ def test_tag_counts(posts):
     assert counts["b"] == (2, 0)
     assert counts["c"] == (2, 3)
     assert counts["rare"] == (1, 65536 + 2)
+    ordered = [r["tag"] for r in most_frequent_first(tag_counts(posts, ("general",))).collect()]
+    assert ordered[:3] == ["a", "b", "c"]
 
 
 def test_vocabulary_order(vocab):
@@ -65,7 +68,7 @@ def test_popular_bounds_are_inclusive(spark):
 
 
 def test_numbering_equals_one_sort(spark):
-    rows = [("general", f"t{i}", (i * 7) % 5 + 1, (i * 31) % 97) for i in range(97)]
+    rows = [("general", f"t{i}", (i * 7) % 5 + 1, (i * 31) % 97 * 2**38) for i in range(97)]
     counts = spark.createDataFrame(rows, "field string, tag string, cnt long, first_seen long")
     made = number_tokens(counts, ("general",), 10).orderBy("token_id").collect()
     expected = sorted(rows, key=lambda r: (-r[2], r[3], r[1]))
@@ -84,13 +87,13 @@ def test_duplicates(spark, vocab):
 
 
 def test_unreachable(vocab):
-    assert {r["token"] for r in unreachable_tokens(vocab).collect()} == {"Upper", ""} - {""}
+    assert {r["token"] for r in unreachable_tokens(vocab).collect()} == {"Upper"}
 
 
-@pytest.fixture(scope="module", params=[50_000, 3, 0], ids=["literal", "mixed", "joined"])
+@pytest.fixture(scope="module", params=[20_000, 3, 0], ids=["literal", "mixed", "joined"])
 def enc(request, vocab):
     made = encoder(vocab, request.param)
-    assert made.table.is_literal == (request.param == 50_000)
+    assert made.table.is_literal == (request.param == 20_000)
     return made
 
 
@@ -116,7 +119,7 @@ def test_reject_unknown(spark, enc):
     assert {r["id"] for r in enc.reject_unknown(df, "copyright").collect()} == {1, 3}
 
 
-@pytest.mark.parametrize("entries", [50_000, 2])
+@pytest.mark.parametrize("entries", [20_000, 2])
 def test_decode(spark, vocab, entries):
     ids = {r["token"]: r["token_id"] for r in vocab.collect()}
     df = spark.createDataFrame(

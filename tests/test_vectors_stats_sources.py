@@ -88,8 +88,10 @@ def test_best_of_several_runs_is_kept(some):
 def test_same_cluster(spark):
     table = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1)], "token string, cluster_id int")
     asked = spark.createDataFrame([("b",), ("x",)], "token string")
-    rows = {r["token"]: (r["cluster_id"], r["tags"]) for r in vectors.same_cluster(asked, table).collect()}
-    assert rows == {"b": (0, ["a", "b"]), "x": (None, None)}
+    rows = {tuple(r) for r in vectors.same_cluster(asked, table).collect()}
+    assert rows == {("b", 0, "a"), ("b", 0, "b"), ("x", None, None)}
+    members = {r["cluster_id"]: r["tags"] for r in vectors.cluster_members(table).collect()}
+    assert members == {0: ["a", "b"], 1: ["c"]}
 
 
 def test_transfer(spark, some):
@@ -113,7 +115,7 @@ def test_drawn_vectors_are_normal(spark, some):
     assert abs((np.abs(cells) < 0.02).mean() - 0.6827) < 0.01
 
 
-@pytest.mark.parametrize("max_bytes", [2**20, 0], ids=["gathered", "joined"])
+@pytest.mark.parametrize("max_bytes", [2**20, 64, 0], ids=["gathered", "mixed", "joined"])
 def test_lookup_vectors(spark, some, max_bytes):
     old = {r["token_id"]: r["embedding"] for r in some.collect()}
     lists = [(1, [3, 3, 5]), (2, []), (3, None), (4, [0, 999, 59]), (5, [7])]

@@ -889,9 +889,8 @@ leaders AS (
   SELECT token, cluster_id FROM (
     SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY cnt DESC, token DESC) AS r
     FROM strict WHERE cnt IS NOT NULL) WHERE r = 1)""",
-            select="SELECT leaders.token, cluster_id, count(*) AS n, "
-            "string_agg(strict.token, ', ' ORDER BY strict.token) AS tags "
-            "FROM leaders JOIN strict USING (cluster_id) GROUP BY leaders.token, cluster_id",
+            select="SELECT leaders.token, cluster_id, strict.token AS member "
+            "FROM leaders JOIN strict USING (cluster_id)",
         ),
         "embedding_transfer": with_(
             POSTS,

@@ -22,11 +22,12 @@ from tagloom.functions.text import has_text, iso_year, split_tags, tag_count, to
 from tagloom.operators import clean, compose, organize, stats, vectors
 from tagloom.operators.encode import decode, decoder, unknown_tags
 from tagloom.operators.select import select_where
-from tagloom.operators.split import train_test_split
+from tagloom.operators.split import head, train_test_split
 from tagloom.operators.vocabulary import (
     VocabularyParams,
     build_vocabulary,
     duplicate_tokens,
+    most_frequent_first,
     popular,
     tag_counts,
     unreachable_tokens,
@@ -102,7 +103,7 @@ def text_only(c: Corpus) -> DataFrame:
 
 @query
 def head_sample(c: Corpus) -> DataFrame:
-    return clean.head(c.posts, 1000)
+    return head(c.posts, 1000)
 
 
 @query
@@ -129,7 +130,7 @@ def size_caps(c: Corpus) -> DataFrame:
 
 @query
 def tag_frequency(c: Corpus) -> DataFrame:
-    return tag_counts(c.posts)
+    return most_frequent_first(tag_counts(c.posts))
 
 
 @query
@@ -588,8 +589,7 @@ def same_cluster(c: Corpus) -> DataFrame:
     listed = c.cluster_map.where((F.col("level") == "strict") & F.col("cnt").isNotNull())
     leader = F.max(F.struct(F.col("cnt"), F.col("token"))).alias("leader")
     asked = listed.groupBy("cluster_id").agg(leader).select("leader.token")
-    found = vectors.same_cluster(asked, _level(c, "strict"))
-    return found.select("token", "cluster_id", "n", joined(F.col("tags")).alias("tags"))
+    return vectors.same_cluster(asked, _level(c, "strict"))
 
 
 @query
