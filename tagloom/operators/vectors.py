@@ -138,10 +138,18 @@ def similar_tags(
 
     The queries travel to the vectors in blocks of checked size, each batch of vectors returns k
     rows per query, and only those are shuffled; pairs are never written out. Zero vectors have no
-    similarity and come last.
+    similarity and come last. A query without a vector gets one row of nulls.
     """
-    spark = vectors.sparkSession
-    asked = vectors.join(queries.select("token").distinct(), "token", "left_semi")
+    wanted = queries.select("token").distinct()
+    asked = vectors.join(wanted, "token", "left_semi")
+    nothing = F.lit(None)
+    unknown = wanted.join(vectors, "token", "left_anti").select(
+        F.col("token").alias("query"),
+        nothing.cast("int").alias("rank"),
+        nothing.cast("bigint").alias("token_id"),
+        nothing.cast("string").alias("token"),
+        nothing.cast("double").alias("similarity"),
+    )
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     per_block = max(1, max_bytes // (8 * (size["d"] or 1)))
     n_blocks = -(-size["n"] // per_block)
@@ -152,8 +160,7 @@ def similar_tags(
         if names:
             parts.append(_best_of(names, matrix, vectors, k))
     if not parts:
-        empty = "query string, rank int, token_id bigint, token string, similarity double"
-        return spark.createDataFrame([], empty)
+        return unknown
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -162,6 +169,7 @@ def similar_tags(
         found.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .select("query", "rank", "token_id", "token", "similarity")
+        .unionByName(unknown)
     )
 
 

@@ -105,7 +105,7 @@ def occurrences(field: str, table: str = "posts", id_: str = "id", text: str | N
 COUNTS = f"""
 occurrences AS ({occurrences("general")} UNION ALL {occurrences("copyright")}
                 UNION ALL {occurrences("character")}),
-counts AS (SELECT field, tag, count(*) AS cnt, min(id * 65536 + pos) AS first_seen
+counts AS (SELECT field, tag, count(*) AS cnt, min(id * 65536 + least(pos, 65535)) AS first_seen
            FROM occurrences GROUP BY field, tag),
 sizes AS (SELECT count(*) AS n_posts FROM posts),
 popular AS (
@@ -853,7 +853,9 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, token_id) AS rank
   FROM similarities)""",
             select="SELECT query, CAST(rank AS INTEGER) AS rank, token, "
-            "round(similarity, 6) AS similarity FROM ranked WHERE rank <= 30",
+            "round(similarity, 6) AS similarity FROM ranked WHERE rank <= 30 "
+            "UNION ALL SELECT token, NULL, NULL, NULL FROM vocab "
+            "WHERE token_id NOT IN (SELECT vec_id FROM embeddings)",
         ),
         "vector_lookup": with_(
             *BASE,
