@@ -215,7 +215,8 @@ def finetune_rows(
         ("no_tags_to_complete", ~F.col("composable")),
     )
     if params.fail_fast:
-        failure = F.raise_error(F.concat(F.lit("post "), F.col("id").cast("string"), F.lit(": "), reason))
+        which = F.concat(F.lit("post "), F.col("id").cast("string"), F.lit(": "), reason)
+        failure = F.raise_error(which)
         reason = F.when(reason.isNotNull(), failure.cast("string"))
     return ided.select(
         "id",

@@ -521,8 +521,6 @@ def cluster_parts() -> tuple[str, ...]:
     return (*BASE, known(), CLUSTERS, by_cluster(FINETUNE_LEVELS))
 
 
-COMPONENTS = "SELECT known.id, cp.copyright, ch.character"
-
 PADDED = f"""
 sequence AS (
   SELECT id, CAST(o.x AS INTEGER) AS x, o.ord - 1 AS i
