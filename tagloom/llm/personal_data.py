@@ -1,0 +1,465 @@
+"""Personal data: patterns, and a linear-chain conditional random field over word shapes.
+
+The field labels words O, or beginning and continuation of a kind. Only a word with a digit or an
+at sign may carry a kind, all others are O for certain. A known O parts the chain, so each run of
+such words is decoded for itself, with the words around it as features; plain prose costs nothing.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tagloom.llm.common import Memo, add_columns, fields
+
+KINDS = ("email", "ip", "card", "phone")
+LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+#: The labelled table is meant to be small; it is collected and checked against this.
+MAX_LABELLED = 10_000
+
+# The base patterns. Possessive repeats and the look-behind keep them linear; they
+# match what the plain forms match.
+_AFTER_AT = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
+_BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]*")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_HINT = re.compile(r"[0-9@]")
+_CLASSES = str.maketrans(
+    {c: "d" for c in "0123456789"}
+    | {chr(c): "x" for c in range(97, 123)}
+    | {chr(c): "X" for c in range(65, 91)}
+)
+_TRAILING = ".,;:!?'\"<>[]{}*&$#%|)"
+_LEADING = ".,;:!?'\"<>[]{}*&$#%|"
+
+#: Labelled lines, {kind:...} around what is personal. The contexts and shapes carry over.
+EXAMPLES = (
+    "Write to {email:jane.roe@example.org} for the minutes.",
+    "write {email:j_doe99@mail.example.com}, or wait",
+    "Contact: {email:office+news@sub.example.net}.",
+    "{email:a.b-c@example.co} sent the file",
+    "mail from <{email:info7@mail3.example.com}> arrived",
+    "e-mail {email:team@example} inside the office",
+    "the address {email:root@localhost} is local",
+    "he is @home since 3 days",
+    "meet @ 5 in the hall",
+    "Call {phone:+1 (202) 555-0147} after noon",
+    "call {phone:(202) 555-0147} after noon",
+    "phone {phone:202-555-0147}, please",
+    "tel. {phone:+44 20 7946 0958} or later",
+    "Phone: {phone:+49 30 901820} Berlin",
+    "reach us at {phone:+1-202-555-0188}.",
+    "{phone:+33 1 23 45 67 89} is the number",
+    "the desk {phone:202.555.0175} answers",
+    "mobile {phone:(415) 555-2671}; office closed",
+    "and {phone:+1 (303) 555-8214} the others went",
+    "fax {phone:+1 212 555 0100} 12 pages",
+    "phone {phone:+1 (171) 555-2028} 20260101 and more",
+    "server {ip:192.0.2.44} is down",
+    "from {ip:198.51.100.7}, port 8080",
+    "at {ip:203.0.113.250}.",
+    "host {ip:10.0.0.1} and {ip:10.0.0.2} answer",
+    "ping {ip:172.16.254.3} 64 bytes",
+    "card {card:4111 1111 1111 1111} expires 12/27",
+    "Card {card:5500005555555559} was used",
+    "paid with {card:4012-8888-8888-1881}.",
+    "the {card:378282246310005} belongs to her",
+    "number {card:6011000990139424} 123 on the back",
+    "and {card:4222222222222} the rest",
+    "visa {card:4111.1111.1111.1111} approved",
+    "version 3.2 of 2021 is out",
+    "version 1.2.3.4.5 and 10.4.1 came out",
+    "in 1999 there were 12,000 people",
+    "pages 120-135 and 140",
+    "page 3, line 17, column 4",
+    "on 2024-05-17 at 10:30 we met",
+    "17.05.2024 or 05/17/2024 are dates",
+    "the price is 3.50 or 1,200.00 euro",
+    "order 20240517 has 3 items",
+    'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" in the file',
+    "key 0x7fff5fbff8c0 and id 550e8400-e29b-41d4-a716-446655440000",
+    "section 4.2.1 and figure 7",
+    "ISBN 978-3-16-148410-0 is a book",
+    "1 2 3 4 5 6 7 8 9 10",
+    "a 2x4 board, 3rd floor, B12",
+    "license version 2.0 and CC BY 4.0",
+    "serial 1234567890123456 on the box",
+    "50% of 200 users in 24h",
+    "room 101 - 103, 2nd floor",
+    "the sum of 12 + 30 is 42",
+    "score 555-0 in 2012",
+    "64 bytes in 12.5 ms",
+    "population 1,234,567 in 2001 and 1,300,000 in 2011",
+)
+_MARK = re.compile(r"\{(email|ip|card|phone):([^}]*)\}")
+
+
+def luhn(digits: str) -> bool:
+    total = sum(map(int, digits[-1::-2]))
+    return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
+
+
+def _email_spans(text: str) -> Iterator[tuple[int, int]]:
+    at, free = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > free and _BEFORE_AT.fullmatch(text, start - 1, start):
+            start -= 1
+        found = _AFTER_AT.match(text, at + 1) if start < at else None
+        if found:
+            free = found.end()
+            yield start, free
+        at = text.find("@", max(at + 1, free))
+
+
+def _digits(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
+def valid(kind: str, found: str) -> bool:
+    """The exact check of a kind."""
+    digits = _digits(found)
+    if kind == "ip":
+        parts = found.split(".")
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts) and all(
+            len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts
+        )
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 9 <= len(digits) <= 15
+    return "@" in found.strip("@")
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """Spans of the fixed patterns, by kind as listed, then by start."""
+    spans = [("email", *s) for s in _email_spans(text)] if "@" in text else []
+    for kind, pattern in (("ip", _IP), ("card", _CARD), ("phone", _PHONE)):
+        spans += [
+            (kind, *m.span()) for m in pattern.finditer(text) if valid(kind, m.group())
+        ]
+    return spans
+
+
+# Features
+
+
+def shape(word: str) -> str:
+    """Character classes of a word, letters in runs, digits one by one up to 20."""
+    plain = word[:60].translate(_CLASSES)
+    return re.sub(r"(x|X)\1+", r"\1", plain)[:20]
+
+
+def short_shape(word: str) -> str:
+    return re.sub(r"(.)\1+", r"\1", word[:60].translate(_CLASSES))[:12]
+
+
+def _own(word: str) -> list[str]:
+    core = word.strip(_LEADING + _TRAILING)
+    n = sum("0" <= c <= "9" for c in core)
+    return [
+        "s=" + shape(core), "c=" + short_shape(core), f"n={min(n, 20)}", f"at={core.count('@')}",
+        f"dots={min(core.count('.'), 5)}", "head=" + core[:1].translate(_CLASSES),
+        f"letters={any(c.isalpha() for c in core)}", "cut=" + str(word[-1:] in ".,;:!?"),
+    ]
+
+
+def _near(word: str | None) -> list[str]:
+    if word is None:
+        return ["edge"]
+    core = word.strip(_LEADING + _TRAILING).lower()
+    named = ["w=" + core[:20]] if core.isalpha() and core.isascii() else []
+    return ["c=" + short_shape(core), *named]
+
+
+@dataclass(frozen=True)
+class Run:
+    """Words next to each other that may carry a kind, with their places in the text."""
+
+    words: list[tuple[int, int]]
+    before: str | None
+    after: str | None
+
+
+def _runs(text: str) -> Iterator[Run]:
+    """Runs of words with a digit or an at sign, line by line."""
+    hint = _HINT.search(text)
+    while hint:
+        start = text.rfind("\n", 0, hint.start()) + 1
+        stop = text.find("\n", hint.start())
+        stop = len(text) if stop < 0 else stop
+        words: list[tuple[int, int]] = []
+        last = before = None
+        for m in _WORD.finditer(text, start, stop):
+            word = m.group()
+            if _HINT.search(word):
+                if not words:
+                    before = last
+                words.append(m.span())
+            elif words:
+                yield Run(words, before, word)
+                words = []
+            last = word
+        if words:
+            yield Run(words, before, None)
+        hint = _HINT.search(text, stop)
+
+
+@dataclass(frozen=True)
+class Field:
+    """Weights: own[f] and near[f] score labels of a word, step[a, b] a label after another."""
+
+    own: dict[str, np.ndarray]
+    left: dict[str, np.ndarray]
+    right: dict[str, np.ndarray]
+    step: np.ndarray
+
+    def scorer(self):
+        zero = np.zeros(len(LABELS))
+
+        def adder(weights, features):
+            return Memo(lambda w: sum((weights[f] for f in features(w) if f in weights), zero), 20_000)
+
+        own, left, right = (
+            adder(self.own, _own), adder(self.left, _near), adder(self.right, _near),
+        )
+        edge = {k: w.get("edge", zero) for k, w in (("l", self.left), ("r", self.right))}
+
+        def score(words: list[str], before: str | None, after: str | None) -> np.ndarray:
+            rows = np.empty((len(words), len(LABELS)))
+            for i, w in enumerate(words):
+                p = words[i - 1] if i else before
+                n = words[i + 1] if i + 1 < len(words) else after
+                rows[i] = own[w] + (edge["l"] if p is None else left[p])
+                rows[i] += edge["r"] if n is None else right[n]
+            return rows
+
+        return score
+
+
+def _allowed() -> np.ndarray:
+    """0 where a label may follow another, else minus infinity; a kind goes on as itself only."""
+    table = np.zeros((len(LABELS), len(LABELS)))
+    for b, name in enumerate(LABELS):
+        if name.startswith("I"):
+            table[:, b] = -np.inf
+            table[[b - 1, b], b] = 0
+    return table
+
+
+def viterbi(scores: list[np.ndarray], step: np.ndarray) -> list[np.ndarray]:
+    """Best labels of each sequence; sequences of like length are decoded together."""
+    out: list = [None] * len(scores)
+    order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
+    for at in range(0, len(order), 256):
+        group = order[at : at + 256]
+        longest = len(scores[group[-1]])
+        lengths = np.array([len(scores[i]) for i in group])
+        padded = np.zeros((len(group), longest, len(LABELS)))
+        for row, i in enumerate(group):
+            padded[row, : len(scores[i])] = scores[i]
+        best = padded[:, 0] + step[0]
+        back = np.zeros((len(group), longest, len(LABELS)), dtype=np.int8)
+        ends = best.copy()
+        for t in range(1, longest):
+            ways = best[:, :, None] + step
+            back[:, t] = ways.argmax(axis=1)
+            best = ways.max(axis=1) + padded[:, t]
+            ends[lengths > t] = best[lengths > t]
+        label = ends.argmax(axis=1)
+        path = np.zeros((len(group), longest), dtype=np.int8)
+        for t in range(longest - 1, -1, -1):
+            inside = lengths > t
+            path[inside, t] = label[inside]
+            label = np.where(inside & (t > 0), back[np.arange(len(group)), t, label], label)
+        for row, i in enumerate(group):
+            out[i] = path[row, : lengths[row]]
+    return out
+
+
+def read_marked(line: str) -> tuple[str, list[tuple[str, int, int]]]:
+    """A labelled line as text and spans."""
+    text, spans, at = "", [], 0
+    for m in _MARK.finditer(line):
+        text += line[at : m.start()]
+        spans.append((m[1], len(text), len(text) + len(m[2])))
+        text += m[2]
+        at = m.end()
+    return text + line[at:], spans
+
+
+@cache
+def train(lines: tuple[str, ...] = EXAMPLES, rounds: int = 150, penalty: float = 0.02) -> Field:
+    """Weights that maximise the likelihood of the labelled lines, by gradient steps (Adam)."""
+    index: dict[tuple[str, str], int] = {}
+    sequences, seen = [], Counter()
+    for line in sorted(set(lines)):
+        text, spans = read_marked(line)
+        for run in _runs(text):
+            words = [text[a:b] for a, b in run.words]
+            rows, labels = [], []
+            for i, w in enumerate(words):
+                p = words[i - 1] if i else run.before
+                n = words[i + 1] if i + 1 < len(words) else run.after
+                names = [("o", f) for f in _own(w)] + [("l", f) for f in _near(p)]
+                names += [("r", f) for f in _near(n)]
+                rows.append([index.setdefault(name, len(index)) for name in names])
+                seen.update(rows[-1])
+                a, b = run.words[i]
+                hit = [s for s in spans if s[1] < b and a < s[2]]
+                kind = hit[0][0] if hit else None
+                first = bool(hit) and (i == 0 or run.words[i - 1][1] <= hit[0][1])
+                labels.append(LABELS.index(f"{'B' if first else 'I'}-{kind}") if kind else 0)
+            sequences.append((rows, labels))
+    size, count = len(index), len(LABELS)
+    weights, step = np.zeros((size, count)), np.zeros((count, count))
+    allowed = _allowed()
+    moments = [np.zeros_like(x) for x in (weights, weights, step, step)]
+    for turn in range(1, rounds + 1):
+        grad_w, grad_s = -penalty * weights, -penalty * step
+        trans = step + allowed
+        for rows, labels in sequences:
+            emit = np.array([weights[r].sum(axis=0) for r in rows])
+            forward, backward = np.empty_like(emit), np.zeros_like(emit)
+            forward[0] = trans[0] + emit[0]
+            for t in range(1, len(rows)):
+                forward[t] = np.logaddexp.reduce(forward[t - 1][:, None] + trans, axis=0) + emit[t]
+            for t in range(len(rows) - 2, -1, -1):
+                backward[t] = np.logaddexp.reduce(trans + emit[t + 1] + backward[t + 1], axis=1)
+            total = np.logaddexp.reduce(forward[-1])
+            share = np.exp(forward + backward - total)
+            for t, r in enumerate(rows):
+                delta = -share[t]
+                delta[labels[t]] += 1
+                np.add.at(grad_w, r, delta)
+            grad_s[0] -= share[0]
+            grad_s[0, labels[0]] += 1
+            for t in range(1, len(rows)):
+                both = forward[t - 1][:, None] + trans + emit[t] + backward[t] - total
+                grad_s -= np.exp(both)
+                grad_s[labels[t - 1], labels[t]] += 1
+        for x, g, i in ((weights, grad_w, 0), (step, grad_s, 2)):
+            moments[i] = 0.9 * moments[i] + 0.1 * g
+            moments[i + 1] = 0.99 * moments[i + 1] + 0.01 * g * g
+            x += 0.1 * (moments[i] / (1 - 0.9**turn)) / (np.sqrt(moments[i + 1] / (1 - 0.99**turn)) + 1e-8)
+    tables: dict[str, dict] = defaultdict(dict)
+    for (where, name), i in index.items():
+        tables[where][name] = weights[i]
+    return Field(tables["o"], tables["l"], tables["r"], step + allowed)
+
+
+def _labelled_span(text: str, kind: str, start: int, stop: int) -> tuple[str, int, int]:
+    """A span without the punctuation around it."""
+    while start < stop and text[start] in _LEADING:
+        start += 1
+    while stop > start and text[stop - 1] in _TRAILING:
+        stop -= 1
+    if text[start:stop].startswith("(") and ")" not in text[start:stop]:
+        start += 1
+    return kind, start, stop
+
+
+def find_personal_data(
+    df: DataFrame,
+    text: str = "text",
+    labelled: DataFrame | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """Add n_email, n_ip, n_card, n_phone, base_sha256, spans and masked to every row.
+
+    Counts and base_sha256 are those of the fixed patterns; spans has those and what the field
+    found besides: labelled spans that pass the kind's exact check and touch no base span. masked
+    is the text with every span replaced by its kind in angle brackets. `labelled` has a column
+    `line` with {kind:...} around personal data (default: EXAMPLES); a table of more than
+    MAX_LABELLED rows is refused. Pure map: no shuffle. Null and empty texts have no spans;
+    repeated rows give equal results, an empty table stays empty, input columns of the names
+    added are replaced. Equal label scores go to the label listed first.
+    """
+    lines = EXAMPLES
+    if labelled is not None:
+        rows = labelled.select("line").where("line is not null").limit(MAX_LABELLED + 1).collect()
+        if len(rows) > MAX_LABELLED:
+            raise ValueError(f"more than {MAX_LABELLED} labelled lines")
+        lines = tuple(sorted(r[0] for r in rows))
+    model = train(lines)
+
+    def setup():
+        score = model.scorer()
+
+        def work(texts):
+            whole = [t.as_py() or "" for t in texts]
+            base = [base_spans(t) for t in whole]
+            places, scores = [], []
+            for number, t in enumerate(whole):
+                for run in _runs(t):
+                    places.append((number, run))
+                    scores.append(score([t[a:b] for a, b in run.words], run.before, run.after))
+            more: dict[int, list] = defaultdict(list)
+            for (number, run), labels in zip(places, viterbi(scores, model.step), strict=True):
+                for i, label in enumerate(labels):
+                    if not LABELS[label].startswith("B"):
+                        continue
+                    j = i + 1
+                    while j < len(labels) and labels[j] == label + 1:
+                        j += 1
+                    t, kind = whole[number], LABELS[label][2:]
+                    found = _labelled_span(t, kind, run.words[i][0], run.words[j - 1][1])
+                    if valid(kind, t[found[1] : found[2]]):
+                        more[number].append(found)
+            columns: list[list] = [[] for _ in outputs]
+            for number, (t, spans) in enumerate(zip(whole, base, strict=True)):
+                added = _untouched(more.get(number, []), spans)
+                every = sorted(spans + added, key=lambda s: (KINDS.index(s[0]), s[1]))
+                counts = Counter(s[0] for s in spans)
+                row = [counts[k] for k in KINDS]
+                row += [hashlib.sha256(_joined(spans).encode()).hexdigest(), _joined(every)]
+                row.append(_masked(t, every))
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+            return columns
+
+        return work
+
+    outputs = fields(**{f"n_{k}": "long" for k in KINDS}, base_sha256="string", spans="string", masked="string")
+    return add_columns(df.withColumn(text, F.col(text).cast("string")), [text], outputs, setup, keep)
+
+
+def _untouched(added: list, spans: list) -> list:
+    """The added spans that overlap none of the others."""
+    if not added or not spans:
+        return added
+    ordered = sorted((a, b) for _, a, b in spans)
+    starts = np.array([a for a, _ in ordered])
+    reach = np.maximum.accumulate([b for _, b in ordered])
+    kept = []
+    for span in added:
+        before = int(np.searchsorted(starts, span[2]))  # those that start before its end
+        if before == 0 or reach[before - 1] <= span[1]:
+            kept.append(span)
+    return kept
+
+
+def _joined(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def _masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    parts, at = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= at:
+            parts += [text[at:a], f"<{kind}>"]
+            at = b
+        else:
+            at = max(at, b)
+    return "".join([*parts, text[at:]])

@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagloom.llm.chunk_bpe import encode_texts
+from tagloom.llm.licenses import scan_licenses
+from tagloom.llm.personal_data import KINDS, find_personal_data
+from tagloom.llm.quality import VoteParams, fit_votes, remainder, score_quality
 from tagloom.llm.token_count import count_tokens
+from tagloom.llm.urls import judge_urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,15 +33,47 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, tokenizer_path(), keep=["doc_id"])
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = find_personal_data(docs, keep=["doc_id"])
+    return found.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans")
+
+
+HELD_OUT_PARTS, HELD_OUT = 3, 1
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    seen = labels.where(remainder(F.col("doc_id"), HELD_OUT_PARTS) != HELD_OUT)
+    space = fit_votes(docs, seen, VoteParams())
+    held_out = remainder(F.col("doc_id"), HELD_OUT_PARTS) == HELD_OUT
+    return score_quality(docs.withColumn("held_out", held_out), space, keep=["doc_id", "held_out"])
+
+
 def op8_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return encode_texts(docs, tokenizer_path(), with_ids=False, keep=["doc_id"])
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return scan_licenses(docs, with_spans=False, keep=["doc_id"])
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_token_count": op1_token_count,
+        "op3_url_filter": op3_url_filter,
+        "op5_personal_data": op5_personal_data,
+        "op6_quality": op6_quality,
         "op8_chunk_bpe": op8_chunk_bpe,
+        "op10_licenses": op10_licenses,
     }
 
 
