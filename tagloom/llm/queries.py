@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.chunk_bpe import encode_texts
+from tagloom.llm.decontaminate import benchmark_hits
+from tagloom.llm.exact_dedup import exact_duplicates
+from tagloom.llm.jaccard import jaccard_join
 from tagloom.llm.licenses import scan_licenses
+from tagloom.llm.oracle import ALL
 from tagloom.llm.personal_data import KINDS, find_personal_data
 from tagloom.llm.quality import VoteParams, fit_votes, remainder, score_quality
 from tagloom.llm.token_count import count_tokens
@@ -33,11 +37,21 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, tokenizer_path(), keep=["doc_id"])
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = find_personal_data(docs, keep=["doc_id"])
@@ -61,6 +75,10 @@ def op8_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(docs, tokenizer_path(), with_ids=False, keep=["doc_id"])
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text")).drop("set_hash")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return scan_licenses(docs, with_spans=False, keep=["doc_id"])
@@ -69,13 +87,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     return {
         "op1_token_count": op1_token_count,
+        "op2_exact_dedup": op2_exact_dedup,
         "op3_url_filter": op3_url_filter,
+        "op4_decontamination": op4_decontamination,
         "op5_personal_data": op5_personal_data,
         "op6_quality": op6_quality,
         "op8_chunk_bpe": op8_chunk_bpe,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_licenses": op10_licenses,
     }
 
 
 def oracle() -> dict[str, str]:
-    return {}
+    return dict(ALL)
