@@ -8,8 +8,9 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -103,12 +104,23 @@ def add_columns(
     return renamed.mapInArrow(run, schema)
 
 
-def field(name: str, kind: str) -> StructField:
-    return StructType.fromDDL(f"`{name}` {kind}").fields[0]
+_KINDS = {
+    "boolean": T.BooleanType(),
+    "binary": T.BinaryType(),
+    "double": T.DoubleType(),
+    "int": T.IntegerType(),
+    "long": T.LongType(),
+    "string": T.StringType(),
+}
 
 
 def fields(**kinds: str) -> StructType:
-    return StructType([field(n, k) for n, k in kinds.items()])
+    """A schema from names and kinds, `array<...>` of one included; needs no session."""
+    found = StructType()
+    for name, kind in kinds.items():
+        inner = kind.removeprefix("array<").removesuffix(">")
+        found.add(name, _KINDS[kind] if inner == kind else T.ArrayType(_KINDS[inner]))
+    return found
 
 
 class Memo(dict):

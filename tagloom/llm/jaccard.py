@@ -94,7 +94,7 @@ class Bands:
             content = np.zeros(segments, np.uint64)
             content[held] = np.add.reduceat(_mixed(spread)[order], np.cumsum(full[held]) - full[held])
             named = _mixed(content + full.astype(np.uint64) * _C1 + np.arange(segments, dtype=np.uint64) * _C3)
-            named = _mixed(named + np.uint64(start) * _C2)
+            named = _mixed(named + np.uint64(start * int(_C2) % 2**64))
             found.append(named[np.lexsort((named, -full))[: most + 1]])
         return np.concatenate(found)
 

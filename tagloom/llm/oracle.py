@@ -73,7 +73,7 @@ shingles as (
 ),
 sizes as (select doc_id, count(*) as n from shingles group by doc_id),
 common as (
-    select a.doc_id as x, b.doc_id as y, count(*) as both
+    select a.doc_id as x, b.doc_id as y, count(*) as shared
     from shingles a join shingles b using (s)
     where a.doc_id < b.doc_id
     group by x, y
@@ -82,7 +82,7 @@ links as (
     select x, y from common
     join sizes p on p.doc_id = x
     join sizes q on q.doc_id = y
-    where 100 * both >= 90 * (p.n + q.n - both)
+    where 100 * shared >= 90 * (p.n + q.n - shared)
 ),
 edges as (select x, y from links union all select y, x from links),
 reach as (

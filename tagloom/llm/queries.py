@@ -12,6 +12,7 @@ from tagloom.llm.chunk_bpe import encode_texts
 from tagloom.llm.decontaminate import benchmark_hits
 from tagloom.llm.exact_dedup import exact_duplicates
 from tagloom.llm.jaccard import jaccard_join
+from tagloom.llm.language_model import held_in, score_texts
 from tagloom.llm.licenses import scan_licenses
 from tagloom.llm.oracle import ALL
 from tagloom.llm.personal_data import KINDS, find_personal_data
@@ -70,6 +71,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs.withColumn("held_out", held_out), space, keep=["doc_id", "held_out"])
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = score_texts(docs, held_in(F.col("doc_id"), 10, 0))
+    return scored.withColumn("held_out", ~F.col("train")).drop("train")
+
+
 def op8_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return encode_texts(docs, tokenizer_path(), with_ids=False, keep=["doc_id"])
@@ -92,6 +99,7 @@ def all_queries() -> dict[str, Query]:
         "op4_decontamination": op4_decontamination,
         "op5_personal_data": op5_personal_data,
         "op6_quality": op6_quality,
+        "op7_language_model": op7_language_model,
         "op8_chunk_bpe": op8_chunk_bpe,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_licenses": op10_licenses,
