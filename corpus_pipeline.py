@@ -1,24 +1,71 @@
-"""A pipeline that cleans, deduplicates, decontaminates and encodes a corpus."""
+"""From raw documents to token ids: filter, deduplicate, decontaminate, encode.
+
+Every stage takes the documents its predecessor kept, with all their columns; the last one gives
+the encoded texts. A stage's result is written and read again before the next one, so a lost
+executor costs at most one stage's tasks.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagloom.llm.chunk_bpe import encode_texts
-from tagloom.llm.queries import tokenizer_path
+from tagloom.llm import chunk_bpe, decontaminate, exact_dedup, jaccard
+from tagloom.llm import quality as votes
+from tagloom.llm.common import set_checkpoint_dir
+from tagloom.llm.queries import HELD_OUT, HELD_OUT_PARTS, table, tokenizer_path
 
+#: The quality model and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the quality votes accept. Learns from the labels op6 learns from."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    seen = labels.where(votes.remainder(F.col("doc_id"), HELD_OUT_PARTS) != HELD_OUT)
+    space = votes.fit_votes(docs.select("doc_id", "text"), seen, votes.VoteParams())
+    return votes.keep_good(docs, space)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest id."""
+    return exact_dedup.keep_first(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by like word shingles the document with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages of note."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_texts(docs, tokenizer_path(), with_ids=False, keep=["doc_id"])
+    """doc_id, n_tokens, hashes and the ids of every document left."""
+    texts = docs.select("doc_id", "text")
+    return chunk_bpe.encode_texts(texts, tokenizer_path(), with_decoded=False, keep=["doc_id"])
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over the documents table."""
+    set_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for number, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from tagloom.llm.common import Memo, add_columns, fields, text_bytes
 from tagloom.llm.merges import FieldReader, merge_table
@@ -171,6 +172,7 @@ def encode_texts(
     tokenizer_path: str,
     text: str = "text",
     with_ids: bool = True,
+    with_decoded: bool = True,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Add n_tokens, ids_sha256, decoded_sha256 and, if wished, ids and decoded to every row.
@@ -182,7 +184,9 @@ def encode_texts(
 
     outputs = fields(n_tokens="long", ids_sha256="string", decoded_sha256="string")
     if with_ids:
-        outputs = outputs.add("ids", "array<int>").add("decoded", "string")
+        outputs.add("ids", ArrayType(IntegerType()))
+    if with_decoded:
+        outputs.add("decoded", StringType())
 
     def setup():
         encoder = chunk_encoder(tokenizer_path)
@@ -194,7 +198,9 @@ def encode_texts(
                 decoded = encoder.decode(ids)
                 row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()]
                 if with_ids:
-                    row += [np.frombuffer(ids, dtype="<i4"), decoded.decode()]
+                    row.append(np.frombuffer(ids, dtype="<i4"))
+                if with_decoded:
+                    row.append(decoded.decode())
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
             return columns

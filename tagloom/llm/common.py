@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +14,6 @@ from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Bytes of text a worker holds at once beside the Arrow batch; a longer text is a slice alone.
-SLICE_BYTES = 8_000_000
-
 Worker = Callable[..., Sequence]
 
 
@@ -51,23 +48,30 @@ def set_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
+def text_key(text: Column, *more: Column) -> Column:
+    """256-bit hash of a text, and of further values if given; null counts as empty."""
+    parts = [F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)]
+    parts += [F.coalesce(m.cast("string"), F.lit("")) for m in more]
+    return F.unhex(F.sha2(F.encode(F.concat_ws(" ", *parts), "UTF-8"), 256))
+
+
+def keep_rows(
+    docs: DataFrame, key: Column, keys: DataFrame, how: str = "left_semi", one_each: bool = False
+) -> DataFrame:
+    """The rows of docs whose key is among (left_semi) or not among (left_anti) those of `keys`,
+    its only column; columns as they are, whatever their names. One row per key if so wished."""
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    found = docs.select(row.alias("_row"), key.alias("_key")).join(keys.toDF("_key"), "_key", how)
+    if one_each:
+        found = found.groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return found.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def text_bytes(texts: pa.Array) -> pa.Array:
     """UTF-8 bytes of a string array, empty where null."""
     return texts.cast(pa.large_binary()).fill_null(b"")
 
 
-def slices(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of some SLICE_BYTES together."""
-    start = total = at = 0
-    for at, size in enumerate(sizes, 1):
-        total += size
-        if total >= SLICE_BYTES:
-            yield start, at
-            start, total = at, 0
-    if start < at:
-        yield start, at
-
-
 def add_columns(
     df: DataFrame,
     inputs: Sequence[str],

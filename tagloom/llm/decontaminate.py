@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import ascii_lower, whole_text
+from tagloom.llm.common import ascii_lower, keep_rows, text_key, whole_text
 
 WINDOW = 13
 #: Words of benchmark text whose windows may be broadcast, some 100 MB; beyond it they are joined
@@ -124,11 +124,30 @@ def benchmark_hits(
     return counted.withColumn("contaminated", much)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated, columns as they are. Ids are to be unique; of
-    several rows with one id all go if one is contaminated; rows with a null id are judged by
-    their text."""
-    bad = benchmark_hits(docs, benchmark, id_col, text).where("contaminated")
-    known = bad.select(F.col(id_col).alias("_bad")).where("_bad is not null").distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).join(known, F.col(id_col) == F.col("_bad"), "left_anti")
-    return with_id
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated, columns as they are. Whether a row is depends on
+    its text alone, so rows are told apart by a hash of it, whatever their ids."""
+    key = text_key(F.col(f"`{text}`").cast("string"))
+    texts = docs.select(key.alias("key"), F.col(f"`{text}`").alias("text"))
+    bad = benchmark_hits(texts, benchmark, "key").where("contaminated").select("key").distinct()
+    return keep_rows(docs, key, bad, "left_anti")
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """All rows of docs, their texts without the words that are hit and what follows each of them
+    up to the next word; texts without hits, null ones included, stay as they are."""
+    key = text_key(F.col(f"`{text}`").cast("string"))
+    texts = docs.select(key.alias("key"), F.col(f"`{text}`").alias("text"))
+    hits = benchmark_hits(texts, benchmark, "key").where("n_hit > 0")
+    cuts = hits.groupBy("key").agg(F.first("spans").alias("_spans"))
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    joined = docs.select(row.alias("_row"), key.alias("key")).join(cuts, "key", "left")
+    place = docs.columns.index(text)
+    whole = F.col(f"_row.c{place}")
+    # Only A-Z differ between the words counted and those cut here; both part at the same places.
+    pieces = F.regexp_extract_all(whole, F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), 1)
+    lead = F.regexp_extract(whole, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
+    kept = F.filter(pieces, lambda p, i: ~F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["stop"])))
+    cut = F.when(F.col("_spans").isNull(), whole).otherwise(F.concat(lead, F.array_join(kept, "")))
+    columns = [cut if i == place else F.col(f"_row.c{i}") for i in range(len(docs.columns))]
+    return joined.select(*(c.alias(n) for c, n in zip(columns, docs.columns, strict=True)))

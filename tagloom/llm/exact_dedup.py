@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import checkpointed, whole_text
+from tagloom.llm.common import checkpointed, keep_rows, text_key, whole_text
 
 BLOCK_BYTES = 8192
 _NO_RIGHT = -1  # in place of the right name of a last, odd block
@@ -124,20 +124,10 @@ def exact_duplicates(
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without those that exact_duplicates drops, columns as they are.
 
-    Of repeated rows of a kept id and equal text one stays.
+    Of repeated rows with a kept id and equal text one stays.
     """
     kept = exact_duplicates(docs, id_col, text).where("kept")
-    wanted = kept.select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha"))
-    return one_row_each(docs, wanted, id_col, F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256)))
-
-
-def one_row_each(docs: DataFrame, wanted: DataFrame, id_col: str, sha) -> DataFrame:
-    """One row of docs for each (_id, _sha) of `wanted`."""
-    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    keyed = docs.select(row.alias("_row"), F.col(f"`{id_col}`").alias("_id"), sha.alias("_sha"))
-    keyed = keyed.withColumn("_no_id", F.col("_id").isNull())
-    # Null ids are joined by their text alone.
-    same = [F.col("d._id").eqNullSafe(F.col("w._id")), F.col("d._sha") == F.col("w._sha")]
-    found = keyed.alias("d").join(wanted.alias("w"), same, "left_semi")
-    one = found.dropDuplicates(["_id", "_sha"])
-    return one.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    as_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    keys = kept.select(F.unhex(F.sha2(F.encode(F.concat_ws(" ", "text_sha256", as_text), "UTF-8"), 256)))
+    key = text_key(normalised(text), F.col(f"`{id_col}`"))
+    return keep_rows(docs, key, keys, one_each=True)

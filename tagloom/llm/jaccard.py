@@ -21,7 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import Memo, add_columns, checkpointed, fields, text_bytes, whole_text
+from tagloom.llm.common import (
+    Memo,
+    add_columns,
+    checkpointed,
+    fields,
+    keep_rows,
+    text_bytes,
+    text_key,
+    whole_text,
+)
 from tagloom.llm.components import connected_components
 
 #: Classes, and shingles, of a block that are compared at once with as many others.
@@ -325,3 +334,17 @@ def jaccard_join(
         F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).alias("n_links"),
         F.concat(F.hex(rows["c1"]), F.lit(":"), F.hex(rows["c2"])).alias("set_hash"),
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+    """The rows of docs with the least id of each component, columns as they are.
+
+    Rows of one id are told apart by their text, of repeated rows one stays; null ids come last.
+    Rows without words are linked with nothing and stay.
+    """
+    given, whole = F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string")
+    # Ordered by id, then by text; the least one of a component is kept.
+    name = F.struct(given.isNull().alias("no_id"), given.alias("id"), text_key(whole, given).alias("key"))
+    found = jaccard_join(docs.select(name.alias("name"), whole.alias("text")), "name", "text", width, percent)
+    kept = found.where(F.col("name") == F.col("component_id")).select("name.key").distinct()
+    return keep_rows(docs, text_key(whole, given), kept, one_each=True)

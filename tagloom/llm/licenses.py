@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from tagloom.llm.common import add_columns, fields, text_bytes
 
@@ -224,9 +225,8 @@ def scan_licenses(
         base_labels="string", labels="string", score="double",
     )
     if with_spans:
-        outputs = outputs.add(
-            "spans", "array<struct<label:string,start:long,stop:long>>"
-        )
+        span = StructType().add("label", StringType()).add("start", LongType()).add("stop", LongType())
+        outputs.add("spans", ArrayType(span))
 
     def setup():
         wanted = {b" " + " ".join(p.lower().split()).encode() + b" ": n for p, n in phrases.items()}

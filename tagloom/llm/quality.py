@@ -165,6 +165,7 @@ def score_quality(
     text: str = "text",
     threshold: float = 0.5,
     keep: list[str] | None = None,
+    names: tuple[str, str] = ("score", "predicted"),
 ) -> DataFrame:
     """Add score (0 to 1, higher: label 1 likelier) and predicted (1 from the threshold on).
 
@@ -189,5 +190,16 @@ def score_quality(
 
         return work
 
-    outputs = fields(score="double", predicted="int")
+    outputs = fields(**{names[0]: "double", names[1]: "int"})
     return add_columns(df.withColumn(text, F.col(text).cast("string")), [text], outputs, setup, keep)
+
+
+def keep_good(df: DataFrame, space: LabelledSpace, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows scored at least `threshold`, columns as they are."""
+    names, taken = ["score", "predicted"], {c.lower() for c in df.columns}
+    for i, name in enumerate(names):
+        while name in taken:
+            name += "_"
+        names[i] = name
+    scored = score_quality(df, space, text, threshold, names=tuple(names))
+    return scored.where(F.col(names[1]) == 1).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -79,7 +79,7 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return encode_texts(docs, tokenizer_path(), with_ids=False, keep=["doc_id"])
+    return encode_texts(docs, tokenizer_path(), with_ids=False, with_decoded=False, keep=["doc_id"])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
