@@ -310,6 +310,7 @@ def jaccard_join(
             F.ceil(F.count(F.lit(1)) / chunk_classes), F.ceil(F.sum("n") / chunk_shingles)
         ).cast("int").alias("chunks")
     )
+    blocks = checkpointed(blocks)  # so that Spark can split a large block in the join
     chunk = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
     placed = members.join(blocks, "root").withColumn("chunk", chunk)
     jobs = placed.select("cid", "root", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
