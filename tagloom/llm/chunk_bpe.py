@@ -71,13 +71,11 @@ def _character_start(raw: bytes, at: int) -> int:
 @dataclass(frozen=True)
 class Chunk:
     """Edges and inside of a chunk: head | first | inside | last | tail, each but the ends whole
-    words. `inside` is None where a chunk has too few words to have one."""
+    words. `inside` is None where a chunk has too few words to have one; `lead` then is all."""
 
-    text: str
-    lead: str = ""
+    lead: str
     first: bytes = b""
     inside: bytes | None = None
-    inside_text: str = ""
     last: bytes = b""
     trail: str = ""
 
@@ -85,7 +83,7 @@ class Chunk:
 class ChunkEncoder:
     """Whole texts to ids, as 32-bit little-endian bytes, and back."""
 
-    def __init__(self, path: str, limit: int = 20_000) -> None:
+    def __init__(self, path: str, limit: int = 8_000) -> None:
         table = merge_table(path)
         if table.tokenizer.decoder is not None:
             raise ValueError("only tokenizers whose tokens are joined by spaces are supported")
@@ -108,27 +106,27 @@ class ChunkEncoder:
             return Chunk(text)
         a, b = left.end(), len(text) - right.end()
         first, last = left.group(1), right.group(1)[::-1]
-        return Chunk(text, text[:a], self.ids(first), self.ids(text[a:b]), text[a:b], self.ids(last), text[b:])
+        return Chunk(text[:a], self.ids(first), self.ids(text[a:b]), self.ids(last), text[b:])
 
     def encode(self, raw: bytes) -> bytes:
         """Ids of a text: what encoding it in one piece gives."""
-        chunks, start = [], 0
+        pieces, start = [], 0
         for end in cut_points(raw):
-            chunks.append(self.chunks[raw[start:end]])
+            pieces.append(raw[start:end])
             start = end
-        inner, windows = _laid_out(chunks)
+        inner, windows = _laid_out([(p, self.chunks[p]) for p in pieces])
         while True:
             between = [self.ids(w) for w in windows]
             bad = {
                 i
-                for i, c in enumerate(inner)
+                for i, (_, c) in enumerate(inner)
                 if not (between[i].endswith(c.first) and between[i + 1].startswith(c.last))
             }
             if not bad:
                 break
             inner, windows = _widened(inner, windows, bad)
         parts = [between[0]]
-        for c, window in zip(inner, between[1:], strict=True):
+        for (_, c), window in zip(inner, between[1:], strict=True):
             parts += [c.inside, window]
         return b"".join(parts)
 
@@ -137,27 +135,29 @@ class ChunkEncoder:
         return b" ".join(map(self.names.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def _laid_out(chunks: list[Chunk]) -> tuple[list[Chunk], list[str]]:
+Placed = tuple[bytes, Chunk]
+
+
+def _laid_out(chunks: list[Placed]) -> tuple[list[Placed], list[str]]:
     """Chunks that have an inside, and the texts before, between and after their insides."""
     inner, windows = [], [""]
-    for c in chunks:
-        if c.inside is None:
-            windows[-1] += c.text
-        else:
-            inner.append(c)
-            windows[-1] += c.lead
+    for raw, c in chunks:
+        windows[-1] += c.lead
+        if c.inside is not None:
+            inner.append((raw, c))
             windows.append(c.trail)
     return inner, windows
 
 
-def _widened(inner: list[Chunk], windows: list[str], bad: set[int]) -> tuple[list[Chunk], list[str]]:
+def _widened(inner: list[Placed], windows: list[str], bad: set[int]) -> tuple[list[Placed], list[str]]:
     """The same without the insides of the chunks whose edges disagree."""
     kept, wider = [], [windows[0]]
-    for i, c in enumerate(inner):
+    for i, (raw, c) in enumerate(inner):
         if i in bad:
-            wider[-1] += c.inside_text + windows[i + 1]
+            text = raw.decode()
+            wider[-1] += text[len(c.lead) : len(text) - len(c.trail)] + windows[i + 1]
         else:
-            kept.append(c)
+            kept.append((raw, c))
             wider.append(windows[i + 1])
     return kept, wider
 

@@ -14,6 +14,9 @@ from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Rows worked on at once; bounds what a worker holds beside the Arrow batch.
+PART_ROWS = 512
+
 Worker = Callable[..., Sequence]
 
 
@@ -93,7 +96,7 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
-        for batch in batches:
+        for batch in (b.slice(at, PART_ROWS) for b in batches for at in range(0, b.num_rows, PART_ROWS)):
             work = work or setup()
             made = work(*(batch.column(places[c]) for c in inputs))
             arrays = [
@@ -133,7 +136,7 @@ class Memo(dict):
     Keys beyond `longest` are computed each time, so memory is bounded whatever the texts hold.
     """
 
-    def __init__(self, compute: Callable, limit: int = 200_000, longest: int = 200) -> None:
+    def __init__(self, compute: Callable, limit: int = 100_000, longest: int = 200) -> None:
         super().__init__()
         self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 

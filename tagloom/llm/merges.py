@@ -123,8 +123,8 @@ class FieldReader:
 
     def __init__(self, table: MergeTable, of_piece, of_special, join) -> None:
         self.table, self.of_special, self.join = table, of_special, join
-        self.of_piece = Memo(of_piece, 400_000)
-        self.of_field = Memo(self._field, 200_000)
+        self.of_piece = Memo(of_piece, 150_000)
+        self.of_field = Memo(self._field, 100_000)
 
     def _plain(self, field: str):
         return self.join(map(self.of_piece.__getitem__, self.table.pieces(field)))
