@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from workload.oracle import oracle as oracle_sql
+from workload.queries import all_queries as queries
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
