@@ -66,6 +66,11 @@ EXAMPLES = (
     "and {phone:+1 (303) 555-8214} the others went",
     "fax {phone:+1 212 555 0100} 12 pages",
     "phone {phone:+1 (171) 555-2028} 20260101 and more",
+    "paid {phone:+1 (212) 555-0199} {card:4012888888881881} today",
+    "and {phone:+1 (646) 555-0101} 4929963689861573 came",
+    "{phone:+1 (917) 555-0133} {card:5105105105105100} both",
+    "of {phone:+1 (718) 555-0122} 1234567890123456 more",
+    "to {phone:(202) 555-0111} {card:6011111111111117} then",
     "server {ip:192.0.2.44} is down",
     "from {ip:198.51.100.7}, port 8080",
     "at {ip:203.0.113.250}.",
