@@ -20,21 +20,17 @@ def with_general_tags(posts: DataFrame) -> DataFrame:
     )
 
 
-def score_floor(rating: Column, floors: dict[str, int]) -> Column:
-    """The floor of a rating, null for a rating without one."""
-    floor = None
-    for short, bound in floors.items():
-        hit = rating == short
-        floor = F.when(hit, bound) if floor is None else floor.when(hit, bound)
-    return floor
+def above_score_floor(posts: DataFrame, floors: dict[str, int]) -> DataFrame:
+    """Posts scored above their rating's floor."""
+    return posts.where(exceeds_floor(floors))
 
 
-def above_score_floor(posts: DataFrame, floors: dict[str, int]) -> DataFrame:
-    """Posts scored above their rating's floor. Plain comparisons, so they reach the scan."""
+def exceeds_floor(floors: dict[str, int]) -> Column:
+    """True above the floor of the rating. Plain comparisons, so they reach the scan."""
     keep = F.lit(False)
     for short, bound in floors.items():
         keep = keep | ((F.col("rating") == short) & (F.col("score") > bound))
-    return posts.where(keep)
+    return keep
 
 
 def from_year(posts: DataFrame, year: int) -> DataFrame:

@@ -72,8 +72,12 @@ class Encoder:
 
 
 def encoder(vocab: DataFrame, max_entries: int = MAX_LITERAL_ENTRIES) -> Encoder:
-    rows = vocab.where(F.col("kind") == "special").select("token", "token_id").limit(_MAX_SPECIAL)
-    special = {row["token"]: row["token_id"] for row in rows.collect()}
+    """Ready a vocabulary for encoding; duplicate tokens and special tokens past a bound raise."""
+    named = vocab.where(F.col("kind") == "special").select("token", "token_id")
+    rows = named.limit(_MAX_SPECIAL + 1).collect()
+    if len(rows) > _MAX_SPECIAL:
+        raise ValueError(f"more than {_MAX_SPECIAL} special tokens")
+    special = {row["token"]: row["token_id"] for row in rows}
     table = tag_table(vocab, "token", "token_id", "cnt", max_entries)
     return Encoder(table, vocab, special)
 

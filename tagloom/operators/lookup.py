@@ -94,7 +94,7 @@ def tag_table(
 ) -> TagTable:
     """Prepare `table` for `resolve`.
 
-    Keys must be unique. `weight` orders keys by how often they occur (highest first); it decides
+    A key listed twice is an error, at every size. `weight` orders keys by how often they occur (highest first); it decides
     which keys of an oversized table stay in the literal. At most `max_entries` rows reach the
     driver.
     """
@@ -103,6 +103,10 @@ def tag_table(
         F.col(value).cast(value_type).alias("_value"),
         (F.col(weight) if weight else F.lit(0)).alias("_weight"),
     )
+    twice = pairs.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = [row["_key"] for row in twice.select("_key").limit(10).collect()]
+    if found:
+        raise ValueError(f"duplicate keys: {found}")
     size = pairs.limit(max_entries + 1).count()
     n_buckets = max(1, min(size, max_entries) // _ENTRIES_PER_BUCKET)
     hashed = pairs.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(n_buckets)).cast("int"))

@@ -12,9 +12,10 @@ from tagloom.constants import SPECIAL_TOKENS
 from tagloom.functions.text import split_tags
 
 FIELDS = ("general", "copyright", "character")
-_POSITIONS = 65536
+# Places within a post are below 2^32, as arrays have no more items.
+_POSITIONS = 1 << 32
 # Tags first seen within the same 2^24 ids are ranked together.
-_SPAN_BITS = 40
+_SPAN = _POSITIONS << 24
 
 
 def _popular_defaults() -> dict[str, int]:
@@ -38,16 +39,16 @@ MASKED = VocabularyParams("masked", ("general",), {"general": 1000})
 def tag_counts(posts: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """field, tag, cnt, first_seen for every tag, all fields in one pass.
 
-    first_seen orders tags by the post (then the place) of their first appearance: id * 65536 +
-    position. One number instead of a struct keeps the aggregation hashed and combined before
-    the shuffle; ids past 2^47 overflow it and raise. Places past 65535 count as the last one.
+    first_seen orders tags by the post (then the place) of their first appearance: id * 2^32 +
+    position, exact for every id. One decimal instead of a struct keeps the aggregation hashed and
+    combined before the shuffle.
     """
     pairs = ", ".join(f"'{name}', `{name}`" for name in fields)
     stacked = posts.select("id", F.expr(f"stack({len(fields)}, {pairs}) as (field, text)"))
     exploded = stacked.where(F.col("text").isNotNull()).select(
         "id", "field", F.posexplode(split_tags(F.col("text"))).alias("pos", "tag")
     )
-    seen = F.col("id") * _POSITIONS + F.least(F.col("pos"), F.lit(_POSITIONS - 1))
+    seen = F.expr(f"cast(id as decimal(20, 0)) * {_POSITIONS} + pos").cast("decimal(38, 0)")
     return exploded.groupBy("field", "tag").agg(
         F.count(F.lit(1)).alias("cnt"), F.min(seen).alias("first_seen")
     )
@@ -90,7 +91,7 @@ def number_tokens(counts: DataFrame, kinds: Sequence[str], first_id: int) -> Dat
     groups. So no task ever orders the whole vocabulary.
     """
     ranked = counts.where(F.col("field").isin(*kinds)).withColumns(
-        {"_kind": _kind_rank(kinds), "_span": F.shiftright("first_seen", _SPAN_BITS)}
+        {"_kind": _kind_rank(kinds), "_span": F.expr(f"first_seen div {_SPAN}")}
     )
     group = ["_kind", "cnt", "_span"]
     groups = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))

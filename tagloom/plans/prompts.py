@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from tagloom import constants as C
 from tagloom.functions.prompts import finetune_prompt, pretrain_prompt
-from tagloom.functions.text import split_tags
+from tagloom.functions.text import iso_year, split_tags
 from tagloom.operators.clean import (
-    from_year,
-    score_floor,
+    exceeds_floor,
     with_general_tags,
     within_caps,
 )
@@ -172,11 +171,23 @@ def pretrain_rows(
 
 
 def _scored(posts: DataFrame, params: FinetuneParams) -> DataFrame:
-    """Recent enough, well enough scored posts; unknown ratings stay, to be reported later."""
-    recent = posts if params.first_year is None else from_year(posts, params.first_year)
+    """Recent enough, well enough scored posts; those without a known rating, score or readable
+    date stay, to be reported later."""
+    recent = posts
+    if params.first_year is not None:
+        year = iso_year(F.col("created_at"))
+        recent = posts.where((year >= params.first_year) | year.isNull())
     floors = dict(params.score_floors)
-    keep = F.col("score") > score_floor(F.col("rating"), floors)
-    return recent.where(keep | F.col("rating").isNull() | ~F.col("rating").isin(*floors))
+    rating = F.col("rating")
+    unsure = rating.isNull() | ~rating.isin(*floors) | F.col("score").isNull()
+    return recent.where(exceeds_floor(floors) | unsure)
+
+
+def _missing(params: FinetuneParams) -> list[tuple[str, Column]]:
+    missing = [("no_score", F.col("score").isNull())]
+    if params.first_year is not None:
+        missing.append(("no_date", iso_year(F.col("created_at")).isNull()))
+    return missing
 
 
 def finetune_rows(
@@ -186,7 +197,8 @@ def finetune_rows(
     groups: TagGroups = TagGroups(),
     params: FinetuneParams = FINETUNE,
 ) -> DataFrame:
-    """id, text, input_ids, reason for every post that passes the filters.
+    """id, text, input_ids, reason and the posts' other columns for every post that passes the
+    filters.
 
     `clusters` is keyed by `cluster_key(level, tag)`. A post whose tags cannot be organised or
     composed has a reason; with `fail_fast` it raises instead.
@@ -211,6 +223,7 @@ def finetune_rows(
     )
     reason = _reason(
         *_bad_tokens(),
+        *_missing(params),
         ("unclustered_tag", F.col("unclustered")),
         ("no_tags_to_complete", ~F.col("composable")),
     )
@@ -228,12 +241,15 @@ def finetune_rows(
         ).alias("text"),
         ids.alias("input_ids"),
         reason.alias("reason"),
+        *(c for c in posts.columns if c not in ("id", "text", "input_ids", "reason")),
     )
 
 
-def accepted(rows: DataFrame) -> DataFrame:
-    """Rows without a reason against them."""
-    return select_where(rows, F.col("reason").isNull(), "id", "text", "input_ids")
+def accepted(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows without a reason against them; the columns asked for, by default all but the reason.
+    What is not asked for is not computed."""
+    wanted = columns or tuple(c for c in rows.columns if c != "reason")
+    return select_where(rows, F.col("reason").isNull(), *wanted)
 
 
 def quarantined(rows: DataFrame) -> DataFrame:
@@ -271,7 +287,7 @@ def finetune_set(
     groups: TagGroups = TagGroups(),
     params: FinetuneParams = FINETUNE,
 ) -> DataFrame:
-    """id, text, input_ids, split."""
+    """id, text, input_ids, split and the posts' other columns."""
     return _split(
         posts,
         lambda some: finetune_rows(some, encoder, clusters, groups, params),

@@ -310,3 +310,27 @@ def test_report(data):
     assert report["popular_tags"].count() < report["tag_counts"].count()
     for table in report.values():
         assert table.columns
+
+
+def test_finetuning_rows_keep_the_posts_columns_and_lose_no_post_unseen(tiny):
+    posts, enc, clusters = tiny
+    params = replace(jobs.FINETUNE, score_floors=ANY_SCORE, first_year=2020)
+    blank = posts.where("id = 0").withColumn("score", F.lit(None).cast("int"))
+    undated = posts.where("id = 0").withColumn("created_at", F.lit("once"))
+    for odd, reason in ((blank, "no_score"), (undated, "no_date")):
+        rows = jobs.finetune_rows(odd, enc, clusters, params=params)
+        assert made(jobs.quarantined(rows), "reason") == {0: reason}
+    kept = jobs.accepted(jobs.finetune_rows(posts, enc, clusters, params=params))
+    assert set(posts.columns) <= set(kept.columns)
+    assert kept.where("id = 0").first()["image_width"] == 896
+
+
+def test_score_floors_reach_the_scan(data):
+    rows = jobs.finetune_rows(data.posts, data.encoder, data.clusters, GROUPS, FINETUNE)
+    pushed = plan_of(jobs.accepted(rows, "id")).split("PushedFilters:")[1].split("ReadSchema")[0]
+    assert "GreaterThan(score" in pushed
+
+
+def test_head_with_an_outlying_id(spark):
+    rows = spark.range(500).union(spark.createDataFrame([(2**62,)], "id long")).repartition(4)
+    assert [r["id"] for r in head(rows, 3).collect()] == [0, 1, 2]

@@ -42,7 +42,7 @@ def test_tag_counts(posts):
     assert counts["a"] == (3, 1)
     assert counts["b"] == (2, 0)
     assert counts["c"] == (2, 3)
-    assert counts["rare"] == (1, 65536 + 2)
+    assert counts["rare"] == (1, 2**32 + 2)
     ordered = [r["tag"] for r in most_frequent_first(tag_counts(posts, ("general",))).collect()]
     assert ordered[:3] == ["a", "b", "c"]
 
@@ -154,3 +154,19 @@ def test_most_frequent_keys_become_literal(spark):
     made = tag_table(table, "k", "v", "w", max_entries=1)
     row = spark.range(1).select(*[made.hot.get(F.lit(k)).alias(k) for k in "abc"]).first()
     assert (row["a"], row["b"], row["c"]) == (None, 2, None)
+
+
+@pytest.mark.parametrize("max_entries", [1, 20_000])
+def test_a_key_listed_twice_is_an_error_at_every_size(spark, max_entries):
+    table = spark.createDataFrame([("a", 1, 5), ("b", 2, 4), ("a", 3, 1)], "k string, v int, w int")
+    with pytest.raises(ValueError, match="duplicate keys: \\['a'\\]"):
+        tag_table(table, "k", "v", "w", max_entries=max_entries)
+
+
+def test_first_seen_is_exact_for_large_ids(spark):
+    posts = spark.createDataFrame(
+        [(2**62, ", ".join(["x"] * 70_000 + ["late", "later"]), None, None)],
+        "id long, general string, copyright string, character string",
+    )
+    rows = {r["tag"]: int(r["first_seen"]) for r in tag_counts(posts, ("general",)).collect()}
+    assert rows == {"x": 2**94, "late": 2**94 + 70_000, "later": 2**94 + 70_001}

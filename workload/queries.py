@@ -53,10 +53,10 @@ CALIBRATION = replace(
 )
 SCORE_RANGE = (0, 100, 50)
 COUNT_RANGE = (1, 1000, 100)
-SECTION_LENGTH = 48
 HIDDEN_SIZE = 64
 TOP_K = 30
-PADDED = 64
+PADDED = 32
+PADDING = 3
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -303,7 +303,7 @@ def encode_tags(c: Corpus) -> DataFrame:
 @query
 def detokenize(c: Corpus) -> DataFrame:
     """Texts of the prompts' ids without their special tokens."""
-    rows = jobs.accepted(jobs.pretrain_rows(c.posts, c.encoder, GROUPS))
+    rows = jobs.accepted(jobs.pretrain_rows(c.posts, c.encoder, GROUPS), "id", "input_ids")
     return decode(rows.select("id", "input_ids"), "input_ids", decoder(c.vocab)).select("id", "text")
 
 
@@ -434,13 +434,13 @@ def components_free(c: Corpus) -> DataFrame:
 @query
 def prompt_pretrain(c: Corpus) -> DataFrame:
     rows = jobs.pretrain_rows(c.posts, c.encoder, GROUPS)
-    return jobs.accepted(rows).select("id", "text")
+    return jobs.accepted(rows, "id", "text")
 
 
 @query
 def prompt_sft(c: Corpus) -> DataFrame:
     rows = jobs.finetune_rows(c.posts, c.encoder, c.clusters, GROUPS, FINETUNE)
-    return jobs.accepted(rows).select("id", "text")
+    return jobs.accepted(rows, "id", "text")
 
 
 @query
@@ -472,7 +472,7 @@ def prompt_inference(c: Corpus) -> DataFrame:
 
 
 def section_tokens(posts: DataFrame) -> DataFrame:
-    """Old-style token lists with a rating section, cut at a fixed length as a model would."""
+    """Old-style token lists with a rating section; one post in 20 lacks its last mark."""
 
     def section(start: str, tags: Column, end: str) -> Column:
         return F.concat(F.array(F.lit(start)), tags, F.array(F.lit(end)))
@@ -485,14 +485,18 @@ def section_tokens(posts: DataFrame) -> DataFrame:
         section(C.RATING_START, F.array(rating), C.RATING_END),
         section(C.COPYRIGHT_START, tokenize(F.col("copyright")), C.COPYRIGHT_END),
         section(C.CHARACTER_START, tokenize(F.col("character")), C.CHARACTER_END),
-        section(C.GENERAL_START, tokenize(F.col("general")), C.GENERAL_END),
+        F.array(F.lit(C.GENERAL_START)),
+        tokenize(F.col("general")),
+        F.when(F.col("id") % 20 == 3, F.array().cast("array<string>")).otherwise(
+            F.array(F.lit(C.GENERAL_END))
+        ),
     )
-    return posts.select("id", F.slice(whole, 1, SECTION_LENGTH).alias("tokens"))
+    return posts.select("id", whole.alias("tokens"))
 
 
 @query
 def prompt_sections(c: Corpus) -> DataFrame:
-    """Sections in their new order; lists that were cut short have no text."""
+    """Sections in their new order; lists without their last mark have no text."""
     marks = (C.RATING_END, C.COPYRIGHT_END, C.CHARACTER_END, C.GENERAL_END)
     skipped = [C.BOS, C.RATING_START, C.COPYRIGHT_START, C.CHARACTER_START, C.GENERAL_START]
     cut = section_tokens(clean.with_general_tags(c.posts)).withColumn(
@@ -622,14 +626,20 @@ def kmeans_map(c: Corpus) -> DataFrame:
 
 
 def _sft_ids(c: Corpus) -> DataFrame:
+    """Whole rows with some padding at their end."""
     rows = jobs.finetune_rows(c.posts, c.encoder, c.clusters, GROUPS, FINETUNE)
-    padded = L.pad_or_truncate(F.col("input_ids"), c.encoder.pad_id, PADDED)
-    return jobs.accepted(rows).select("id", padded.alias("ids"))
+    padding = F.array_repeat(F.lit(c.encoder.pad_id), PADDING)
+    ids = jobs.accepted(rows, "id", "input_ids")
+    return ids.select("id", F.concat("input_ids", padding).alias("ids"))
 
 
 @query
 def pad_truncate(c: Corpus) -> DataFrame:
-    return _sft_ids(c).select("id", numbers(F.col("ids")).alias("ids"))
+    """Ids at a length that some rows exceed and others don't reach."""
+    rows = jobs.finetune_rows(c.posts, c.encoder, c.clusters, GROUPS, FINETUNE)
+    padded = L.pad_or_truncate(F.col("input_ids"), c.encoder.pad_id, PADDED)
+    ids = jobs.accepted(rows, "id", "input_ids")
+    return ids.select("id", numbers(padded).alias("ids"))
 
 
 @query
