@@ -70,11 +70,11 @@ TEMPLATES = {
     ),
     "gpl-2.0": (
         "gnu general public license [[as published by the free software foundation]] "
-        "[[either]] {{version|v}} 2 [[0]]",
+        "[[either]] {{version 2|v 2|v2}} [[0]]",
     ),
     "gpl-3.0": (
         "gnu general public license [[as published by the free software foundation]] "
-        "[[either]] {{version|v}} 3 [[0]]",
+        "[[either]] {{version 3|v 3|v3}} [[0]]",
     ),
     "isc": (
         "permission to use copy modify and or distribute this software for any purpose with or "
