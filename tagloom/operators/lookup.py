@@ -6,7 +6,7 @@ Two ways, same result:
   resolved where they are: no explode, no shuffle, no regrouping. Spark scans a map entry by
   entry, hence the table is cut into many tiny maps picked by the hash of the key.
 * Larger tables keep only their most frequent keys in the literal. Those keys are the skewed
-  ones; every other item is exploded, joined by key and regrouped by row.
+  ones; every other item is exploded, joined by key and regrouped by row, in one use of the input.
 """
 
 from __future__ import annotations
@@ -63,25 +63,49 @@ class TagTable:
         found = df.withColumn(out, F.transform(F.col(keys), self.hot.get))
         if self.rest is None:
             return found
-        pairs = F.arrays_zip(F.col(keys).alias("key"), F.col(out).alias("value"))
-        salt = F.pmod(F.xxhash64(id_col, "pos"), F.lit(_SALTS)).cast("int")
-        missing = (
-            found.select(id_col, F.posexplode(pairs))
-            .where(F.col("col.value").isNull())
-            .select(id_col, "pos", F.col("col.key").alias("_key"))
-            .withColumn("_salt", salt)
+        # Each row is exploded once: itself, and one item per key not found. Only those are
+        # joined; a row's own item meets no key and is spread by its id.
+        columns = [c for c in found.columns if c != id_col]
+        whole = F.struct(*(f"`{c}`" for c in columns))
+        late = F.filter(
+            F.transform(
+                F.col(keys),
+                lambda k, i: F.when(
+                    F.get(F.col(out), i).isNull() & k.isNotNull(),
+                    F.struct(i.alias("pos"), k.alias("key")),
+                ),
+            ),
+            lambda item: item.isNotNull(),
         )
-        salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")
-        late = (
-            missing.join(self.rest.select("_key", "_value", salts), ["_key", "_salt"])
-            .groupBy(id_col)
-            .agg(F.map_from_entries(F.collect_list(F.struct("pos", "_value"))).alias("_late"))
+        late = F.coalesce(late, F.array().cast("array<struct<pos:int,key:string>>"))
+        itself = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("key")))
+        items = found.select(
+            id_col, whole.alias("_row"), F.explode(F.concat(itself, late)).alias("_item")
+        ).select(
+            id_col,
+            F.when(F.col("_item.pos") < 0, F.col("_row")).alias("_row"),
+            F.col("_item.pos").alias("_pos"),
+            F.col("_item.key").alias("_key"),
+        )
+        own = F.col("_pos") < 0
+        spread = F.xxhash64(id_col, "_pos")
+        salted = items.withColumn(
+            "_salt", F.when(own, spread).otherwise(F.pmod(spread, F.lit(_SALTS)))
+        )
+        salts = F.explode(F.expr(f"sequence(0L, {_SALTS - 1}L)")).alias("_salt")
+        looked_up = salted.join(
+            self.rest.select("_key", "_value", salts), ["_key", "_salt"], "left"
+        )
+        found_late = F.when(F.col("_value").isNotNull(), F.struct("_pos", "_value"))
+        rows = looked_up.groupBy(id_col).agg(
+            F.first("_row", ignorenulls=True).alias("_row"),
+            F.map_from_entries(F.collect_list(found_late)).alias("_late"),
         )
         filled = F.transform(
-            F.col(out), lambda v, i: F.coalesce(v, F.try_element_at(F.col("_late"), i))
+            F.col(f"_row.`{out}`"), lambda v, i: F.coalesce(v, F.try_element_at(F.col("_late"), i))
         )
-        whole = F.when(F.col("_late").isNull(), F.col(out)).otherwise(filled)
-        return found.join(late, id_col, "left").withColumn(out, whole).drop("_late")
+        kept = {c: F.col(f"_row.`{c}`") for c in columns} | {id_col: F.col(id_col), out: filled}
+        return rows.select(*(kept[c].alias(c) for c in found.columns))
 
 
 def tag_table(
@@ -94,9 +118,9 @@ def tag_table(
 ) -> TagTable:
     """Prepare `table` for `resolve`.
 
-    A key listed twice is an error, at every size. `weight` orders keys by how often they occur (highest first); it decides
-    which keys of an oversized table stay in the literal. At most `max_entries` rows reach the
-    driver.
+    A key listed twice is an error, at every size. `weight` orders keys by how often they occur
+    (highest first); it decides which keys of an oversized table stay in the literal. At most
+    `max_entries` rows reach the driver.
     """
     pairs = table.select(
         F.col(key).cast("string").alias("_key"),

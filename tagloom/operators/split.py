@@ -12,6 +12,9 @@ from tagloom.functions.draws import hash32
 
 Survivors = Callable[[DataFrame], DataFrame]
 _BUCKETS = 65_536
+_DRAWS = 1 << 32
+# The first look for test rows takes one row in this many.
+_FIRST_SHARE = 64
 
 
 def split_draw(seed: int) -> Column:
@@ -35,50 +38,52 @@ class SplitCut:
         return F.when((draw < self.draw) | at_cut, F.lit("test")).otherwise(F.lit("train"))
 
 
-def smallest(
-    rows: DataFrame,
-    n: int,
-    key: Column,
-    low: int,
-    high: int,
-    survivors: Survivors = lambda df: df,
-) -> tuple[int, int] | None:
-    """(key, id) of the n-th row by (key, id), or None if there are fewer rows.
-
-    Keys are whole numbers in [low, high]. A histogram of them finds the bucket the n-th row
-    falls into, and only that bucket, one row in 65,536 for even keys, is then ordered. Sorting
-    or collecting the n best of every task would grow with the number of tasks. `survivors` maps
-    rows to those that count, and runs a second time on that one bucket alone. One row is
-    fetched from each of the two jobs.
-    """
-    width = max(1, -(-(high - low + 1) // _BUCKETS))
-    bucket = F.floor((key - F.lit(low).cast("bigint")) / width)
-    counts = survivors(rows).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+def _histogram(keyed: DataFrame, n: int, width: int):
+    """The bucket the n-th row falls into, its rank in there, and how many rows there are."""
+    counts = keyed.groupBy(F.floor(F.col("key") / width).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
     upto = F.sum("n").over(Window.orderBy("bucket"))
-    edge = (
+    edge = F.when(F.col("upto") >= n, F.struct("bucket", (F.col("n") - F.col("upto") + n).alias("rank")))
+    return (
         counts.withColumn("upto", upto)
-        .where((F.col("upto") >= n) & (F.col("upto") - F.col("n") < n))
-        .select("bucket", (F.lit(n) - F.col("upto") + F.col("n")).alias("rank"))
+        .agg(F.min(edge).alias("edge"), F.max("upto").alias("total"))
         .first()
     )
-    if edge is None:
-        return None
-    near = survivors(rows.where(bucket == edge["bucket"]))
-    ranked = near.select("id", key.alias("key")).withColumn(
-        "row", F.row_number().over(Window.orderBy("key", "id"))
-    )
-    at = ranked.where(F.col("row") == edge["rank"]).first()
-    return at["key"], at["id"]
 
 
 def find_cut(
     rows: DataFrame, test_size: int, seed: int, survivors: Survivors = lambda df: df
 ) -> SplitCut:
-    """Where to cut so that exactly `test_size` of the surviving rows are test. Ids are unique."""
+    """Where to cut so that exactly `test_size` of the surviving rows are test. Ids are unique.
+
+    The test rows are those of the smallest draws, so `survivors` runs only on rows drawn below a
+    bound, one row in 64 at first. If too few of them survive, the bound is widened by the share
+    that did. A histogram of the draws finds the bucket the last test row falls into, and only
+    that bucket is ordered; one row is fetched from each job.
+    """
     if test_size <= 0:
         return SplitCut(-1, -1, seed)
-    at = smallest(rows, test_size, split_draw(seed), 0, 2**32 - 1, survivors)
-    return SplitCut(*(at or (None, None)), seed)
+    draw = split_draw(seed)
+    bound = _DRAWS // _FIRST_SHARE
+    while True:
+        below = survivors(rows.where(draw < bound)).select("id", draw.alias("key"))
+        width = max(1, bound // _BUCKETS)
+        found = _histogram(below, test_size, width)
+        if found["edge"] is not None:
+            break
+        if bound == _DRAWS:
+            return SplitCut(None, None, seed)
+        # Half as much again as the share that survived calls for, and twice the bound at least.
+        needed = bound * 3 * test_size // (2 * max(1, found["total"] or 0))
+        bound = min(_DRAWS, max(2 * bound, needed))
+    first = found["edge"]["bucket"] * width
+    near = survivors(rows.where((draw >= first) & (draw < first + width)))
+    ranked = near.select("id", draw.alias("key")).withColumn(
+        "row", F.row_number().over(Window.orderBy("key", "id"))
+    )
+    at = ranked.where(F.col("row") == found["edge"]["rank"]).first()
+    return SplitCut(at["key"], at["id"], seed)
 
 
 def head(rows: DataFrame, n: int) -> DataFrame:

@@ -27,22 +27,14 @@ def write_json_object(table: DataFrame, key: str, value: str, path: str) -> None
     table.agg(F.to_json(entries).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_splits(
-    rows: DataFrame, path: str, test_size: int, rows_per_file: int = DEFAULT_ROWS_PER_FILE
-) -> None:
-    """split=test and split=train folders, files of bounded size.
+def write_splits(rows: DataFrame, path: str, rows_per_file: int = DEFAULT_ROWS_PER_FILE) -> None:
+    """split=test and split=train folders in one run, files of bounded size.
 
-    The test rows are few and would otherwise end up in a tiny file per task, so they are
-    gathered into as many files as they need; train rows are written where they are.
+    Every task writes its own rows, so a rare split has up to one small file per task.
     """
-    test = rows.where(F.col("split") == "test").drop("split")
-    files = max(1, -(-test_size // rows_per_file))
-    gathered = test.repartition(files)
-    train = rows.where(F.col("split") == "train").drop("split")
-    for part, name in ((gathered, "test"), (train, "train")):
-        part.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(
-            f"{path}/split={name}"
-        )
+    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(
+        "split"
+    ).parquet(path)
 
 
 def write_vectors_tsv(vectors: DataFrame, path: str) -> None:

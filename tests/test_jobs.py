@@ -269,6 +269,26 @@ def test_split_counts_only_survivors(spark):
     assert kept.where("split = 'test'").count() == 50
 
 
+@pytest.mark.parametrize("share, size", [(1, 30), (40, 30), (900, 30), (2, 600)])
+def test_cut_looks_at_few_rows_and_widens_when_few_survive(spark, share, size):
+    from tagloom.operators.split import split_draw
+
+    rows = spark.range(30_000)
+    seen = []
+
+    def survivors(some):
+        seen.append(some.count())
+        return some.where(F.col("id") % share == 0)
+
+    cut = find_cut(rows, size, 1, survivors)
+    kept = rows.where(F.col("id") % share == 0).withColumn("draw", split_draw(1))
+    test = kept.withColumn("split", cut.column()).where("split = 'test'")
+    expected = kept.orderBy("draw", "id").limit(size)
+    assert {r["id"] for r in test.collect()} == {r["id"] for r in expected.collect()}
+    if share == 1:
+        assert sum(seen) < 1_000
+
+
 # Plans
 
 

@@ -149,6 +149,23 @@ def test_hot_key_outside_the_literal(spark):
         assert row["out"] == [49, row["id"] % 50, None]
 
 
+def test_joined_keys_use_the_input_once_and_keep_every_row(spark):
+    table = spark.createDataFrame([(f"k{i}", i, 0) for i in range(9)], "k string, v int, w int")
+    rows = spark.createDataFrame(
+        [(1, ["k8", None, "k0", "k8", "none"], "a"), (2, [], None), (3, None, "c"), (4, [None], "d")],
+        "id long, keys array<string>, `other.name` string",
+    )
+    made = tag_table(table, "k", "v", "w", max_entries=2).resolve(rows, "keys", "out")
+    assert made.columns == ["id", "keys", "other.name", "out"]
+    found = {r["id"]: (r["out"], r["other.name"]) for r in made.collect()}
+    assert found == {
+        1: ([8, None, 0, 8, None], "a"), 2: ([], None), 3: (None, "c"), 4: ([None], "d")
+    }
+    ranged = spark.range(10).select("id", F.array(F.lit("k7")).alias("keys"))
+    plan = tag_table(table, "k", "v", "w", max_entries=2).resolve(ranged, "keys", "out")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 10") == 1
+
+
 def test_most_frequent_keys_become_literal(spark):
     table = spark.createDataFrame([("a", 1, 5), ("b", 2, 50), ("c", 3, None)], "k string, v int, w int")
     made = tag_table(table, "k", "v", "w", max_entries=1)
