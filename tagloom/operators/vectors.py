@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.draws import digest_sql
@@ -18,6 +18,8 @@ from tagloom.functions.draws import digest_sql
 MAX_MATRIX_BYTES = 128 * 2**20
 _ROUND = 9
 _QUERY_CHUNK = 512
+# Of vectors in one block of queries or one shard; their product is taken 512 queries at a time.
+_BLOCK_BYTES = 16 << 20
 
 
 def tag_vectors(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -97,48 +99,45 @@ def _first_k(sim: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(nearest, order, axis=1)
 
 
-def _best_of(asked: list, matrix: np.ndarray, vectors: DataFrame, k: int) -> DataFrame:
-    """Each batch of vectors is multiplied with all queries and returns the k best per query."""
-    spark = vectors.sparkSession
-    names = spark.sparkContext.broadcast(asked)
-    units = spark.sparkContext.broadcast(_unit(matrix.astype(np.float64)))
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            block = _unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64))
-            ids = batch["token_id"].to_numpy(np.int64)
-            tokens = batch["token"].to_numpy(object)
-            for start in range(0, len(names.value), _QUERY_CHUNK):
-                chunk = names.value[start : start + _QUERY_CHUNK]
-                sim = units.value[start : start + _QUERY_CHUNK] @ block.T
-                best = _first_k(sim, ids, k)
-                value = np.round(np.take_along_axis(sim, best, axis=1), _ROUND).ravel()
-                yield pd.DataFrame(
+def _nearest(asked: pd.DataFrame, found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of one shard of vectors for each query of one block."""
+    parts = []
+    if len(asked) and len(found):
+        units = _unit(np.stack(asked["wanted"].to_numpy()).astype(np.float64))
+        shard = _unit(np.stack(found["embedding"].to_numpy()).astype(np.float64))
+        names = asked["query"].to_numpy(object)
+        ids = found["token_id"].to_numpy(np.int64)
+        tokens = found["token"].to_numpy(object)
+        for start in range(0, len(names), _QUERY_CHUNK):
+            sim = units[start : start + _QUERY_CHUNK] @ shard.T
+            best = _first_k(sim, ids, k)
+            value = np.round(np.take_along_axis(sim, best, axis=1), _ROUND).ravel()
+            parts.append(
+                pd.DataFrame(
                     {
-                        "query": np.repeat(np.array(chunk, dtype=object), best.shape[1]),
+                        "query": np.repeat(names[start : start + _QUERY_CHUNK], best.shape[1]),
                         "token_id": ids[best].ravel(),
                         "token": tokens[best].ravel(),
                         "similarity": np.where(np.isnan(value), None, value),
                     }
                 )
-
-    schema = "query string, token_id bigint, token string, similarity double"
-    return vectors.select("token_id", "token", "embedding").mapInPandas(partial, schema)
+            )
+    columns = ["query", "token_id", "token", "similarity"]
+    return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
 
 
 def similar_tags(
     queries: DataFrame,
     vectors: DataFrame,
     k: int = 30,
-    max_bytes: int = MAX_MATRIX_BYTES,
+    max_bytes: int = _BLOCK_BYTES,
 ) -> DataFrame:
     """query, rank, token_id, token, similarity: the k tags closest by cosine, itself included.
 
-    The queries travel to the vectors in blocks of checked size, each batch of vectors returns k
-    rows per query, and only those are shuffled; pairs are never written out. Zero vectors have no
-    similarity and come last. A query without a vector gets one row of nulls.
+    Queries are dealt into blocks and vectors into shards of about `max_bytes`. Every task
+    multiplies one block with one shard and returns k rows per query, and only those are ranked;
+    pairs are never written out and no vector reaches the driver. Zero vectors have no similarity
+    and come last. A query without a vector gets one row of nulls.
     """
     wanted = queries.select("token").distinct()
     asked = vectors.join(wanted, "token", "left_semi")
@@ -150,20 +149,38 @@ def similar_tags(
         nothing.cast("string").alias("token"),
         nothing.cast("double").alias("similarity"),
     )
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    per_block = max(1, max_bytes // (8 * (size["d"] or 1)))
-    n_blocks = -(-size["n"] // per_block)
-    parts = []
-    for block in range(max(1, n_blocks)):
-        mine = F.pmod(F.xxhash64("token"), F.lit(max(1, n_blocks))) == block
-        names, matrix = _fetched(asked.where(mine), "token")
-        if names:
-            parts.append(_best_of(names, matrix, vectors, k))
-    if not parts:
-        return unknown
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+
+    def parts(table: DataFrame) -> int:
+        size = table.agg(F.sum(F.size("embedding").cast("bigint")).alias("n")).first()["n"]
+        return max(1, -(-8 * (size or 0) // max_bytes))
+
+    n_blocks, n_shards = parts(asked), parts(vectors)
+
+    def dealt(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    block, shard = dealt("token", n_blocks), dealt("token_id", n_shards)
+    # Renamed, as both sides come from one table.
+    left = asked.select(
+        F.col("token").alias("query"),
+        F.col("embedding").alias("wanted"),
+        block.alias("block"),
+        each(n_shards).alias("shard"),
+    )
+    right = vectors.select(
+        "token_id", "token", "embedding", each(n_blocks).alias("block"), shard.alias("shard")
+    )
+    found = (
+        left.groupBy("block", "shard")
+        .cogroup(right.groupBy("block", "shard"))
+        .applyInPandas(
+            lambda some, others: _nearest(some, others, k),
+            "query string, token_id bigint, token string, similarity double",
+        )
+    )
     best = Window.partitionBy("query").orderBy(F.col("similarity").desc_nulls_last(), "token_id")
     return (
         found.withColumn("rank", F.row_number().over(best))

@@ -852,14 +852,14 @@ vectors AS (SELECT token_id, token, CAST(embedding AS DOUBLE[]) AS v
 similarities AS (
   SELECT q.token AS query, t.token_id, t.token,
          round(list_cosine_similarity(q.v, t.v), 9) AS similarity
-  FROM vectors q, vectors t),
+  FROM vectors q, vectors t WHERE q.token_id % 20 = 0),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, token_id) AS rank
   FROM similarities)""",
             select="SELECT query, CAST(rank AS INTEGER) AS rank, token, "
             "round(similarity, 6) AS similarity FROM ranked WHERE rank <= 30 "
             "UNION ALL SELECT token, NULL, NULL, NULL FROM vocab "
-            "WHERE token_id NOT IN (SELECT vec_id FROM embeddings)",
+            "WHERE token_id % 20 = 0 AND token_id NOT IN (SELECT vec_id FROM embeddings)",
         ),
         "vector_lookup": with_(
             *BASE,
