@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom import constants as C
 from tagloom.functions.text import SEPARATOR, has_text, tokenize
-from tagloom.operators.lookup import MAX_LITERAL_ENTRIES, TagTable, tag_table
+from tagloom.operators.lookup import MAX_LITERAL_ENTRIES, TagTable, Wanted, resolve_all, tag_table
 
 _MAX_SPECIAL = 10_000
 
@@ -39,11 +40,13 @@ class Encoder:
         """Array of the ids of fixed special tokens."""
         return F.expr(f"array({', '.join(str(self.special[t]) for t in tokens)})")
 
+    def wanted(self, text: Column, out: str) -> Wanted:
+        """The ids of a tag string in order, to be looked up along with other lists."""
+        return Wanted(tokenize(text), self.table, out)
+
     def known_ids(self, df: DataFrame, text: str, out: str) -> DataFrame:
         """Ids of a tag string in order, null for each unknown tag."""
-        tokens = f"_{out}_tokens"
-        tokenized = df.withColumn(tokens, tokenize(F.col(text)))
-        return self.table.resolve(tokenized, tokens, out).drop(tokens)
+        return resolve_all(df, [self.wanted(F.col(text), out)])
 
     def encode(self, df: DataFrame, text: str, out: str = "token_ids") -> DataFrame:
         """Ids of a tag string in order, the unknown id for each unknown tag."""
@@ -54,21 +57,22 @@ class Encoder:
 
     def known_tokens(self, df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
         """Array of struct (tag, token_id): the known tags in order, the unknown dropped."""
-        tags, ids = f"_{out}_tags", f"_{out}_ids"
-        tokenized = df.withColumn(tags, tokenize(F.col(text)))
-        resolved = self.table.resolve(tokenized, tags, ids)
-        pairs = F.zip_with(
-            F.col(tags), F.col(ids), lambda t, i: F.struct(t.alias("tag"), i.alias("token_id"))
-        )
-        return resolved.withColumn(
-            out, F.filter(pairs, lambda p: p["token_id"].isNotNull())
-        ).drop(tags, ids)
-
-    def reject_unknown(self, df: DataFrame, text: str) -> DataFrame:
-        """Rows whose tag string holds known tags only; the empty string passes."""
-        ids = f"_{text}_ids"
+        ids = f"_{out}_ids"
         found = self.known_ids(df, text, ids)
-        return found.where(~F.exists(F.col(ids), lambda i: i.isNull())).drop(ids)
+        return found.withColumn(out, known_pairs(tokenize(F.col(text)), F.col(ids))).drop(ids)
+
+    def reject_unknown(self, df: DataFrame, *texts: str) -> DataFrame:
+        """Rows whose tag strings hold known tags only; the empty string passes."""
+        ids = {text: f"_{text}_ids" for text in texts}
+        found = resolve_all(df, [self.wanted(F.col(text), out) for text, out in ids.items()])
+        unknown = (F.exists(F.col(out), lambda i: i.isNull()) for out in ids.values())
+        return found.where(~reduce(Column.__or__, unknown)).drop(*ids.values())
+
+
+def known_pairs(tags: Column, ids: Column) -> Column:
+    """Array of struct (tag, token_id) of the tags that have an id."""
+    pairs = F.zip_with(tags, ids, lambda t, i: F.struct(t.alias("tag"), i.alias("token_id")))
+    return F.filter(pairs, lambda p: p["token_id"].isNotNull())
 
 
 def encoder(vocab: DataFrame, max_entries: int = MAX_LITERAL_ENTRIES) -> Encoder:
@@ -78,7 +82,7 @@ def encoder(vocab: DataFrame, max_entries: int = MAX_LITERAL_ENTRIES) -> Encoder
     if len(rows) > _MAX_SPECIAL:
         raise ValueError(f"more than {_MAX_SPECIAL} special tokens")
     special = {row["token"]: row["token_id"] for row in rows}
-    table = tag_table(vocab, "token", "token_id", "cnt", max_entries)
+    table = tag_table(vocab, "token", "token_id", max_entries=max_entries)
     return Encoder(table, vocab, special)
 
 
@@ -95,16 +99,13 @@ def decoder(
     """Token id -> token, without special tokens (if so wished) and without blank ones."""
     kept = vocab.where(F.col("kind") != "special") if skip_special else vocab
     names = kept.where(has_text(F.col("token")))
-    return tag_table(names, "token_id", "token", "cnt", max_entries, "string")
+    return tag_table(names, "token_id", "token", "string", max_entries)
 
 
 def decode(df: DataFrame, ids: str, tokens: TagTable, out: str = "text") -> DataFrame:
     """Joined tokens of an id array; ids the decoder leaves out are skipped."""
-    keys, names = f"_{out}_keys", f"_{out}_names"
-    keyed = df.withColumn(keys, F.transform(F.col(ids), lambda i: i.cast("string")))
+    names = f"_{out}_names"
+    keys = F.transform(F.col(ids), lambda i: i.cast("string"))
+    found = resolve_all(df, [Wanted(keys, tokens, names)])
     # array_join leaves out nulls.
-    return (
-        tokens.resolve(keyed, keys, names)
-        .withColumn(out, F.array_join(F.col(names), SEPARATOR))
-        .drop(keys, names)
-    )
+    return found.withColumn(out, F.array_join(F.col(names), SEPARATOR)).drop(names)

@@ -1,28 +1,32 @@
-"""Resolving every item of a list against a key -> value table.
+"""Resolving every item of one or more lists against key -> value tables.
 
-Two ways, same result:
+Two ways to the same rows, whichever the tables' size:
 
-* Tables up to a checked size become a literal inside the column expression, so lists are
-  resolved where they are: no explode, no shuffle, no regrouping. Spark scans a map entry by
-  entry, hence the table is cut into many tiny maps picked by the hash of the key.
-* Larger tables keep only their most frequent keys in the literal. Those keys are the skewed
-  ones; every other item is exploded, joined by key and regrouped by row, in one use of the input.
+* Small tables become a literal inside the column expression, so lists are resolved where they
+  are and posts are not shuffled. Spark scans a map entry by entry, hence the table is cut into
+  many tiny maps picked by the hash of the key.
+* With a larger table each row is exploded once, into itself and one item per key of all its
+  lists. The items are joined with their tables and regrouped by the row's id: one use of the
+  input and one regrouping, however many lists and tables there are. Adaptive execution splits hot
+  keys of that join.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Up to so many entries a table is a literal; the most that ever reach the driver.
 MAX_LITERAL_ENTRIES = 20_000
 _ENTRIES_PER_BUCKET = 2
-_SALTS = 64
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Lookup:
     """A key -> value table usable inside any column expression, also within lambdas."""
 
@@ -35,107 +39,119 @@ class Lookup:
         return F.try_element_at(F.get(self.buckets, slot), key)
 
 
-def _literal(rows: list, n_buckets: int, value_type: str) -> Lookup:
+def _literal(pairs: DataFrame, size: int, value_type: str) -> Lookup:
+    n_buckets = max(1, size // _ENTRIES_PER_BUCKET)
+    slot = F.pmod(F.xxhash64("_key"), F.lit(n_buckets)).cast("int")
     maps: list[dict] = [{} for _ in range(n_buckets)]
-    for bucket, key, value in rows:
+    for bucket, key, value in pairs.select(slot, "_key", "_value").collect():
         maps[bucket][key] = value
     text = json.dumps(maps, ensure_ascii=False, separators=(",", ":"))
     # from_json over a literal is folded to a constant before the job runs.
     return Lookup(F.from_json(F.lit(text), f"array<map<string,{value_type}>>"), n_buckets)
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class TagTable:
-    """A key -> value table split into a literal part and, if it is large, a rest to join."""
+    """A table of unique keys (`_key`) and their values (`_value`); a small one also as literal."""
 
-    hot: Lookup
-    rest: DataFrame | None
-
-    @property
-    def is_literal(self) -> bool:
-        return self.rest is None
+    pairs: DataFrame
+    literal: Lookup | None
 
     def resolve(self, df: DataFrame, keys: str, out: str, id_col: str = "id") -> DataFrame:
-        """Add `out`: for each key in the string array column `keys` its value, or null.
-
-        `id_col` must identify a row; it is used only when part of the table has to be joined.
-        """
-        found = df.withColumn(out, F.transform(F.col(keys), self.hot.get))
-        if self.rest is None:
-            return found
-        # Each row is exploded once: itself, and one item per key not found. Only those are
-        # joined; a row's own item meets no key and is spread by its id.
-        columns = [c for c in found.columns if c != id_col]
-        whole = F.struct(*(f"`{c}`" for c in columns))
-        late = F.filter(
-            F.transform(
-                F.col(keys),
-                lambda k, i: F.when(
-                    F.get(F.col(out), i).isNull() & k.isNotNull(),
-                    F.struct(i.alias("pos"), k.alias("key")),
-                ),
-            ),
-            lambda item: item.isNotNull(),
-        )
-        late = F.coalesce(late, F.array().cast("array<struct<pos:int,key:string>>"))
-        itself = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("key")))
-        items = found.select(
-            id_col, whole.alias("_row"), F.explode(F.concat(itself, late)).alias("_item")
-        ).select(
-            id_col,
-            F.when(F.col("_item.pos") < 0, F.col("_row")).alias("_row"),
-            F.col("_item.pos").alias("_pos"),
-            F.col("_item.key").alias("_key"),
-        )
-        own = F.col("_pos") < 0
-        spread = F.xxhash64(id_col, "_pos")
-        salted = items.withColumn(
-            "_salt", F.when(own, spread).otherwise(F.pmod(spread, F.lit(_SALTS)))
-        )
-        salts = F.explode(F.expr(f"sequence(0L, {_SALTS - 1}L)")).alias("_salt")
-        looked_up = salted.join(
-            self.rest.select("_key", "_value", salts), ["_key", "_salt"], "left"
-        )
-        found_late = F.when(F.col("_value").isNotNull(), F.struct("_pos", "_value"))
-        rows = looked_up.groupBy(id_col).agg(
+        """Add `out`: for each key in the string array column `keys` its value, or null."""
+        return resolve_all(df, [Wanted(F.col(keys), self, out)], id_col)
+
+
+@dataclass(frozen=True, eq=False)
+class Wanted:
+    """The values of a string array's keys in a table, to be added as the array column `out`."""
+
+    keys: Column
+    table: TagTable
+    out: str
+
+
+def _united(tables: Sequence[TagTable]) -> DataFrame:
+    numbered = [t.pairs.select(F.lit(n).alias("_table"), "*") for n, t in enumerate(tables)]
+    return reduce(DataFrame.unionAll, numbered)
+
+
+def resolve_all(df: DataFrame, wanted: Sequence[Wanted], id_col: str = "id") -> DataFrame:
+    """Add the `out` column of each wanted list; null for a null list.
+
+    `id_col` must identify a row; it is used only when a table is no literal. The tables of one
+    call have values of one type.
+    """
+    if all(w.table.literal is not None for w in wanted):
+        return df.withColumns({w.out: F.transform(w.keys, w.table.literal.get) for w in wanted})
+    tables = list(dict.fromkeys(w.table for w in wanted))
+    columns = [c for c in df.columns if c != id_col]
+    lists = [f"_keys_{n}" for n in range(len(wanted))]
+    sizes = [f"_size_{n}" for n in range(len(wanted))]
+    keyed = df.withColumns({name: w.keys for name, w in zip(lists, wanted, strict=True)})
+    # Of no table and named by the row, so that rows and null keys are spread evenly.
+    own = F.col(f"`{id_col}`").cast("string")
+    no_keys = F.array().cast("array<string>")
+    all_keys = F.concat(F.array(own), *(F.coalesce(F.col(name), no_keys) for name in lists))
+    sized = keyed.withColumns(
+        {
+            size: F.when(F.col(name).isNotNull(), F.size(name))
+            for name, size in zip(lists, sizes, strict=True)
+        }
+    )
+    exploded = sized.select(
+        F.col(f"`{id_col}`"),
+        F.struct(*(F.col(f"`{c}`") for c in columns), *sizes).alias("_row"),
+        F.posexplode(all_keys).alias("_slot", "_key"),
+    )
+    # Slot 0 is the row itself, then come the keys of each list.
+    number = F.when((F.col("_slot") == 0) | F.col("_key").isNull(), F.lit(-1))
+    end = F.lit(0)
+    for w, size in zip(wanted, sizes, strict=True):
+        end = end + F.coalesce(F.col(f"_row.{size}"), F.lit(0))
+        number = number.when(F.col("_slot") <= end, F.lit(tables.index(w.table)))
+    exploded = exploded.select(
+        F.col(f"`{id_col}`"),
+        F.when(F.col("_slot") == 0, F.col("_row")).alias("_row"),
+        "_slot",
+        number.alias("_table"),
+        F.coalesce("_key", own).alias("_key"),
+    )
+    regrouped = (
+        exploded.join(_united(tables), ["_table", "_key"], "left")
+        .groupBy(f"`{id_col}`")
+        .agg(
             F.first("_row", ignorenulls=True).alias("_row"),
-            F.map_from_entries(F.collect_list(found_late)).alias("_late"),
-        )
-        filled = F.transform(
-            F.col(f"_row.`{out}`"), lambda v, i: F.coalesce(v, F.try_element_at(F.col("_late"), i))
+            F.sort_array(F.collect_list(F.struct("_slot", "_value")))["_value"].alias("_values"),
         )
-        kept = {c: F.col(f"_row.`{c}`") for c in columns} | {id_col: F.col(id_col), out: filled}
-        return rows.select(*(kept[c].alias(c) for c in found.columns))
+    )
+    made = {c: F.col(f"_row.`{c}`") for c in columns} | {id_col: F.col(f"`{id_col}`")}
+    start = F.lit(2)
+    for w, size in zip(wanted, sizes, strict=True):
+        n = F.col(f"_row.{size}")
+        made[w.out] = F.slice("_values", start, n)
+        start = start + F.coalesce(n, F.lit(0))
+    names = dict.fromkeys([*df.columns, *(w.out for w in wanted)])
+    return regrouped.select(*(made[c].alias(c) for c in names))
 
 
 def tag_table(
     table: DataFrame,
     key: str,
     value: str,
-    weight: str | None = None,
-    max_entries: int = MAX_LITERAL_ENTRIES,
     value_type: str = "int",
+    max_entries: int = MAX_LITERAL_ENTRIES,
 ) -> TagTable:
-    """Prepare `table` for `resolve`.
-
-    A key listed twice is an error, at every size. `weight` orders keys by how often they occur
-    (highest first); it decides which keys of an oversized table stay in the literal. At most
-    `max_entries` rows reach the driver.
+    """Prepare `table` for lookups. A key listed twice is an error at every size; null keys are
+    never found. At most `max_entries` rows reach the driver.
     """
     pairs = table.select(
-        F.col(key).cast("string").alias("_key"),
-        F.col(value).cast(value_type).alias("_value"),
-        (F.col(weight) if weight else F.lit(0)).alias("_weight"),
-    )
-    twice = pairs.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = [row["_key"] for row in twice.select("_key").limit(10).collect()]
-    if found:
-        raise ValueError(f"duplicate keys: {found}")
-    size = pairs.limit(max_entries + 1).count()
-    n_buckets = max(1, min(size, max_entries) // _ENTRIES_PER_BUCKET)
-    hashed = pairs.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(n_buckets)).cast("int"))
-    if size > max_entries:
-        hashed = hashed.orderBy(F.col("_weight").desc_nulls_last(), "_key").limit(max_entries)
-    hot = _literal(hashed.select("_bucket", "_key", "_value").collect(), n_buckets, value_type)
-    # Keys already in the literal never reach the join, so they may stay in the joined side.
-    return TagTable(hot, pairs.select("_key", "_value") if size > max_entries else None)
+        F.col(key).cast("string").alias("_key"), F.col(value).cast(value_type).alias("_value")
+    ).where(F.col("_key").isNotNull())
+    per_key = pairs.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
+    twice = F.min(F.when(F.col("n") > 1, F.col("_key"))).alias("twice")
+    checked = per_key.agg(twice, F.count(F.lit(1)).alias("size")).first()
+    if checked["twice"] is not None:
+        raise ValueError(f"duplicate keys: {[checked['twice']]}")
+    small = checked["size"] <= max_entries
+    return TagTable(pairs, _literal(pairs, checked["size"], value_type) if small else None)

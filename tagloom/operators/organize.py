@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom import constants as C
-from tagloom.operators.lookup import TagTable
+from tagloom.operators.lookup import TagTable, Wanted, resolve_all
 
 TagOf = Callable[[Column], Column]
 _MAX_GROUPED = 100_000
@@ -95,16 +95,29 @@ def by_cluster(
     def key(item: Column) -> Column:
         return tag_of(item) if level is None else cluster_key(level, tag_of(item))
 
-    keyed = df.withColumn("_keys", F.transform(F.col("rest"), key))
-    found = clusters.resolve(keyed, "_keys", "_clusters")
+    keys = F.transform(F.col("rest"), key)
+    found = resolve_all(df, [Wanted(keys, clusters, "_clusters")])
     ids = F.col("_clusters")
+    return _in_clusters(found, ids, lambda _, i: F.get(ids, i), level).drop("_clusters")
+
+
+def by_own_cluster(df: DataFrame, level: Column | None = None) -> DataFrame:
+    """As `by_cluster`, of items that hold their cluster as `cluster_id`; nothing is looked up."""
+    ids = F.transform(F.col("rest"), lambda item: item["cluster_id"])
+    return _in_clusters(df, ids, lambda item, _: item["cluster_id"], level)
+
+
+def _in_clusters(
+    df: DataFrame, ids: Column, id_of: Callable[[Column, Column], Column], level: Column | None
+) -> DataFrame:
+    """`ids` are the clusters of the rest, `id_of` that of an item at a place."""
 
     def members(cluster: Column) -> Column:
-        return F.filter(F.col("rest"), lambda _, i: F.get(ids, i).eqNullSafe(cluster))
+        return F.filter(F.col("rest"), lambda item, i: id_of(item, i).eqNullSafe(cluster))
 
     other = F.transform(F.array_distinct(ids), members)
     lost = F.exists(ids, lambda c: c.isNull())
     if level is not None:
         other = F.when(level == "none", F.array(F.col("rest"))).otherwise(other)
         lost = (level != "none") & lost
-    return found.withColumns({"other": other, "unclustered": lost}).drop("_keys", "_clusters")
+    return df.withColumns({"other": other, "unclustered": lost})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom import constants as C
 from tagloom.functions.prompts import finetune_prompt, pretrain_prompt
-from tagloom.functions.text import iso_year, split_tags
+from tagloom.functions.text import iso_year, split_tags, tokenize
 from tagloom.operators.clean import (
     exceeds_floor,
     with_general_tags,
@@ -22,11 +22,12 @@ from tagloom.operators.compose import (
     identity_level,
 )
 from tagloom.operators.encode import Encoder
-from tagloom.operators.lookup import TagTable
+from tagloom.operators.lookup import TagTable, Wanted, resolve_all
 from tagloom.operators.organize import (
     TagGroups,
     as_one_cluster,
-    by_cluster,
+    by_own_cluster,
+    cluster_key,
     named,
     organize_by_group,
 )
@@ -74,25 +75,62 @@ CALIBRATION = FinetuneParams(
 )
 
 
-def known_posts(posts: DataFrame, encoder: Encoder, caps: Caps) -> DataFrame:
+def _section_keys() -> Column:
+    """Every token the copyright and character sections can be cut into, in any order of tags.
+
+    A tag with leading white space is another token at the front of its text than behind a comma.
+    """
+
+    def keys(column: str) -> Column:
+        text = F.col(column)
+        return F.concat(tokenize(text), F.flatten(F.transform(split_tags(text), tokenize)))
+
+    return F.array_distinct(F.concat(keys("copyright"), keys("character")))
+
+
+def known_posts(
+    posts: DataFrame, encoder: Encoder, caps: Caps, clusters: TagTable | None = None
+) -> DataFrame:
     """Posts with general tags whose copyright and character tags are all known, within caps.
 
-    Adds `tokens`, the known general tags with their ids, and the two raw tag lists.
+    Adds `tokens`, the known general tags with their ids, the two raw tag lists, and
+    `section_ids`, the ids of the tokens in these. With `clusters`, keyed by
+    `cluster_key(level, tag)`, the tokens also hold their `cluster_id` at the post's `level`. All
+    of it is looked up in one go.
     """
     cleaned = within_caps(with_general_tags(posts), caps.copyright, caps.character)
-    known = encoder.reject_unknown(encoder.reject_unknown(cleaned, "copyright"), "character")
-    tokens = encoder.known_tokens(known, "general", "tokens")
-    # A string with fewer commas than the cap cannot break it; the test spares most posts a
-    # second lookup, as Spark evaluates this filter below the projection it depends on.
-    commas = F.length("general") - F.length(F.replace("general", F.lit(","), F.lit("")))
-    few = (commas < caps.general) | (F.size("tokens") <= caps.general)
-    return tokens.where(few).withColumns(
+    general = F.col("general")
+    wanted = [
+        encoder.wanted(general, "_general_ids"),
+        Wanted(_section_keys(), encoder.table, "_section_ids"),
+    ]
+    if clusters is not None:
+        keys = F.transform(tokenize(general), lambda t: cluster_key(F.col("level"), t))
+        wanted.append(Wanted(keys, clusters, "_cluster_ids"))
+    found = resolve_all(cleaned, wanted)
+    section_ids = F.map_from_arrays(_section_keys(), F.col("_section_ids"))
+    items = {"tag": tokenize(general), "token_id": F.col("_general_ids")}
+    if clusters is not None:
+        items["cluster_id"] = F.col("_cluster_ids")
+    zipped = F.arrays_zip(*(c.alias(name) for name, c in items.items()))
+    made = found.withColumns(
         {
+            "tokens": F.filter(zipped, lambda t: t["token_id"].isNotNull()),
+            "section_ids": section_ids,
             "copyright_tags": split_tags(F.col("copyright")),
             "character_tags": split_tags(F.col("character")),
         }
     )
 
+    def unknown(column: str) -> Column:
+        return F.exists(
+            tokenize(F.col(column)), lambda t: F.try_element_at("section_ids", t).isNull()
+        )
+
+    keep = ~unknown("copyright") & ~unknown("character") & (F.size("tokens") <= caps.general)
+    kept = [c for c in made.columns if c not in {w.out for w in wanted}]
+    return select_where(made, keep, *(F.col(f"`{c}`") for c in kept))
+
 
 def _ids(column: str) -> Column:
     return F.col(f"{column}.token_id")
@@ -116,8 +154,16 @@ def _head_ids(encoder: Encoder) -> list[Column]:
 
 def _with_section_ids(df: DataFrame, encoder: Encoder) -> DataFrame:
     """Ids of the copyright and character texts as they stand in the prompt."""
-    found = encoder.encode(df, "copyright_text", "_copyright_ids")
-    return encoder.encode(found, "character_text", "_character_ids")
+
+    def ids(text: str) -> Column:
+        return F.transform(
+            tokenize(F.col(text)),
+            lambda t: F.coalesce(F.try_element_at("section_ids", t), F.lit(encoder.unk_id)),
+        )
+
+    return df.withColumns(
+        {"_copyright_ids": ids("copyright_text"), "_character_ids": ids("character_text")}
+    )
 
 
 def _head_texts() -> list[Column]:
@@ -203,12 +249,11 @@ def finetune_rows(
     `clusters` is keyed by `cluster_key(level, tag)`. A post whose tags cannot be organised or
     composed has a reason; with `fail_fast` it raises instead.
     """
-    known = known_posts(_scored(posts, params), encoder, params.caps)
-    leveled = known.withColumn(
-        "level", identity_level(params.identity_rates, params.compose.seed)
-    )
-    grouped = organize_by_group(leveled, "tokens", groups, named)
-    organized = by_cluster(grouped, clusters, named, F.col("level"))
+    level = identity_level(params.identity_rates, params.compose.seed)
+    leveled = _scored(posts, params).withColumn("level", level)
+    known = known_posts(leveled, encoder, params.caps, clusters)
+    grouped = organize_by_group(known, "tokens", groups, named)
+    organized = by_own_cluster(grouped, F.col("level"))
     composed = components_keeping_identity(organized, params.compose, named)
     cases = " ".join(f"when '{name}' then '{t}'" for name, t in C.IDENTITY_TOKEN.items())
     marked = composed.withColumn("identity_token", F.expr(f"case level {cases} end"))

@@ -213,11 +213,11 @@ def test_sets_do_not_depend_on_partitioning_or_lookup_size(data):
 
     whole = rows(data.posts.coalesce(1), data.encoder, data.clusters)
     assert sum(r[3] == "test" for r in whole) == 20
-    small = encoder(data.vocab, 20)
+    joined = encoder(data.vocab, 0)
     keyed = data.cluster_map.withColumn("key", organize.cluster_key(F.col("level"), F.col("token")))
-    few = tag_table(keyed, "key", "cluster_id", "cnt", 20)
-    assert not small.table.is_literal and not few.is_literal
-    assert rows(data.posts.repartition(8), small, few) == whole
+    clusters = tag_table(keyed, "key", "cluster_id", max_entries=0)
+    assert joined.table.literal is None and clusters.literal is None
+    assert rows(data.posts.repartition(8), joined, clusters) == whole
 
 
 def test_vector_set(data):
@@ -296,13 +296,18 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_prompt_sets_need_no_shuffle(data):
+@pytest.mark.parametrize("max_entries", [20_000, 0])
+def test_prompt_sets_read_posts_once_and_regroup_at_most_once(data, max_entries):
+    enc = encoder(data.vocab, max_entries)
+    keyed = data.cluster_map.withColumn("key", organize.cluster_key(F.col("level"), F.col("token")))
+    clusters = tag_table(keyed, "key", "cluster_id", max_entries=max_entries)
     for rows in (
-        jobs.pretrain_rows(data.posts, data.encoder, GROUPS),
-        jobs.finetune_rows(data.posts, data.encoder, data.clusters, GROUPS, FINETUNE),
+        jobs.pretrain_rows(data.posts, enc, GROUPS),
+        jobs.finetune_rows(data.posts, enc, clusters, GROUPS, FINETUNE),
     ):
-        plan = plan_of(jobs.accepted(rows))
-        assert "Exchange" not in plan and "Join" not in plan
+        plan = jobs.accepted(rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"Relation \[id#\d+L,general#", plan)) == 1
+        assert len(re.findall(r"Aggregate ", plan)) == (max_entries == 0)
 
 
 def test_scans_read_only_what_they_need(data):

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tagloom import constants as C
 from tagloom.operators.encode import decode, decoder, encoder, unknown_tags
-from tagloom.operators.lookup import tag_table
+from tagloom.operators.lookup import Wanted, resolve_all, tag_table
 from tagloom.operators.vocabulary import (
     VocabularyParams,
     build_vocabulary,
@@ -90,10 +90,10 @@ def test_unreachable(vocab):
     assert {r["token"] for r in unreachable_tokens(vocab).collect()} == {"Upper"}
 
 
-@pytest.fixture(scope="module", params=[20_000, 3, 0], ids=["literal", "mixed", "joined"])
+@pytest.fixture(scope="module", params=[20_000, 0], ids=["literal", "joined"])
 def enc(request, vocab):
     made = encoder(vocab, request.param)
-    assert made.table.is_literal == (request.param == 20_000)
+    assert (made.table.literal is None) == (request.param == 0)
     return made
 
 
@@ -119,14 +119,14 @@ def test_reject_unknown(spark, enc):
     assert {r["id"] for r in enc.reject_unknown(df, "copyright").collect()} == {1, 3}
 
 
-@pytest.mark.parametrize("entries", [20_000, 2])
-def test_decode(spark, vocab, entries):
+@pytest.mark.parametrize("max_entries", [20_000, 0])
+def test_decode(spark, vocab, max_entries):
     ids = {r["token"]: r["token_id"] for r in vocab.collect()}
     df = spark.createDataFrame(
         [(1, [ids[C.BOS], ids["b"], ids["a"], ids["b"], ids[C.EOS]]), (2, [ids[C.BOS]]), (3, [])],
         "id long, ids array<int>",
     )
-    rows = {r["id"]: r["text"] for r in decode(df, "ids", decoder(vocab, True, entries)).collect()}
+    rows = {r["id"]: r["text"] for r in decode(df, "ids", decoder(vocab, True, max_entries)).collect()}
     assert rows == {1: "b, a, b", 2: "", 3: ""}
 
 
@@ -135,49 +135,62 @@ def test_unknown_tags(posts, vocab):
     assert rows == {"rare": 1, "upper": 2}
 
 
-def test_hot_key_outside_the_literal(spark):
-    """A third of all items share one key that has to be joined."""
-    table = spark.createDataFrame([(f"k{i}", i, 0) for i in range(50)], "k string, v int, w int")
+@pytest.mark.parametrize("max_entries", [20_000, 0])
+def test_a_hot_key(spark, max_entries):
+    """A third of all items share one key."""
+    table = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "k string, v int")
     rows = spark.range(2_000).select(
         "id",
         F.array(
             F.lit("k49"), F.concat(F.lit("k"), (F.col("id") % 50).cast("string")), F.lit("none")
         ).alias("keys"),
     )
-    found = tag_table(table, "k", "v", "w", max_entries=5).resolve(rows, "keys", "out")
+    found = tag_table(table, "k", "v", max_entries=max_entries).resolve(rows, "keys", "out")
     for row in found.collect():
         assert row["out"] == [49, row["id"] % 50, None]
 
 
-def test_joined_keys_use_the_input_once_and_keep_every_row(spark):
-    table = spark.createDataFrame([(f"k{i}", i, 0) for i in range(9)], "k string, v int, w int")
+@pytest.mark.parametrize("max_entries", [20_000, 0])
+def test_lookups_use_the_input_once_and_keep_every_row(spark, max_entries):
+    table = tag_table(
+        spark.createDataFrame([(f"k{i}", i) for i in range(9)], "k string, v int"), "k", "v", max_entries=max_entries
+    )
+    # A key that equals a row's id must not be taken for the row.
+    other = tag_table(spark.createDataFrame([("1", 70), ("k8", 80)], "k string, v int"), "k", "v")
     rows = spark.createDataFrame(
         [(1, ["k8", None, "k0", "k8", "none"], "a"), (2, [], None), (3, None, "c"), (4, [None], "d")],
         "id long, keys array<string>, `other.name` string",
     )
-    made = tag_table(table, "k", "v", "w", max_entries=2).resolve(rows, "keys", "out")
-    assert made.columns == ["id", "keys", "other.name", "out"]
-    found = {r["id"]: (r["out"], r["other.name"]) for r in made.collect()}
+    more = F.when(F.col("id") != 2, F.array(F.lit("1"), F.lit("k8")))
+    made = resolve_all(
+        rows,
+        [Wanted(F.col("keys"), table, "out"), Wanted(more, other, "two"), Wanted(more, table, "three")],
+    )
+    assert made.columns == ["id", "keys", "other.name", "out", "two", "three"]
+    found = {r["id"]: (r["out"], r["other.name"], r["two"], r["three"]) for r in made.collect()}
     assert found == {
-        1: ([8, None, 0, 8, None], "a"), 2: ([], None), 3: (None, "c"), 4: ([None], "d")
+        1: ([8, None, 0, 8, None], "a", [70, 80], [None, 8]),
+        2: ([], None, None, None),
+        3: (None, "c", [70, 80], [None, 8]),
+        4: ([None], "d", [70, 80], [None, 8]),
     }
     ranged = spark.range(10).select("id", F.array(F.lit("k7")).alias("keys"))
-    plan = tag_table(table, "k", "v", "w", max_entries=2).resolve(ranged, "keys", "out")
-    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 10") == 1
-
+    plan = table.resolve(ranged, "keys", "out")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 10") == 1
+    assert plan.count("Aggregate") == (max_entries == 0)
 
-def test_most_frequent_keys_become_literal(spark):
-    table = spark.createDataFrame([("a", 1, 5), ("b", 2, 50), ("c", 3, None)], "k string, v int, w int")
-    made = tag_table(table, "k", "v", "w", max_entries=1)
-    row = spark.range(1).select(*[made.hot.get(F.lit(k)).alias(k) for k in "abc"]).first()
-    assert (row["a"], row["b"], row["c"]) == (None, 2, None)
 
-
-@pytest.mark.parametrize("max_entries", [1, 20_000])
+@pytest.mark.parametrize("max_entries", [20_000, 0])
 def test_a_key_listed_twice_is_an_error_at_every_size(spark, max_entries):
-    table = spark.createDataFrame([("a", 1, 5), ("b", 2, 4), ("a", 3, 1)], "k string, v int, w int")
+    table = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, v int")
     with pytest.raises(ValueError, match="duplicate keys: \\['a'\\]"):
-        tag_table(table, "k", "v", "w", max_entries=max_entries)
+        tag_table(table, "k", "v", max_entries=max_entries)
+
+
+def test_an_empty_table_and_null_keys(spark):
+    table = spark.createDataFrame([(None, 1), (None, 2)], "k string, v int")
+    rows = spark.createDataFrame([(1, ["a", None])], "id long, keys array<string>")
+    assert tag_table(table, "k", "v").resolve(rows, "keys", "out").first()["out"] == [None, None]
 
 
 def test_first_seen_is_exact_for_large_ids(spark):

@@ -161,10 +161,22 @@ class Corpus:
         both = F.inline(F.array(at("lax", lax), at("strict", strict)))
         return labeled.select("token", "cnt", both)
 
+    @cached_property
+    def joined_encoder(self) -> Encoder:
+        """As a vocabulary too large for a literal is treated."""
+        return encoder(self.vocab, max_entries=0)
+
+    @property
+    def _keyed_clusters(self) -> DataFrame:
+        return self.cluster_map.withColumn("key", cluster_key(F.col("level"), F.col("token")))
+
     @cached_property
     def clusters(self) -> TagTable:
-        keyed = self.cluster_map.withColumn("key", cluster_key(F.col("level"), F.col("token")))
-        return tag_table(keyed, "key", "cluster_id", "cnt")
+        return tag_table(self._keyed_clusters, "key", "cluster_id")
+
+    @cached_property
+    def joined_clusters(self) -> TagTable:
+        return tag_table(self._keyed_clusters, "key", "cluster_id", max_entries=0)
 
 
 _corpora: dict[tuple[str, str], Corpus] = {}

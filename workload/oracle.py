@@ -975,4 +975,6 @@ SELECT id,
 FROM chosen, size GROUP BY id""",
         ),
     }
+    for name in ("encode_tags", "sft_set"):
+        sql[f"{name}_joined"] = sql[name]
     return sql

@@ -273,7 +273,7 @@ def rating_tags(c: Corpus) -> DataFrame:
 @query
 def unknown_reject(c: Corpus) -> DataFrame:
     cleaned = clean.with_general_tags(c.posts)
-    known = c.encoder.reject_unknown(c.encoder.reject_unknown(cleaned, "copyright"), "character")
+    known = c.encoder.reject_unknown(cleaned, "copyright", "character")
     return known.select("id", "copyright", "character")
 
 
@@ -300,6 +300,13 @@ def encode_tags(c: Corpus) -> DataFrame:
     return encoded.select("id", numbers(F.col("token_ids")).alias("token_ids"))
 
 
+@query
+def encode_tags_joined(c: Corpus) -> DataFrame:
+    """The same by a join, as with a vocabulary too large for a literal."""
+    encoded = c.joined_encoder.encode(clean.with_general_tags(c.posts), "general")
+    return encoded.select("id", numbers(F.col("token_ids")).alias("token_ids"))
+
+
 @query
 def detokenize(c: Corpus) -> DataFrame:
     """Texts of the prompts' ids without their special tokens."""
@@ -320,11 +327,12 @@ def _by_group(c: Corpus) -> DataFrame:
 
 
 def _by_cluster(c: Corpus) -> DataFrame:
-    leveled = _known(c).withColumn(
-        "level", compose.identity_level(FINETUNE.identity_rates, SEED)
+    level = compose.identity_level(FINETUNE.identity_rates, SEED)
+    known = jobs.known_posts(
+        c.posts.withColumn("level", level), c.encoder, jobs.Caps(), c.clusters
     )
-    grouped = organize.organize_by_group(leveled, "tokens", GROUPS, organize.named)
-    return organize.by_cluster(grouped, c.clusters, organize.named, F.col("level"))
+    grouped = organize.organize_by_group(known, "tokens", GROUPS, organize.named)
+    return organize.by_own_cluster(grouped, F.col("level"))
 
 
 @query
@@ -531,6 +539,14 @@ def sft_set(c: Corpus) -> DataFrame:
     return _set(jobs.finetune_set(c.posts, c.encoder, c.clusters, GROUPS, params))
 
 
+@query
+def sft_set_joined(c: Corpus) -> DataFrame:
+    """The same set by joins, as with tables too large for a literal."""
+    params = replace(FINETUNE, test_size=c.test_size)
+    made = jobs.finetune_set(c.posts, c.joined_encoder, c.joined_clusters, GROUPS, params)
+    return _set(made)
+
+
 @query
 def calib_set(c: Corpus) -> DataFrame:
     params = replace(CALIBRATION, test_size=c.test_size)
