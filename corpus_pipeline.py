@@ -35,8 +35,9 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by like word shingles the document with the smallest id."""
-    return jaccard.one_of_each(docs)
+    """Of each group linked by a Jaccard of 0.8 or more over five-word shingles the document with
+    the smallest id."""
+    return jaccard.one_of_each(docs, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,7 +83,8 @@ def op8_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text")).drop("set_hash")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return jaccard_join(docs, width=3, percent=90).drop("set_hash")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

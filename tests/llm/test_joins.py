@@ -167,6 +167,31 @@ def test_one_of_each_component(odd_docs):
     assert jaccard.jaccard_join(odd_docs.limit(0)).count() == 0
 
 
+def test_pipeline_drops_copies_over_four_fifths(spark):
+    pick = random.Random(8)
+    texts = []
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(200)]
+        texts.append(" ".join(base))
+        for changes in (1, 3, 4, 5, 6):
+            words = list(base)
+            for at in pick.sample(range(10, 190, 10), changes):
+                words[at] = f"other{len(texts)}x{at}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+
+    def like(a, b):
+        return len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+
+    assert sum(0.8 <= like(a, b) < 0.9 for a, b in itertools.combinations(range(len(texts)), 2)) > 12
+    least = list(range(len(texts)))
+    for _ in texts:
+        least = [min(least[j] for j in range(len(texts)) if like(i, j) >= 0.8) for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect())
+    assert kept == sorted(set(least)) and len(kept) < len(texts)
+
+
 def test_components_of_paths_and_hubs(spark):
     path = [(i, i + 1) for i in range(0, 40)]
     hub = [(100, i) for i in range(101, 160)]
