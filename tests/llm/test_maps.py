@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -165,6 +167,46 @@ def test_segmentation_equals_trying_all_ways():
         assert cost(segment(name)) == pytest.approx(min(map(cost, ways(name))))
 
 
+@pytest.mark.parametrize("chunk_keys", [urls.CHUNK_KEYS, 30])
+def test_url_model_holds_all_words_and_tokens(spark, chunk_keys):
+    pick = random.Random(6)
+    vocab = ["".join(pick.choice("abcd") for _ in range(pick.choice([1, 2, 3, 5, 30]))) for _ in range(60)]
+    rows = []
+    for i in range(150):
+        host = "".join(pick.sample(vocab, 3)) + pick.choice([".net", ".org", ".com", ".example.net"])
+        path = pick.choice(["/fr/", "/en/", "/x/", "/"]) + f"{pick.choice(vocab)}-{i % 7}-slug{chr(97 + i % 26)}"
+        rows.append((i, f"http://{host}{path}", f"<title>{' '.join(pick.sample(vocab, 4))}</title>"))
+    rows += [(1000 + i, "http://aab.com/same", None) for i in range(40)] + [(2000, None, None)]
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), chunk_keys=chunk_keys).collect()
+    words = Counter(w for _, _, h in rows for w in re.findall("[a-z]+", re.sub("</?title>", "", h or "")))
+    segment = urls.Segmenter(words, max(map(len, words)))
+    sides, n_urls = {"block": Counter(), "allow": Counter()}, Counter()
+    spelt = {r["page_id"]: urls.url_tokens(segment, r["host"], r["path"]) for r in got}
+    for r in got:
+        if r["rule"]:
+            sides[r["verdict"]].update(spelt[r["page_id"]])
+            n_urls[r["verdict"]] += 1
+    size = len({*sides["block"], *sides["allow"]}) + 1
+
+    def log_share(side, token):
+        return math.log((sides[side][token] + 1) / (sides[side].total() + size))
+
+    assert len(got) == len(rows)
+    for r in got:
+        tokens = spelt[r["page_id"]]
+        odds = math.log((n_urls["block"] + 1) / (n_urls["allow"] + 1))
+        odds += sum(log_share("block", t) - log_share("allow", t) for t in tokens)
+        assert r["host_words"] == [t[2:] for t in tokens if t[0] == "h"]
+        assert r["block_odds"] == pytest.approx(odds)
+        assert r["rule"] or r["verdict"] == ("block" if r["block_odds"] > 0 else "allow")
+
+
+def test_unknown_host_words_have_any_length():
+    segment = urls.Segmenter({"the": 50, "a" * 30: 5}, 30)
+    assert segment("the" + "q" * 40) == ["the", "q" * 40]
+    assert segment("a" * 30 + "the") == ["a" * 30, "the"]
+
+
 def test_quality_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
