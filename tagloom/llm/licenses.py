@@ -8,6 +8,7 @@ by word.
 from __future__ import annotations
 
 import itertools
+import pkgutil
 import re
 from dataclasses import dataclass, field
 
@@ -33,7 +34,12 @@ _SOFTWARE = (
     "sublicense and or sell copies of the software and to permit persons to whom the software is "
     "furnished to do so subject to the following conditions the above copyright notice and this "
     "permission notice [[including the next paragraph]] shall be included in all copies or "
-    "substantial portions of the software"
+    "substantial portions of the software the software is provided as is without warranty of any "
+    "kind express or implied including but not limited to the warranties of merchantability "
+    "fitness for a particular purpose and {{noninfringement|non infringement}} in no event shall "
+    "{{1,20}} be liable for any claim damages or other liability whether in an action of contract "
+    "tort or otherwise arising from out of or in connection with the software or the use or other "
+    "dealings in the software"
 )
 _REDISTRIBUTION = (
     "redistribution and use in source and binary forms with or without modification are permitted "
@@ -48,14 +54,34 @@ _NO_ENDORSEMENT = (
     "endorse or promote products derived from this software without specific prior written "
     "permission"
 )
+_BSD_DISCLAIMER = (
+    " this software is provided by {{1,20}} as is and any express or implied warranties including "
+    "but not limited to the implied warranties of merchantability and fitness for a particular "
+    "purpose are disclaimed in no event shall {{1,20}} be liable for any direct indirect "
+    "incidental special exemplary or consequential damages including but not limited to "
+    "procurement of substitute goods or services loss of use data or profits or business "
+    "interruption however caused and on any theory of liability whether in contract strict "
+    "liability or tort including negligence or otherwise arising in any way out of the use of "
+    "this software even if advised of the possibility of such damage"
+)
+
+
+def _whole(name: str) -> str:
+    """A template that is too long for this file."""
+    return pkgutil.get_data("tagloom.llm", f"license_texts/{name}.txt").decode()
+
+
+# Labels with -text are of whole licenses, to their ends; those of the same license without it,
+# and mit-notice, are of lines that name it. The Creative Commons ones are such lines only.
 TEMPLATES = {
     "apache-2.0": (
         "licensed under the apache license [[the license]] {{version 2 0|version 2}}",
         "{{released|distributed|available}} under the [[terms of the]] apache license "
         "{{version 2 0|2 0}}",
     ),
-    "bsd-2-clause": (_REDISTRIBUTION,),
-    "bsd-3-clause": (_REDISTRIBUTION + _NO_ENDORSEMENT,),
+    "apache-2.0-text": (_whole("apache-2.0"),),
+    "bsd-2-clause": (_REDISTRIBUTION + _BSD_DISCLAIMER,),
+    "bsd-3-clause": (_REDISTRIBUTION + _NO_ENDORSEMENT + _BSD_DISCLAIMER,),
     "cc-by-4.0": (
         "cc by 4 0",
         "creative commons attribution 4 0 [[international]] [[public]] license",
@@ -72,14 +98,22 @@ TEMPLATES = {
         "gnu general public license [[as published by the free software foundation]] "
         "[[either]] {{version 2|v 2|v2}} [[0]]",
     ),
+    "gpl-2.0-text": (_whole("gpl-2.0"),),
     "gpl-3.0": (
         "gnu general public license [[as published by the free software foundation]] "
         "[[either]] {{version 3|v 3|v3}} [[0]]",
     ),
+    "gpl-3.0-text": (_whole("gpl-3.0"),),
     "isc": (
         "permission to use copy modify and or distribute this software for any purpose with or "
         "without fee is hereby granted provided that the above copyright notice and this "
-        "permission notice appear in all copies",
+        "permission notice appear in all copies the software is provided as is and {{1,20}} "
+        "{{disclaims|disclaim}} all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall {{1,20}} be liable for any "
+        "special direct indirect or consequential damages or any damages whatsoever resulting "
+        "from loss of use data or profits whether in an action of contract negligence or other "
+        "tortious action arising out of or in connection with the use or performance of this "
+        "software",
     ),
     "mit-notice": (
         "{{released|licensed|distributed|available}} under the [[terms of the]] mit license",

@@ -138,6 +138,70 @@ def test_license_places_and_templates(spark):
         licenses.compile_template("{{0,3}} words")
 
 
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
+and associated documentation files (the "Software"), to deal in the Software without restriction,
+including without limitation the rights to use, copy, modify, merge, publish, distribute,
+sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
+NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_3 = """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions
+   and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of
+   conditions and the following disclaimer in the documentation and/or other materials provided
+   with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to
+   endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER
+IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF
+THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or
+without fee is hereby granted, provided that the above copyright notice and this permission notice
+appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE
+AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE."""
+
+
+def test_licenses_are_compared_to_their_ends(spark):
+    third = _BSD_3[_BSD_3.index("3. ") : _BSD_3.index("THIS SOFTWARE IS")]
+    advertising = "3. All advertising materials must display an acknowledgement.\n" + third.replace("3.", "4.")
+    good = "The Software shall be used for Good, not Evil.\n\nTHE SOFTWARE IS PROVIDED"
+    cases = [
+        (_MIT, "mit-text"), (_BSD_3, "bsd-3-clause"), (_BSD_3.replace(third, ""), "bsd-2-clause"), (_ISC, "isc"),
+        (_BSD_3.replace(third, advertising), ""), (_MIT.replace("THE SOFTWARE IS PROVIDED", good), ""),
+    ]
+    for text, end in ((_MIT, "IS PROVIDED"), (_BSD_3, "THIS SOFTWARE IS"), (_ISC, "IS PROVIDED")):
+        cases += [(text[: text.index(end)], ""), (text.replace("LIABLE", "ACCOUNTABLE"), ""), (text.replace("NO EVENT", "ANY EVENT"), "")]
+    for label in ("apache-2.0", "gpl-2.0", "gpl-3.0"):
+        whole = re.sub(r"\[\[|\]\]", "", licenses.TEMPLATES[f"{label}-text"][0])
+        cases += [(f"before {whole} after", f"{label}-text"), (whole.replace("warrant", "promise"), None), (whole[:-20], None)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(docs).collect()}
+    for i, (_, label) in enumerate(cases):
+        texts = [x for x in rows[i] if x in ("mit-text", "bsd-2-clause", "bsd-3-clause", "isc") or x.endswith("-text")]
+        assert texts == ([label] if label else []), i
+
+
 def test_url_rules_and_model(spark):
     rows = [
         (1, "https://Sub.Example.NET/en/1"), (2, "http://a.net/x"), (3, "http://a.net"), (4, "ftp://example.com/de/?q"),
