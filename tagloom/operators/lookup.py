@@ -79,8 +79,8 @@ def _united(tables: Sequence[TagTable]) -> DataFrame:
 def resolve_all(df: DataFrame, wanted: Sequence[Wanted], id_col: str = "id") -> DataFrame:
     """Add the `out` column of each wanted list; null for a null list.
 
-    `id_col` must identify a row; it is used only when a table is no literal. The tables of one
-    call have values of one type.
+    `id_col` spreads the rows when a table is no literal; rows of one id, or of none, stay apart.
+    The tables of one call have values of one type.
     """
     if all(w.table.literal is not None for w in wanted):
         return df.withColumns({w.out: F.transform(w.keys, w.table.literal.get) for w in wanted})
@@ -89,8 +89,14 @@ def resolve_all(df: DataFrame, wanted: Sequence[Wanted], id_col: str = "id") ->
     lists = [f"_keys_{n}" for n in range(len(wanted))]
     sizes = [f"_size_{n}" for n in range(len(wanted))]
     keyed = df.withColumns({name: w.keys for name, w in zip(lists, wanted, strict=True)})
+    # Rows of one id are told apart by 128 bits of hash of all they hold, written as JSON, as a
+    # hash of columns passes over nulls and ends of arrays. Equal rows have equal values, so they
+    # are regrouped as one and counted.
+    shown = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    whole = F.to_json(F.struct(*(F.col(f"`{c}`") for c in keyed.columns)), shown)
+    keyed = keyed.withColumn("_hash", F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b")))
     # Of no table and named by the row, so that rows and null keys are spread evenly.
-    own = F.col(f"`{id_col}`").cast("string")
+    own = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.col("_hash.a").cast("string"))
     no_keys = F.array().cast("array<string>")
     all_keys = F.concat(F.array(own), *(F.coalesce(F.col(name), no_keys) for name in lists))
     sized = keyed.withColumns(
@@ -101,6 +107,7 @@ def resolve_all(df: DataFrame, wanted: Sequence[Wanted], id_col: str = "id") ->
     )
     exploded = sized.select(
         F.col(f"`{id_col}`"),
+        "_hash",
         F.struct(*(F.col(f"`{c}`") for c in columns), *sizes).alias("_row"),
         F.posexplode(all_keys).alias("_slot", "_key"),
     )
@@ -112,6 +119,7 @@ def resolve_all(df: DataFrame, wanted: Sequence[Wanted], id_col: str = "id") ->
         number = number.when(F.col("_slot") <= end, F.lit(tables.index(w.table)))
     exploded = exploded.select(
         F.col(f"`{id_col}`"),
+        "_hash",
         F.when(F.col("_slot") == 0, F.col("_row")).alias("_row"),
         "_slot",
         number.alias("_table"),
@@ -119,11 +127,13 @@ def resolve_all(df: DataFrame, wanted: Sequence[Wanted], id_col: str = "id") ->
     )
     regrouped = (
         exploded.join(_united(tables), ["_table", "_key"], "left")
-        .groupBy(f"`{id_col}`")
+        .groupBy(f"`{id_col}`", "_hash")
         .agg(
             F.first("_row", ignorenulls=True).alias("_row"),
-            F.sort_array(F.collect_list(F.struct("_slot", "_value")))["_value"].alias("_values"),
+            F.sort_array(F.collect_set(F.struct("_slot", "_value")))["_value"].alias("_values"),
+            F.count(F.when(F.col("_slot") == 0, 1)).alias("_copies"),
         )
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     )
     made = {c: F.col(f"_row.`{c}`") for c in columns} | {id_col: F.col(f"`{id_col}`")}
     start = F.lit(2)

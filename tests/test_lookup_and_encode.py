@@ -200,3 +200,18 @@ def test_first_seen_is_exact_for_large_ids(spark):
     )
     rows = {r["tag"]: int(r["first_seen"]) for r in tag_counts(posts, ("general",)).collect()}
     assert rows == {"x": 2**94, "late": 2**94 + 70_000, "later": 2**94 + 70_001}
+
+
+def test_rows_of_one_id_stay_apart_at_every_size(spark):
+    rows = [
+        (1, ["a", "b"], None, "x"), (1, ["b"], None, "x"), (1, ["a", "b"], "x", None), (2, ["a"], None, "y"), (2, ["a"], None, "y"),
+        (None, ["b", "zz"], None, "n"), (None, ["a"], "m", None), (None, ["a"], "m", None), (3, None, None, None), (3, [], None, None),
+        (4, ["a", None], None, None), (4, [None, "a"], None, None),
+    ]
+    df = spark.createDataFrame(rows, "id long, tags array<string>, one string, two string").repartition(3)
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "tag string, number int")
+    found = [
+        sorted(map(str, resolve_all(df, [Wanted(F.col("tags"), tag_table(table, "tag", "number", max_entries=n), "numbers")]).collect()))
+        for n in (20_000, 0)
+    ]
+    assert len(found[0]) == len(rows) and found[0] == found[1]
