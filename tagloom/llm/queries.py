@@ -17,6 +17,7 @@ from tagloom.llm.licenses import scan_licenses
 from tagloom.llm.oracle import ALL
 from tagloom.llm.personal_data import KINDS, find_personal_data
 from tagloom.llm.quality import VoteParams, fit_votes, remainder, score_quality
+from tagloom.llm.repeats import repeated_bytes
 from tagloom.llm.token_count import count_tokens
 from tagloom.llm.urls import judge_urls
 
@@ -92,6 +93,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(docs, with_spans=False, keep=["doc_id"])
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return repeated_bytes(docs).drop("starts", "ends")
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_token_count": op1_token_count,
@@ -104,6 +110,7 @@ def all_queries() -> dict[str, Query]:
         "op8_chunk_bpe": op8_chunk_bpe,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_licenses": op10_licenses,
+        "op11_suffix_dedup": op11_suffix_dedup,
     }
 
 
