@@ -98,8 +98,114 @@ select
 from w left join sizes using (doc_id)
 """
 
+RANKED_SEARCH = f"""
+with docs as (select doc_id, w, len(w) as n from (select doc_id, {_WORDS} as w from documents) where len(w) > 0),
+facts as (select count(*) as n_docs, sum(n)::bigint as n_terms from docs),
+asked as (
+    select item_id, t, count(*) as times
+    from (select item_id, unnest({_WORDS}) as t from benchmark)
+    group by item_id, t
+),
+found as (
+    select doc_id, t, count(*) as tf
+    from (select doc_id, unnest(w) as t from docs)
+    where t in (select t from asked)
+    group by doc_id, t
+),
+weights as (
+    select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint as weight
+    from (select t, count(*) as df from found group by t), facts
+),
+impacts as (
+    select doc_id, t, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)) as impact
+    from found join docs using (doc_id), facts
+),
+scores as (
+    select item_id, doc_id, sum(times * weight * impact)::bigint as score
+    from asked join weights using (t) join impacts using (t)
+    group by item_id, doc_id
+)
+select item_id, rank, doc_id, score
+from (
+    select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank
+    from scores where score > 0
+)
+where rank <= 10
+"""
+
+# crc32 by its table of 256 remainders, byte by byte.
+SPELLING_VARIANTS = r"""
+with recursive remainders(i, k, c) as (
+    select range, 0, range from range(256)
+    union all
+    select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from remainders where k < 8
+),
+crc as (select list(c order by i) as of from remainders where k = 8),
+runs as (
+    select doc_id, word, count(*) as n
+    from (
+        select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as word
+        from documents
+    )
+    where length(word) >= 7
+    group by doc_id, word
+),
+named as (select word, n, hex(doc_id || ':' || word) as h from runs),
+bytes as (
+    select word, n, list_transform(range(0, length(h) // 2), lambda i:
+        (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1) as b
+    from named
+),
+hashed as (
+    select word, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x:
+        xor(c >> 8, of[(xor(c, x) & 255) + 1]))) as h
+    from bytes, crc
+),
+cut as (
+    select n, case when h % 31 = 0
+        then word[: h % length(word)] || word[h % length(word) + 2 :]
+        else word end as word
+    from hashed
+),
+v as (
+    select word, sum(n)::bigint as n, length(word) as size
+    from cut where length(word) >= 7 group by word having sum(n) >= 2
+),
+less as (
+    select word, size, i, word[: i - 1] || word[i + 1 :] as rest
+    from (select word, size, unnest(range(1, size + 1)) as i from v)
+),
+pairs as (
+    select a.word as x, b.word as y from less a join less b using (size, i, rest) where a.word <> b.word
+    union
+    select v.word, less.word from v join less on v.word = less.rest
+    union
+    select less.word, v.word from v join less on v.word = less.rest
+),
+near as (
+    select x as word, count(*) as n_near, max(n) as most, first(y order by n desc, y) as best
+    from pairs join v on y = v.word group by x
+),
+forms as (
+    select v.word, v.n, coalesce(n_near, 0) as n_near,
+        case when most >= 10 * v.n then best end as form, case when most >= 10 * v.n then most end as form_n
+    from v left join near using (word)
+),
+ways as (
+    select word, word as root from forms
+    union
+    select ways.word, form from ways join forms on ways.root = forms.word where form is not null
+)
+select forms.word, forms.form, ways.root, forms.n, forms.n_near, forms.form_n
+from forms join ways using (word) join forms as last on last.word = ways.root
+where last.form is null
+"""
+
 ALL = {
     "op2_exact_dedup": EXACT_DEDUP,
     "op4_decontamination": DECONTAMINATION,
     "op9_jaccard_join": JACCARD_JOIN,
+    "op12_ranked_search": RANKED_SEARCH,
+    "op13_spelling_variants": SPELLING_VARIANTS,
 }

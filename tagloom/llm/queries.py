@@ -17,9 +17,11 @@ from tagloom.llm.licenses import scan_licenses
 from tagloom.llm.oracle import ALL
 from tagloom.llm.personal_data import KINDS, find_personal_data
 from tagloom.llm.quality import VoteParams, fit_votes, remainder, score_quality
+from tagloom.llm.ranking import rank_documents
 from tagloom.llm.repeats import repeated_bytes
 from tagloom.llm.token_count import count_tokens
 from tagloom.llm.urls import judge_urls
+from tagloom.llm.variants import spelling_variants
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -98,6 +100,15 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(docs).drop("starts", "ends")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return rank_documents(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_token_count": op1_token_count,
@@ -111,6 +122,8 @@ def all_queries() -> dict[str, Query]:
         "op9_jaccard_join": op9_jaccard_join,
         "op10_licenses": op10_licenses,
         "op11_suffix_dedup": op11_suffix_dedup,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
