@@ -32,7 +32,7 @@ from tagloom.operators.organize import (
     organize_by_group,
 )
 from tagloom.operators.select import select_where
-from tagloom.operators.split import find_cut
+from tagloom.operators.split import split_once
 
 
 @dataclass(frozen=True)
@@ -302,14 +302,6 @@ def quarantined(rows: DataFrame) -> DataFrame:
     return select_where(rows, F.col("reason").isNotNull(), "id", "reason")
 
 
-def _split(posts: DataFrame, make_rows, test_size: int, seed: int) -> DataFrame:
-    def survivors(some: DataFrame) -> DataFrame:
-        return select_where(make_rows(some), F.col("reason").isNull(), "id")
-
-    cut = find_cut(posts, test_size, seed, survivors)
-    return accepted(make_rows(posts)).withColumn("split", cut.column())
-
-
 def pretrain_set(
     posts: DataFrame,
     encoder: Encoder,
@@ -317,12 +309,8 @@ def pretrain_set(
     params: PretrainParams = PretrainParams(),
 ) -> DataFrame:
     """id, text, input_ids, split."""
-    return _split(
-        posts,
-        lambda some: pretrain_rows(some, encoder, groups, params),
-        params.test_size,
-        params.compose.seed,
-    )
+    rows = accepted(pretrain_rows(posts, encoder, groups, params))
+    return split_once(rows, params.test_size, params.compose.seed)
 
 
 def finetune_set(
@@ -333,9 +321,5 @@ def finetune_set(
     params: FinetuneParams = FINETUNE,
 ) -> DataFrame:
     """id, text, input_ids, split and the posts' other columns."""
-    return _split(
-        posts,
-        lambda some: finetune_rows(some, encoder, clusters, groups, params),
-        params.test_size,
-        params.compose.seed,
-    )
+    rows = accepted(finetune_rows(posts, encoder, clusters, groups, params))
+    return split_once(rows, params.test_size, params.compose.seed)

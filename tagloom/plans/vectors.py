@@ -13,7 +13,7 @@ from tagloom.functions.text import has_text
 from tagloom.operators.clean import rename_to_text
 from tagloom.operators.encode import Encoder
 from tagloom.operators.select import select_where
-from tagloom.operators.split import find_cut
+from tagloom.operators.split import split_once
 from tagloom.operators.vectors import train_clusters
 from tagloom.sources.readers import read_cluster_map, table_exists
 from tagloom.sources.writers import write_cluster_map
@@ -39,16 +39,9 @@ def vector_set(
     posts: DataFrame, encoder: Encoder, params: VectorSetParams = VectorSetParams()
 ) -> DataFrame:
     """id, input_ids, split."""
-    cut = find_cut(
-        posts,
-        params.test_size,
-        params.seed,
-        lambda some: vector_rows(some, encoder, params).select("id"),
-    )
     ids = shuffled("known", params.seed, "ids") if params.shuffle else F.col("known")
-    return vector_rows(posts, encoder, params).select(
-        "id", ids.alias("input_ids"), cut.column().alias("split")
-    )
+    rows = vector_rows(posts, encoder, params).select("id", ids.alias("input_ids"))
+    return split_once(rows, params.test_size, params.seed)
 
 
 def cluster_map(

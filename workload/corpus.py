@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from tagloom.operators.organize import TagGroups, cluster_key
 from tagloom.operators.vectors import tag_vectors
 from tagloom.operators.vocabulary import VocabularyParams, build_vocabulary
 from tagloom.schemas import POSTS
+from tagloom.sources.staging import staged
 
 GROUPS = TagGroups(
     people=("economy", "large", "medium", "promo", "small", "standard"),
@@ -75,21 +74,6 @@ def derive_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints. A local session without one gets its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_folder()
-
-
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tagloom-")
-
-
 class Corpus:
     """The derived tables of one directory. Posts and vocabulary are written once and read back:
     they are what every job starts from, as columns to prune and filters to push down."""
@@ -98,18 +82,12 @@ class Corpus:
         self.spark = spark
         self.sf_dir = sf_dir
 
-    def _stored(self, name: str, table: DataFrame, schema: str | None = None) -> DataFrame:
-        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        table.write.parquet(path)
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(path)
-
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def posts(self) -> DataFrame:
-        return self._stored("posts", derive_posts(self.spark, self.sf_dir), POSTS)
+        return staged(derive_posts(self.spark, self.sf_dir), "posts", POSTS)
 
     @cached_property
     def n_posts(self) -> int:
@@ -132,7 +110,7 @@ class Corpus:
 
     @cached_property
     def vocab(self) -> DataFrame:
-        return self._stored("vocab", build_vocabulary(self.posts, self.vocabulary_params()))
+        return staged(build_vocabulary(self.posts, self.vocabulary_params()), "vocab")
 
     @cached_property
     def encoder(self) -> Encoder:
