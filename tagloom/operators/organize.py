@@ -54,7 +54,8 @@ class TagGroups:
         return cls(**{name: tuple(sorted(tags)) for name, tags in lists.items()})
 
 
-def _among(tag: Column, names: list[str]) -> Column:
+def among(tag: Column, names: list[str]) -> Column:
+    """True for one of the names."""
     return tag.isin(*names) if names else F.lit(False)
 
 
@@ -66,10 +67,10 @@ def organize_by_group(
     grouped = [t for names in lists.values() for t in names]
 
     def members(names: list[str]) -> Column:
-        return F.filter(F.col(tags), lambda x: _among(tag_of(x), names))
+        return F.filter(F.col(tags), lambda x: among(tag_of(x), names))
 
     columns = {name: members(names) for name, names in lists.items()}
-    columns["rest"] = F.filter(F.col(tags), lambda x: ~_among(tag_of(x), grouped))
+    columns["rest"] = F.filter(F.col(tags), lambda x: ~among(tag_of(x), grouped))
     return df.withColumns(columns)
 
 

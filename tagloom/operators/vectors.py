@@ -8,12 +8,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.draws import digest_sql
+from tagloom.operators.kmeans import fit_clusters
 
 MAX_MATRIX_BYTES = 128 * 2**20
 _ROUND = 9
@@ -37,19 +36,7 @@ def train_clusters(
     seed: int = 12345,
 ) -> DataFrame:
     """token, cluster_id of the cheapest of `n_init` k-means runs."""
-    points = vectors.select("token_id", "token", array_to_vector("embedding").alias("features"))
-    points = points.persist()
-    try:
-        models = (
-            KMeans(k=n_clusters, maxIter=max_iter, seed=seed + i, predictionCol="cluster_id").fit(
-                points
-            )
-            for i in range(n_init)
-        )
-        best = min(models, key=lambda model: model.summary.trainingCost)
-    finally:
-        points.unpersist()
-    return best.transform(points).select("token", F.col("cluster_id").cast("int"))
+    return fit_clusters(vectors, n_clusters, n_init, max_iter, seed).assign(vectors)
 
 
 def cluster_members(cluster_map: DataFrame) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.constants import SPECIAL_TOKENS
 from tagloom.functions.text import split_tags
+from tagloom.sources.staging import staged
 
 FIELDS = ("general", "copyright", "character")
 # Places within a post are below 2^32, as arrays have no more items.
 _POSITIONS = 1 << 32
-# Tags first seen within the same 2^24 ids are ranked together.
-_SPAN = _POSITIONS << 24
+# Of the numbers Spark gives rows, the lower bits are the place within a partition.
+_PLACE_BITS = 33
 
 
 def _popular_defaults() -> dict[str, int]:
@@ -86,38 +87,40 @@ def _kind_rank(kinds: Sequence[str]) -> Column:
 def number_tokens(counts: DataFrame, kinds: Sequence[str], first_id: int) -> DataFrame:
     """Ids by kind, then count (most first), then first appearance.
 
-    Tags are ranked within groups of equal count and similar first appearance (rare tags alone
-    can share one count by the million); the groups' offsets come from the far smaller table of
-    groups. So no task ever orders the whole vocabulary.
+    The tags are sorted once into ranges, one per task, and written as they lie; each knows its
+    place in its range. A prefix sum over the sizes of the ranges, of which there are as many as
+    shuffle partitions, gives where each range starts.
     """
-    ranked = counts.where(F.col("field").isin(*kinds)).withColumns(
-        {"_kind": _kind_rank(kinds), "_span": F.expr(f"first_seen div {_SPAN}")}
+    wanted = counts.where(F.col("field").isin(*kinds))
+    order = [_kind_rank(kinds), F.col("cnt").desc(), "first_seen", "tag"]
+    spark = counts.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The number of a row is its range times 2^33 and its place in there.
+    placed = wanted.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn(
+        "_at", F.monotonically_increasing_id()
     )
-    group = ["_kind", "cnt", "_span"]
-    groups = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_kind", F.col("cnt").desc(), "_span").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = groups.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(*group).orderBy("first_seen", "tag")
-    return (
-        ranked.withColumn("_row", F.row_number().over(within))
-        .join(offsets, group)
-        .select(
-            (F.col("_offset") + F.col("_row") - 1 + first_id).cast("int").alias("token_id"),
-            F.col("tag").alias("token"),
-            F.col("field").alias("kind"),
-            "cnt",
-        )
+    stored = staged(placed, "numbered")
+    within = F.col("_at").bitwiseAND((1 << _PLACE_BITS) - 1)
+    in_range = F.shiftrightunsigned("_at", _PLACE_BITS)
+    sizes = dict(stored.groupBy(in_range.alias("range")).count().collect())
+    start, starts = first_id, []
+    for number in range(max(sizes, default=-1) + 1):
+        starts.append(start)
+        start += sizes.get(number, 0)
+    offset = F.get(F.lit(starts or [0]), in_range.cast("int"))
+    return stored.select(
+        (offset + within).cast("int").alias("token_id"), F.col("tag").alias("token"), F.col("field").alias("kind"), "cnt"
     )
 
 
 def build_vocabulary(posts: DataFrame, params: VocabularyParams = MAIN) -> DataFrame:
-    """token_id, token, kind, cnt: special tokens first, then the popular tags of each kind."""
+    """token_id, token, kind, cnt: special tokens first, then the popular tags of each kind.
+
+    A tag of two kinds, or one that is also a special token, is an error.
+    """
     counts = popular(tag_counts(posts, params.kinds), params.min_count)
-    return special_rows(posts.sparkSession, params.special).unionByName(
-        number_tokens(counts, params.kinds, len(SPECIAL_TOKENS[params.special]))
-    )
+    numbered = number_tokens(counts, params.kinds, len(SPECIAL_TOKENS[params.special]))
+    return check_unique(special_rows(posts.sparkSession, params.special).unionByName(numbered))
 
 
 def duplicate_tokens(vocab: DataFrame) -> DataFrame:

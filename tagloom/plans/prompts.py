@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,11 +22,13 @@ from tagloom.operators.compose import (
     components_plain,
     identity_level,
 )
-from tagloom.operators.encode import Encoder
+from tagloom.operators.encode import Encoder, known_pairs
 from tagloom.operators.lookup import TagTable, Wanted, resolve_all
 from tagloom.operators.organize import (
     TagGroups,
+    among,
     as_one_cluster,
+    by_cluster,
     by_own_cluster,
     cluster_key,
     named,
@@ -88,48 +91,87 @@ def _section_keys() -> Column:
     return F.array_distinct(F.concat(keys("copyright"), keys("character")))
 
 
+def _within_caps(posts: DataFrame, caps: Caps) -> DataFrame:
+    return within_caps(with_general_tags(posts), caps.copyright, caps.character)
+
+
+def _kept_tokens(df: DataFrame, caps: Caps, id_of: Callable[[Column], Column]) -> DataFrame:
+    """Rows whose copyright and character tags are known and whose `tokens` are within the cap,
+    without the columns made along the way."""
+
+    def unknown(column: str) -> Column:
+        return F.exists(tokenize(F.col(column)), lambda t: id_of(t).isNull())
+
+    keep = ~unknown("copyright") & ~unknown("character") & (F.size("tokens") <= caps.general)
+    kept = [c for c in df.columns if c not in _ALONG]
+    lists = {"copyright_tags": split_tags(F.col("copyright")), "character_tags": split_tags(F.col("character"))}
+    return select_where(df.withColumns(lists), keep, *(F.col(f"`{c}`") for c in [*kept, *lists]))
+
+
+_ALONG = ("_general_ids", "_section_ids", "_cluster_ids")
+
+
+def _section_get(encoder: Encoder) -> Callable[[Column], Column]:
+    """Id of a token of the copyright and character sections of a known post."""
+    literal = encoder.table.literal
+    return literal.get if literal is not None else lambda t: F.try_element_at("section_ids", t)
+
+
 def known_posts(
-    posts: DataFrame, encoder: Encoder, caps: Caps, clusters: TagTable | None = None
+    posts: DataFrame,
+    encoder: Encoder,
+    caps: Caps,
+    clusters: TagTable | None = None,
+    groups: TagGroups = TagGroups(),
 ) -> DataFrame:
     """Posts with general tags whose copyright and character tags are all known, within caps.
 
-    Adds `tokens`, the known general tags with their ids, the two raw tag lists, and
-    `section_ids`, the ids of the tokens in these. With `clusters`, keyed by
-    `cluster_key(level, tag)`, the tokens also hold their `cluster_id` at the post's `level`. All
-    of it is looked up in one go.
+    Adds `tokens`, the known general tags with their ids, and the two raw tag lists. If a table is
+    too large for a literal, all that will be wanted is looked up in one go: also `section_ids`,
+    the ids of the section tokens, and with `clusters`, keyed by `cluster_key(level, tag)`, the
+    `cluster_id` of each ungrouped token at the post's `level`.
     """
-    cleaned = within_caps(with_general_tags(posts), caps.copyright, caps.character)
+    cleaned = _within_caps(posts, caps)
     general = F.col("general")
+    literal = encoder.table.literal
+    if literal is not None and (clusters is None or clusters.literal is not None):
+        ids = F.transform(tokenize(general), literal.get)
+        found = cleaned.withColumn("tokens", known_pairs(tokenize(general), ids))
+        return _kept_tokens(found, caps, literal.get)
     wanted = [
         encoder.wanted(general, "_general_ids"),
         Wanted(_section_keys(), encoder.table, "_section_ids"),
     ]
-    if clusters is not None:
-        keys = F.transform(tokenize(general), lambda t: cluster_key(F.col("level"), t))
-        wanted.append(Wanted(keys, clusters, "_cluster_ids"))
-    found = resolve_all(cleaned, wanted)
-    section_ids = F.map_from_arrays(_section_keys(), F.col("_section_ids"))
     items = {"tag": tokenize(general), "token_id": F.col("_general_ids")}
     if clusters is not None:
+        grouped = [t for names in groups.disjoint().values() for t in names]
+
+        def key(tag: Column) -> Column:
+            return F.when(~among(tag, grouped), cluster_key(F.col("level"), tag))
+
+        wanted.append(Wanted(F.transform(tokenize(general), key), clusters, "_cluster_ids"))
         items["cluster_id"] = F.col("_cluster_ids")
+    found = resolve_all(cleaned, wanted)
     zipped = F.arrays_zip(*(c.alias(name) for name, c in items.items()))
     made = found.withColumns(
         {
             "tokens": F.filter(zipped, lambda t: t["token_id"].isNotNull()),
-            "section_ids": section_ids,
-            "copyright_tags": split_tags(F.col("copyright")),
-            "character_tags": split_tags(F.col("character")),
+            "section_ids": F.map_from_arrays(_section_keys(), F.col("_section_ids")),
         }
     )
+    return _kept_tokens(made, caps, lambda t: F.try_element_at("section_ids", t))
 
-    def unknown(column: str) -> Column:
-        return F.exists(
-            tokenize(F.col(column)), lambda t: F.try_element_at("section_ids", t).isNull()
-        )
 
-    keep = ~unknown("copyright") & ~unknown("character") & (F.size("tokens") <= caps.general)
-    kept = [c for c in made.columns if c not in {w.out for w in wanted}]
-    return select_where(made, keep, *(F.col(f"`{c}`") for c in kept))
+def clustered_posts(
+    posts: DataFrame, encoder: Encoder, caps: Caps, clusters: TagTable, groups: TagGroups
+) -> DataFrame:
+    """Known posts with their tags in groups, and the ungrouped ones in the clusters of the
+    post's `level`; only these are looked up there."""
+    known = known_posts(posts, encoder, caps, clusters, groups)
+    grouped = organize_by_group(known, "tokens", groups, named)
+    if encoder.table.literal is not None and clusters.literal is not None:
+        return by_cluster(grouped, clusters, named, F.col("level"))
+    return by_own_cluster(grouped, F.col("level"))
 
 
 def _ids(column: str) -> Column:
@@ -154,11 +196,12 @@ def _head_ids(encoder: Encoder) -> list[Column]:
 
 def _with_section_ids(df: DataFrame, encoder: Encoder) -> DataFrame:
     """Ids of the copyright and character texts as they stand in the prompt."""
+    get = _section_get(encoder)
 
     def ids(text: str) -> Column:
         return F.transform(
             tokenize(F.col(text)),
-            lambda t: F.coalesce(F.try_element_at("section_ids", t), F.lit(encoder.unk_id)),
+            lambda t: F.coalesce(get(t), F.lit(encoder.unk_id)),
         )
 
     return df.withColumns(
@@ -251,9 +294,7 @@ def finetune_rows(
     """
     level = identity_level(params.identity_rates, params.compose.seed)
     leveled = _scored(posts, params).withColumn("level", level)
-    known = known_posts(leveled, encoder, params.caps, clusters)
-    grouped = organize_by_group(known, "tokens", groups, named)
-    organized = by_own_cluster(grouped, F.col("level"))
+    organized = clustered_posts(leveled, encoder, params.caps, clusters, groups)
     composed = components_keeping_identity(organized, params.compose, named)
     cases = " ".join(f"when '{name}' then '{t}'" for name, t in C.IDENTITY_TOKEN.items())
     marked = composed.withColumn("identity_token", F.expr(f"case level {cases} end"))

@@ -15,8 +15,7 @@ from tagloom.operators.encode import Encoder
 from tagloom.operators.select import select_where
 from tagloom.operators.split import split_once
 from tagloom.operators.vectors import train_clusters
-from tagloom.sources.readers import read_cluster_map, table_exists
-from tagloom.sources.writers import write_cluster_map
+from tagloom.sources.revisions import Dataset
 
 
 @dataclass(frozen=True)
@@ -47,7 +46,12 @@ def vector_set(
 def cluster_map(
     spark: SparkSession, path: str, vectors: Callable[[], DataFrame], n_clusters: int, **training
 ) -> DataFrame:
-    """The map kept at `path`; trained and kept there first if there is none."""
-    if not table_exists(spark, path):
-        write_cluster_map(train_clusters(vectors(), n_clusters, **training), path)
-    return read_cluster_map(spark, path)
+    """token, cluster_id: the map kept at `path`; trained and kept there first if there is none.
+
+    It is a published revision, so a folder that a failed write left is no map. Of two that were
+    trained at the same time the first one published is everybody's.
+    """
+    kept = Dataset(spark, path)
+    if not kept.revisions():
+        kept.write("clusters", {"all": train_clusters(vectors(), n_clusters, **training)})
+    return kept.read_from(kept.revisions()[0], "all")

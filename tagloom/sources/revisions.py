@@ -104,7 +104,9 @@ class Dataset:
 
     def read(self, split: str | None = None, revision: str | None = None) -> DataFrame:
         """One split, or all with a column `split`; files of other splits are not listed."""
-        chosen = self.revision(revision)
+        return self.read_from(self.revision(revision), split)
+
+    def read_from(self, chosen: Revision, split: str | None = None) -> DataFrame:
         names = list(chosen.splits) if split is None else [split]
         parts = []
         for name in names:

@@ -76,6 +76,34 @@ def test_numbering_equals_one_sort(spark):
     assert [r["token_id"] for r in made] == list(range(10, 107))
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_numbering_of_distinct_and_of_equal_counts(spark, ranges):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        for of in (lambda i: i * 7 % 2003 + 1, lambda i: 5):
+            rows = [(("b", "a")[i % 2], f"t{i}", of(i), (i * 31) % 2003) for i in range(2003)]
+            counts = spark.createDataFrame(rows, "field string, tag string, cnt long, first_seen long").repartition(5)
+            made = number_tokens(counts, ("b", "a"), 3)
+            expected = sorted(rows, key=lambda r: (r[0] != "b", -r[2], r[3]))
+            assert [(r["token_id"], r["token"]) for r in made.orderBy("token_id").collect()] == [(i, r[1]) for i, r in enumerate(expected, 3)]
+        assert number_tokens(counts.limit(0), ("a",), 3).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_a_vocabulary_is_numbered_without_a_window(posts):
+    plan = build_vocabulary(posts, PARAMS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
+@pytest.mark.parametrize("tags", [{"general": "a, x", "copyright": "x"}, {"general": "<|bos|>", "copyright": "y"}])
+def test_a_tag_of_two_kinds_stops_the_build(make_posts, tags):
+    params = VocabularyParams(min_count={"general": 1, "copyright": 1, "character": 1})
+    with pytest.raises(ValueError, match="duplicate tokens"):
+        build_vocabulary(make_posts(tags), params)
+
+
 def test_duplicates(spark, vocab):
     assert duplicate_tokens(vocab).count() == 0
     assert check_unique(vocab) is vocab

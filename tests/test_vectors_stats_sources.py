@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tagloom import constants as C
 from tagloom.functions import labels as L
-from tagloom.operators import stats, vectors
+from tagloom.operators import kmeans, stats, vectors
 from tagloom.plans.vectors import cluster_map
 from tagloom.sources import readers, writers
 
@@ -86,6 +86,32 @@ def test_best_of_several_runs_is_kept(some):
     assert cost(vectors.train_clusters(some, 5, 3, 30, seed=1)) <= min(single) + 1e-6
 
 
+def test_every_step_scans_the_vectors_once_for_all_runs(some, monkeypatch):
+    steps = []
+    sums = kmeans._sums
+    monkeypatch.setattr(kmeans, "_sums", lambda points, runs: steps.append(len(runs)) or sums(points, runs))
+    found = kmeans.fit_clusters(some, 4, n_init=3, max_iter=4, seed=1)
+    # Two rounds of the start and its weights, the steps, and the costs at the end.
+    assert len(steps) <= 3 + 4 + 1 and steps[:3] == [3, 3, 3] and steps[-1] == 3
+    assert len(found.costs) == 3 and found.cost == min(found.costs)
+
+
+def test_clusters_of_few_and_of_no_vectors(spark, some):
+    few = some.where("token_id < 3")
+    found = vectors.train_clusters(few, 5, n_init=2, max_iter=5)
+    assert sorted(r["cluster_id"] for r in found.collect()) == [0, 1, 2]
+    assert vectors.train_clusters(some.limit(0), 5, n_init=1).count() == 0
+
+
+def test_a_failed_training_leaves_no_map(spark, some, tmp_path):
+    broken = some.withColumn("token", F.when(F.col("token_id") == 40, F.raise_error(F.lit("lost"))).otherwise(F.col("token")))
+    with pytest.raises(Exception, match="lost"):
+        cluster_map(spark, str(tmp_path), lambda: broken, 3, n_init=1, max_iter=2)
+    (tmp_path / "data").mkdir(exist_ok=True)
+    found = cluster_map(spark, str(tmp_path), lambda: some, 3, n_init=1, max_iter=2)
+    assert found.count() == 60
+
+
 def test_same_cluster(spark):
     table = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1)], "token string, cluster_id int")
     asked = spark.createDataFrame([("b",), ("x",)], "token string")

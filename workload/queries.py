@@ -328,11 +328,8 @@ def _by_group(c: Corpus) -> DataFrame:
 
 def _by_cluster(c: Corpus) -> DataFrame:
     level = compose.identity_level(FINETUNE.identity_rates, SEED)
-    known = jobs.known_posts(
-        c.posts.withColumn("level", level), c.encoder, jobs.Caps(), c.clusters
-    )
-    grouped = organize.organize_by_group(known, "tokens", GROUPS, organize.named)
-    return organize.by_own_cluster(grouped, F.col("level"))
+    leveled = c.posts.withColumn("level", level)
+    return jobs.clustered_posts(leveled, c.encoder, jobs.Caps(), c.clusters, GROUPS)
 
 
 @query
