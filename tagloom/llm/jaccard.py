@@ -17,11 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import (
+    PART_ROWS,
     Memo,
     add_columns,
     checkpointed,
@@ -36,6 +38,7 @@ from tagloom.llm.components import connected_components
 #: Classes, and shingles, of a block that are compared at once with as many others.
 CHUNK_CLASSES, CHUNK_SHINGLES = 256, 1_000_000
 _BAND = 1.5
+_TILE_BYTES = 6
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -108,25 +111,52 @@ class Bands:
         return np.concatenate(found)
 
 
+def _packed(tiles: np.ndarray) -> bytes:
+    """Tiles cut to _TILE_BYTES; those that become equal only bring more sets together."""
+    return tiles.view(np.uint8).reshape(-1, 8)[:, :_TILE_BYTES].tobytes()
+
+
+def _tiles(found: DataFrame) -> DataFrame:
+    """tile, c1: one row per tile of every set, dealt by tile."""
+    schema = fields(tile="long", c1="long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, PART_ROWS) for b in batches for at in range(0, b.num_rows, PART_ROWS)):
+            packed = batch.column(1).cast(pa.large_binary())
+            counts = pc.binary_length(packed).to_numpy() // _TILE_BYTES
+            wide = np.zeros((counts.sum(), 8), np.uint8)
+            wide[:, :_TILE_BYTES] = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, _TILE_BYTES)
+            c1 = np.repeat(batch.column(0).to_numpy(), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(wide.view(np.int64).ravel()), pa.array(c1)], ["tile", "c1"])
+
+    told = found.where("n > 0 and tiles is not null").select("c1", "tiles")
+    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return told.mapInArrow(run, schema).repartition(partitions, "tile")
+
+
 def _signatures(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
-    """row, id, n, c1 and c2 (128-bit hash of the set), tiles."""
+    """row, id, n, c1 and c2 (128-bit hash of the set), tiles (packed; a task tells a set's once)."""
 
     def setup():
         shingler, bands = Shingler(width), Bands(percent)
+        told: set[bytes] = set()
 
         def work(texts):
             columns: list[list] = [[], [], [], []]
             for t in text_bytes(texts):
                 shingles = shingler(t.as_py())
-                digest = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype="<i8")
-                row = (len(shingles), int(digest[0]), int(digest[1]), bands.tiles(shingles).view(np.int64))
+                name = xxhash.xxh3_128_digest(shingles.tobytes())
+                digest = np.frombuffer(name, dtype="<i8")
+                tiles = None if name in told else _packed(bands.tiles(shingles))
+                told.add(name)
+                row = (len(shingles), int(digest[0]), int(digest[1]), tiles)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
             return columns
 
         return work
 
-    outputs = fields(n="long", c1="long", c2="long", tiles="array<long>")
+    outputs = fields(n="long", c1="long", c2="long", tiles="binary")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), whole_text(text).alias("text"))
     return add_columns(rows, ["text"], outputs, setup, ["row", "id"])
 
@@ -290,15 +320,12 @@ def jaccard_join(
         F.min("id").alias("least_id"),
         F.count(F.lit(1)).alias("copies"),
         F.max("n").alias("n"),
-        F.first("tiles").alias("tiles"),
     )
-    tiles = classes.select("cid", F.explode("tiles").alias("tile"))
-    shared = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
-    held = checkpointed(tiles.join(shared.select("tile"), "tile"))
-    root_of = held.groupBy("tile").agg(F.min("cid").alias("root"))
-    inside = held.join(root_of, "tile").select("cid", "root").distinct()
-    with_roots = inside.groupBy("cid").agg(F.array_sort(F.collect_set("root")).alias("roots"))
-    known = classes.drop("tiles").join(with_roots, "cid")
+    tiles = _tiles(found)  # exchanged once, read for the tiles' least sets and again for their others
+    shared = tiles.groupBy("tile").agg(F.min("c1").alias("root"), F.max("c1").alias("last")).where("root <> last")
+    inside = tiles.join(shared, "tile").select("c1", "root").distinct()
+    with_roots = inside.groupBy("c1").agg(F.array_sort(F.collect_set("root")).alias("roots"))
+    known = classes.join(with_roots, "c1")
     known = checkpointed(known)  # cid, c1, c2, least_id, copies, n, roots of the classes to compare
     wanted = known.select(F.col("least_id").alias("wanted")).distinct()
     sets = _sets(docs, wanted, id_col, text, width).groupBy(*keys).agg(F.first("shingles").alias("shingles"))
@@ -323,7 +350,7 @@ def jaccard_join(
     joined = roots.join(known.select("cid", "least_id"), "cid")
     least = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
     linked = joined.join(least, "component").select("cid", "component_id").join(links, "cid")
-    of_class = classes.drop("tiles", "n").join(linked, "cid", "left").select(
+    of_class = classes.drop("n").join(linked, "cid", "left").select(
         *keys, "copies", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")
     )
     rows = found.select("id", "n", *keys)
