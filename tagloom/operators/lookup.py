@@ -5,10 +5,8 @@ Two ways to the same rows, whichever the tables' size:
 * Small tables become a literal inside the column expression, so lists are resolved where they
   are and posts are not shuffled. Spark scans a map entry by entry, hence the table is cut into
   many tiny maps picked by the hash of the key.
-* With a larger table each row is exploded once, into itself and one item per key of all its
-  lists. The items are joined with their tables and regrouped by the row's id: one use of the
-  input and one regrouping, however many lists and tables there are. Adaptive execution splits hot
-  keys of that join.
+* Of a larger table each chunk of rows asks for its distinct keys (`requests`): one use of the
+  input, rows that move once and whole, and no hot key.
 """
 
 from __future__ import annotations
@@ -16,11 +14,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.operators.requests import Asked, with_answers
+
 #: Up to so many entries a table is a literal; the most that ever reach the driver.
 MAX_LITERAL_ENTRIES = 20_000
 _ENTRIES_PER_BUCKET = 2
@@ -57,9 +56,9 @@ class TagTable:
     pairs: DataFrame
     literal: Lookup | None
 
-    def resolve(self, df: DataFrame, keys: str, out: str, id_col: str = "id") -> DataFrame:
+    def resolve(self, df: DataFrame, keys: str, out: str) -> DataFrame:
         """Add `out`: for each key in the string array column `keys` its value, or null."""
-        return resolve_all(df, [Wanted(F.col(keys), self, out)], id_col)
+        return resolve_all(df, [Wanted(F.col(keys), self, out)])
 
 
 @dataclass(frozen=True, eq=False)
@@ -71,78 +70,14 @@ class Wanted:
     out: str
 
 
-def _united(tables: Sequence[TagTable]) -> DataFrame:
-    numbered = [t.pairs.select(F.lit(n).alias("_table"), "*") for n, t in enumerate(tables)]
-    return reduce(DataFrame.unionAll, numbered)
-
-
-def resolve_all(df: DataFrame, wanted: Sequence[Wanted], id_col: str = "id") -> DataFrame:
+def resolve_all(df: DataFrame, wanted: Sequence[Wanted]) -> DataFrame:
     """Add the `out` column of each wanted list; null for a null list.
 
-    `id_col` spreads the rows when a table is no literal; rows of one id, or of none, stay apart.
-    The tables of one call have values of one type.
+    The tables of one call have values of one type. Every row stays as it is, whatever its id.
     """
     if all(w.table.literal is not None for w in wanted):
         return df.withColumns({w.out: F.transform(w.keys, w.table.literal.get) for w in wanted})
-    tables = list(dict.fromkeys(w.table for w in wanted))
-    columns = [c for c in df.columns if c != id_col]
-    lists = [f"_keys_{n}" for n in range(len(wanted))]
-    sizes = [f"_size_{n}" for n in range(len(wanted))]
-    keyed = df.withColumns({name: w.keys for name, w in zip(lists, wanted, strict=True)})
-    # Rows of one id are told apart by 128 bits of hash of all they hold, written as JSON, as a
-    # hash of columns passes over nulls and ends of arrays. Equal rows have equal values, so they
-    # are regrouped as one and counted.
-    shown = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-    whole = F.to_json(F.struct(*(F.col(f"`{c}`") for c in keyed.columns)), shown)
-    keyed = keyed.withColumn("_hash", F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b")))
-    # Of no table and named by the row, so that rows and null keys are spread evenly.
-    own = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.col("_hash.a").cast("string"))
-    no_keys = F.array().cast("array<string>")
-    all_keys = F.concat(F.array(own), *(F.coalesce(F.col(name), no_keys) for name in lists))
-    sized = keyed.withColumns(
-        {
-            size: F.when(F.col(name).isNotNull(), F.size(name))
-            for name, size in zip(lists, sizes, strict=True)
-        }
-    )
-    exploded = sized.select(
-        F.col(f"`{id_col}`"),
-        "_hash",
-        F.struct(*(F.col(f"`{c}`") for c in columns), *sizes).alias("_row"),
-        F.posexplode(all_keys).alias("_slot", "_key"),
-    )
-    # Slot 0 is the row itself, then come the keys of each list.
-    number = F.when((F.col("_slot") == 0) | F.col("_key").isNull(), F.lit(-1))
-    end = F.lit(0)
-    for w, size in zip(wanted, sizes, strict=True):
-        end = end + F.coalesce(F.col(f"_row.{size}"), F.lit(0))
-        number = number.when(F.col("_slot") <= end, F.lit(tables.index(w.table)))
-    exploded = exploded.select(
-        F.col(f"`{id_col}`"),
-        "_hash",
-        F.when(F.col("_slot") == 0, F.col("_row")).alias("_row"),
-        "_slot",
-        number.alias("_table"),
-        F.coalesce("_key", own).alias("_key"),
-    )
-    regrouped = (
-        exploded.join(_united(tables), ["_table", "_key"], "left")
-        .groupBy(f"`{id_col}`", "_hash")
-        .agg(
-            F.first("_row", ignorenulls=True).alias("_row"),
-            F.sort_array(F.collect_set(F.struct("_slot", "_value")))["_value"].alias("_values"),
-            F.count(F.when(F.col("_slot") == 0, 1)).alias("_copies"),
-        )
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    )
-    made = {c: F.col(f"_row.`{c}`") for c in columns} | {id_col: F.col(f"`{id_col}`")}
-    start = F.lit(2)
-    for w, size in zip(wanted, sizes, strict=True):
-        n = F.col(f"_row.{size}")
-        made[w.out] = F.slice("_values", start, n)
-        start = start + F.coalesce(n, F.lit(0))
-    names = dict.fromkeys([*df.columns, *(w.out for w in wanted)])
-    return regrouped.select(*(made[c].alias(c) for c in names))
+    return with_answers(df, [Asked(w.keys, w.table.pairs, w.out) for w in wanted])
 
 
 def tag_table(

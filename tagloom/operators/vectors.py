@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.draws import digest_sql
 from tagloom.operators.kmeans import fit_clusters
+from tagloom.operators.requests import Asked, with_answers
 
-MAX_MATRIX_BYTES = 128 * 2**20
+# Numbers of one vector times rows of a chunk that asks for vectors.
+_CHUNK_NUMBERS = 1 << 17
 _ROUND = 9
 _QUERY_CHUNK = 512
 # Of vectors in one block of queries or one shard; their product is taken 512 queries at a time.
@@ -56,15 +56,6 @@ def same_cluster(queries: DataFrame, cluster_map: DataFrame) -> DataFrame:
     return asked.join(members, "cluster_id", "left").select("token", "cluster_id", "member")
 
 
-def _fetched(vectors: DataFrame, name: str) -> tuple[list, np.ndarray]:
-    """Names and matrix of vectors whose size was checked before."""
-    table = vectors.select(name, "embedding").toArrow()
-    names = table.column(name).to_pylist()
-    lists = table.column("embedding").combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    return names, flat.reshape(len(names), -1) if names else np.zeros((0, 0))
-
-
 def _unit(matrix: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; rows of length zero become not-a-number."""
     norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
@@ -216,78 +207,16 @@ def transfer_vectors(
     )
 
 
-def _gathered(
-    pairs: DataFrame, ids: str, known: list, matrix: np.ndarray, out: str
-) -> DataFrame:
-    """Each task picks the vectors of its ids from the matrix by Arrow."""
-    place = np.full(max(known) + 1, -1, dtype=np.int64)
-    place[known] = np.arange(len(known))
-    shared = pairs.sparkSession.sparkContext.broadcast((place, matrix.astype(np.float32)))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, matrix = shared.value
-        starts = pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1])
-        table = pa.ListArray.from_arrays(starts, pa.array(matrix.ravel(), pa.float32()))
-        for batch in batches:
-            lists = batch.column(1)
-            wanted = lists.flatten().to_numpy(zero_copy_only=False)
-            inside = (wanted >= 0) & (wanted < len(place))
-            at = np.where(inside, place[np.where(inside, wanted, 0)], -1)
-            found = table.take(pa.array(at, mask=at < 0))
-            lengths = pa.compute.list_value_length(lists).fill_null(0).to_numpy()
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            nested = pa.ListArray.from_arrays(
-                pa.array(offsets), found, mask=lists.is_null() if lists.null_count else None
-            )
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, nested], ["id", ids, out])
-
-    return pairs.mapInArrow(gather, f"id bigint, `{ids}` array<int>, `{out}` array<array<float>>")
-
-
-def lookup_vectors(
-    rows: DataFrame,
-    ids: str,
-    vectors: DataFrame,
-    out: str = "embeddings",
-    max_bytes: int = MAX_MATRIX_BYTES,
-) -> DataFrame:
+def lookup_vectors(rows: DataFrame, ids: str, vectors: DataFrame, out: str = "embeddings") -> DataFrame:
     """id, `ids` and `out`: the vector of every id in order, null where there is none.
 
-    A matrix of checked size goes to the tasks, which pick from it: nothing is shuffled. Of a
-    larger one only the vectors of the most frequent ids go; the other ids, none of them hot,
-    are exploded, joined and regrouped by row.
+    One way for matrices of any size: every chunk of rows asks for the vectors of its distinct ids.
+    Chunks are the smaller the longer the vectors.
     """
-    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    pairs = rows.select("id", ids)
-    fitting = max_bytes // (4 * (size["d"] or 1))
-    chosen = vectors
-    if size["n"] > fitting:
-        counts = pairs.select(F.explode(ids).alias("token_id")).groupBy("token_id").count()
-        hottest = counts.orderBy(F.col("count").desc(), "token_id").limit(fitting)
-        chosen = vectors.join(hottest, "token_id", "left_semi")
-    known, matrix = _fetched(chosen, "token_id")
-    if known:
-        found = _gathered(pairs, ids, known, matrix, out)
-    else:
-        found = pairs.withColumn(
-            out, F.transform(F.col(ids), lambda _: F.lit(None).cast("array<float>"))
-        )
-    if size["n"] <= fitting:
-        return found
-    missing = found.select(
-        "id", F.posexplode(F.arrays_zip(F.col(ids).alias("token_id"), F.col(out).alias("v")))
-    ).where(F.col("col.v").isNull())
-    late = (
-        missing.select("id", "pos", "col.token_id")
-        .join(vectors.select("token_id", "embedding"), "token_id")
-        .groupBy("id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "embedding"))).alias("_late"))
-    )
-    filled = F.transform(
-        F.col(out), lambda v, i: F.coalesce(v, F.try_element_at(F.col("_late"), i))
-    )
-    whole = F.when(F.col("_late").isNull(), F.col(out)).otherwise(filled)
-    return found.join(late, "id", "left").withColumn(out, whole).drop("_late")
+    length = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    pairs = vectors.select(F.col("token_id").cast("int").alias("_key"), F.col("embedding").alias("_value"))
+    asked = Asked(F.col(ids).cast("array<int>"), pairs, out)
+    return with_answers(rows.select("id", ids), [asked], max(16, min(2048, _CHUNK_NUMBERS // length)))
 
 
 def exclude_special(vectors: DataFrame, special: Sequence[str]) -> DataFrame:

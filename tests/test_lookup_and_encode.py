@@ -202,10 +202,19 @@ def test_lookups_use_the_input_once_and_keep_every_row(spark, max_entries):
         3: (None, "c", [70, 80], [None, 8]),
         4: ([None], "d", [70, 80], [None, 8]),
     }
-    ranged = spark.range(10).select("id", F.array(F.lit("k7")).alias("keys"))
-    plan = table.resolve(ranged, "keys", "out")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Range (0, 10") == 1
-    assert plan.count("Aggregate") == (max_entries == 0)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    counted = spark.range(10).mapInArrow(count, "id long").select("id", F.array(F.lit("k7")).alias("keys"))
+    resolved = table.resolve(counted, "keys", "out")
+    assert [r["out"] for r in resolved.collect()] == [[7]] * 10 and made.value == 10
+    # Rows are never regrouped; only what chunks ask for is made distinct.
+    plan = resolved._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == plan.count("Aggregate [asking#") == (max_entries == 0)
 
 
 @pytest.mark.parametrize("max_entries", [20_000, 0])
@@ -243,3 +252,29 @@ def test_rows_of_one_id_stay_apart_at_every_size(spark):
         for n in (20_000, 0)
     ]
     assert len(found[0]) == len(rows) and found[0] == found[1]
+
+
+def test_names_of_any_kind_pass_a_large_lookup(spark):
+    """Columns named like those made on the way come back as they were; an `out` replaces its own."""
+    rows = spark.createDataFrame(
+        [(1, ["a"], "h", "k", 5, [1.5]), (2, None, None, None, None, None)],
+        "at long, keys array<string>, _hash string, _keys_0 string, chunk int, `row` array<double>",
+    )
+    table = tag_table(spark.createDataFrame([("a", 1)], "k string, v int"), "k", "v", max_entries=0)
+    found = resolve_all(rows, [Wanted(F.col("keys"), table, "out"), Wanted(F.col("keys"), table, "chunk")])
+    assert found.columns == ["at", "keys", "_hash", "_keys_0", "chunk", "row", "out"]
+    assert sorted(map(tuple, found.collect())) == [(1, ["a"], "h", "k", [1], [1.5], [1]), (2, None, None, None, None, None, None)]
+    assert resolve_all(rows.limit(0), [Wanted(F.col("keys"), table, "out")]).count() == 0
+
+
+def test_chunks_of_any_size_give_the_same(spark):
+    from tagloom.operators.requests import Asked, with_answers
+
+    pairs = spark.range(300).selectExpr("cast(id as string) as _key", "id * 2 as _value")
+    rows = spark.range(1000).select("id", F.transform(F.sequence(F.col("id") % 7, F.lit(9)), lambda i: (i * F.col("id") % 400).cast("string")).alias("keys"))
+    found = [
+        sorted((r["id"], tuple(r["out"])) for r in with_answers(rows.repartition(3), [Asked(F.col("keys"), pairs, "out")], n).collect())
+        for n in (1, 64, 5000)
+    ]
+    wanted = [(r["id"], tuple(2 * int(k) if int(k) < 300 else None for k in r["keys"])) for r in rows.collect()]
+    assert found == [sorted(wanted, key=lambda w: w[0])] * 3
