@@ -22,12 +22,20 @@ _BLOCK_BYTES = 16 << 20
 
 
 def tag_vectors(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
-    """token_id, token, embedding, joined by id: row i of the matrix belongs to token i."""
+    """token_id, token, embedding, joined by id: row i of the matrix belongs to token i.
+
+    Tokens without a vector stay, with null; see `known_vectors`.
+    """
     return vocab.select("token_id", "token").join(
-        vectors.select("token_id", "embedding"), "token_id"
+        vectors.select("token_id", "embedding"), "token_id", "left"
     )
 
 
+def known_vectors(vectors: DataFrame) -> DataFrame:
+    """The tokens that have a vector."""
+    return vectors.where(F.col("embedding").isNotNull())
+
+
 def train_clusters(
     vectors: DataFrame,
     n_clusters: int = 32,

@@ -37,6 +37,11 @@ ENCODE = VocabularyParams("encode", ("general", "character", "copyright"))
 MASKED = VocabularyParams("masked", ("general",), {"general": 1000})
 
 
+def first_place(id_: Column, pos: Column) -> Column:
+    """A number that orders places by post, then by position."""
+    return (id_.cast("decimal(20,0)") * F.lit(_POSITIONS) + pos).cast("decimal(38,0)")
+
+
 def tag_counts(posts: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """field, tag, cnt, first_seen for every tag, all fields in one pass.
 
@@ -49,7 +54,7 @@ def tag_counts(posts: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     exploded = stacked.where(F.col("text").isNotNull()).select(
         "id", "field", F.posexplode(split_tags(F.col("text"))).alias("pos", "tag")
     )
-    seen = F.expr(f"cast(id as decimal(20, 0)) * {_POSITIONS} + pos").cast("decimal(38, 0)")
+    seen = first_place(F.col("id"), F.col("pos"))
     return exploded.groupBy("field", "tag").agg(
         F.count(F.lit(1)).alias("cnt"), F.min(seen).alias("first_seen")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tagloom import constants as C
@@ -338,6 +338,29 @@ def accepted(rows: DataFrame, *columns: str) -> DataFrame:
     return select_where(rows, F.col("reason").isNull(), *wanted)
 
 
+REASONS = (
+    "unknown_rating",
+    "no_aspect_ratio",
+    "no_score",
+    "no_date",
+    "unclustered_tag",
+    "no_tags_to_complete",
+)
+
+
+def write_accepted(rows: DataFrame, write: Callable[[DataFrame], object]) -> dict[str | None, int]:
+    """Writes the accepted rows; how many failed for each reason, and under None how many did not.
+
+    Counted while they are written: the rows are made once.
+    """
+    seen = Observation()
+    counts = [F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in REASONS]
+    counted = rows.observe(seen, F.count(F.when(F.col("reason").isNull(), 1)).alias("accepted"), *counts)
+    write(accepted(counted))
+    found = dict(seen.get)
+    return {None: found.pop("accepted")} | found
+
+
 def quarantined(rows: DataFrame) -> DataFrame:
     """Failed posts and why."""
     return select_where(rows, F.col("reason").isNotNull(), "id", "reason")

@@ -51,6 +51,20 @@ class Folder:
     def remove(self, file: str) -> None:
         self.files.delete(self.jvm.org.apache.hadoop.fs.Path(file), False)
 
+    def join_files(self, parts: str, name: str, end: str) -> None:
+        """Puts the part files of a folder inside this one together, in order, and `end` behind."""
+        hadoop = self.jvm.org.apache.hadoop
+        folder = hadoop.fs.Path(self.path, parts)
+        stream = self.files.create(hadoop.fs.Path(self.path, name), True)
+        for file in sorted(f.getPath().toString() for f in self.files.listStatus(folder)):
+            if file.rsplit("/", 1)[1].startswith("part-"):
+                source = self.files.open(hadoop.fs.Path(file))
+                hadoop.io.IOUtils.copyBytes(source, stream, self.conf, False)
+                source.close()
+        stream.write(bytearray(end.encode()))
+        stream.close()
+        self.files.delete(folder, True)
+
     def put(self, name: str, text: str) -> bool:
         """Writes a file whole, unless there is one of that name."""
         hadoop = self.jvm.org.apache.hadoop.fs
@@ -182,7 +196,7 @@ def write_bounded(rows: DataFrame, path: str, max_bytes: int = MAX_FILE_BYTES, *
     Sizes are those of the written files: what is too large is read and written once more with
     fewer rows to a file, until nothing is.
     """
-    rows.write.partitionBy(*by).parquet(path) if by else rows.write.parquet(path)
+    rows.write.partitionBy(*by).parquet(path)
     spark, folder = rows.sparkSession, Folder(rows.sparkSession, path)
     for share in (0.9, 0.5, 0.2, 0.0):
         large = {file: size for file, size in folder.sizes().items() if size > max_bytes}

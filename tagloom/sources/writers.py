@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_FILE = 2_000_000
+from tagloom.sources.revisions import MAX_FILE_BYTES, Folder, write_bounded
 
 
 def write_cluster_map(cluster_map: DataFrame, path: str) -> None:
@@ -19,29 +19,45 @@ def write_table(table: DataFrame, path: str) -> None:
 
 
 def write_json_object(table: DataFrame, key: str, value: str, path: str) -> None:
-    """One JSON object key -> value in a single file, for tools that expect that.
+    """One JSON object key -> value in the single file `path`/object.json, one entry per line.
 
-    Meant for vocabulary-sized tables: an object is one line, hence one task.
+    Keys are unique and not null, and sorted into ranges; each task writes its lines, and the files
+    are then put together in order.
     """
-    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))
-    table.agg(F.to_json(entries).alias("value")).write.mode("overwrite").text(path)
-
-
-def write_splits(rows: DataFrame, path: str, rows_per_file: int = DEFAULT_ROWS_PER_FILE) -> None:
-    """split=test and split=train folders in one run, files of bounded size.
-
-    Every task writes its own rows, so a rare split has up to one small file per task.
+    entries = table.select(key, value)
+    least = entries.agg(F.min(key)).first()[0]
+    parts = f"{path}/_parts"
+    text = F.to_json(F.map_from_arrays(F.array(key), F.array(value)))
+    inner = F.expr("substring(line, 2, length(line) - 2)")
+    lead = F.when(F.col(key) == F.lit(least), "{").otherwise(",")
+    lines = entries.repartitionByRange(key).sortWithinPartitions(key).select(key, text.alias("line"))
+    lines.select(F.concat(lead, inner)).write.mode("overwrite").text(parts)
+    Folder(table.sparkSession, path).join_files("_parts", "object.json", "}\n" if least is not None else "{}\n")
+
+
+def write_splits(rows: DataFrame, path: str, max_bytes: int = MAX_FILE_BYTES) -> None:
+    """split=test and split=train folders in one run, files of at most `max_bytes`.
+
+    Every task writes its own rows, so a rare split has up to one small file per task. For sets
+    that others read meanwhile see `Dataset.write_split`.
     """
-    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(
-        "split"
-    ).parquet(path)
+    write_bounded(rows, path, max_bytes, "split")
 
 
 def write_vectors_tsv(vectors: DataFrame, path: str) -> None:
-    """vectors (tab-joined numbers) and labels, one line per token, both in id order."""
-    lines = tsv_lines(vectors).orderBy("token_id")
-    for column in ("vector", "label"):
-        lines.select(column).write.mode("overwrite").text(f"{path}/{column}s")
+    """`file=vectors` (tab-joined numbers) and `file=labels`, one line per token in id order.
+
+    The tokens are sorted once, and each task writes a part of both files: part n of one goes with
+    part n of the other, line by line. Tokens without a vector are in neither.
+    """
+    lines = tsv_lines(vectors.where(F.col("embedding").isNotNull()))
+    both = F.explode(
+        F.array(*(F.struct(F.lit(f"{c}s").alias("file"), F.col(c).alias("line")) for c in ("vector", "label")))
+    )
+    ranged = lines.repartitionByRange("token_id").select("token_id", both.alias("l")).select("token_id", "l.*")
+    ranged.sortWithinPartitions("file", "token_id").select("file", "line").write.mode("overwrite").partitionBy(
+        "file"
+    ).text(path)
 
 
 def tsv_lines(vectors: DataFrame) -> DataFrame:

@@ -339,6 +339,60 @@ def test_report(data):
         assert table.columns
 
 
+def test_a_report_scans_the_posts_once_and_adds_up(data, make_posts):
+    from tagloom.operators import stats
+    from tagloom.operators.summary import merged, summarize
+    from tagloom.operators.vocabulary import tag_counts
+
+    halves = [summarize(data.posts.where(F.col("id") % 2 == k)) for k in (0, 1)]
+    report = corpus_report(summary=merged(*halves))
+    odd = make_posts({"general": None, "score": None, "rating": None}, {"general": "", "copyright": "a, a"}, {"rating": None, "score": 3})
+    for posts, made in ((data.posts, report), (odd, corpus_report(odd))):
+        direct = {
+            "tag_counts": tag_counts(posts),
+            "rating_counts": stats.rating_counts(posts),
+            "tags_per_post": stats.tags_per_post(posts),
+            "score_boxplot": stats.score_boxplot(stats.score_counts(posts)),
+            "quality_bands": stats.quality_bands(stats.score_counts(posts)),
+        }
+        for name, table in direct.items():
+            found = made[name].select(*table.columns)
+            assert sorted(map(str, found.collect())) == sorted(map(str, table.collect())), name
+    plan = summarize(data.posts)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[id#", plan)) == 1
+    assert all("general" not in plan_of(t) for t in corpus_report(data.posts).values())
+
+
+def test_reasons_are_counted_while_rows_are_written(spark, tiny, tmp_path):
+    posts, enc, clusters = tiny
+    posts = posts.where("id <> 4")
+    odd = {
+        20: {"rating": F.lit("x")},
+        21: {"image_height": F.lit(0)},
+        22: {"score": F.lit(None).cast("int")},
+        23: {"created_at": F.lit("once")},
+        24: {"score": F.lit(None).cast("int")},
+    }
+    first = posts.where("id = 0")
+    for number, changes in odd.items():
+        posts = posts.unionByName(first.withColumns({"id": F.lit(number).cast("long"), **changes}))
+    params = replace(jobs.FINETUNE, score_floors=ANY_SCORE, first_year=2010)
+    rows = jobs.finetune_rows(posts, enc, clusters, params=params)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    path = str(tmp_path / "set")
+    counts = jobs.write_accepted(rows.mapInArrow(count, rows.schema), lambda kept: kept.write.parquet(path))
+    assert made.value == rows.count()
+    assert counts.pop(None) == spark.read.parquet(path).count() > 0
+    failed = jobs.quarantined(rows).groupBy("reason").count().collect()
+    assert counts == {r["reason"]: r["count"] for r in failed} and min(counts.values()) > 0 and len(counts) == 6
+
+
 def test_finetuning_rows_keep_the_posts_columns_and_lose_no_post_unseen(tiny):
     posts, enc, clusters = tiny
     params = replace(jobs.FINETUNE, score_floors=ANY_SCORE, first_year=2020)

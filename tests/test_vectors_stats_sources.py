@@ -279,7 +279,7 @@ def test_json_object_round_trip(spark, tmp_path):
     table = spark.createDataFrame([("b", 2), ("é", 5)], "token string, cnt long")
     path = str(tmp_path / "object")
     writers.write_json_object(table, "token", "cnt", path)
-    (part,) = [p for p in (tmp_path / "object").iterdir() if p.suffix == ".txt"]
+    (part,) = [p for p in (tmp_path / "object").iterdir() if not p.name.startswith(".")]
     assert json.loads(part.read_text()) == {"b": 2, "é": 5}
     back = readers.read_json_object(spark, path, "token", "cnt")
     assert sorted(back.collect()) == sorted(table.collect())
@@ -292,14 +292,54 @@ def test_indented_json_object(spark, tmp_path):
     assert {r["token"]: r["cluster_id"] for r in back.collect()} == {"a": 1, "b c": 2}
 
 
+@pytest.mark.parametrize("form", [{}, {"indent": 2}, {"separators": (",", ":")}, {"ensure_ascii": False, "indent": 0}])
+def test_one_json_object_is_read_by_several_tasks(spark, tmp_path, form):
+    entries = {f"tag {i} {'é' * (i % 3)}\\ \"{i}\", {{}}": i * 7 for i in range(3000)}
+    file = tmp_path / "map.json"
+    file.write_text(json.dumps(entries, **form))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        back = readers.read_json_object(spark, str(file), "token", "n")
+        assert back.rdd.getNumPartitions() > 3
+        assert {r["token"]: r["n"] for r in back.collect()} == entries and back.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("entries", [{}, {"a": 1}, {"a, b": 1, "c,d": 2}])
+def test_small_json_objects(spark, tmp_path, entries):
+    (tmp_path / "map.json").write_text(json.dumps(entries))
+    back = readers.read_json_object(spark, str(tmp_path / "map.json"), "token", "n")
+    assert {r["token"]: r["n"] for r in back.collect()} == entries
+
+
+def test_a_key_that_ends_with_a_comma_is_refused_and_not_misread(spark, tmp_path):
+    (tmp_path / "map.json").write_text(json.dumps({"a": 1, "b, ": 2, "c": 3}))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_json_object(spark, str(tmp_path / "map.json"), "token", "n").collect()
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_json_objects_written_by_several_tasks(spark, tmp_path, n):
+    table = spark.range(n).select(F.concat(F.lit('k"\\, '), F.col("id").cast("string")).alias("token"), "id").repartition(4)
+    writers.write_json_object(table, "token", "id", str(tmp_path / "o"))
+    text = (tmp_path / "o" / "object.json").read_text()
+    assert json.loads(text) == {f'k"\\, {i}': i for i in range(n)}
+    back = readers.read_json_object(spark, str(tmp_path / "o"), "token", "id")
+    assert sorted(back.collect()) == sorted(table.collect())
+
+
 def test_split_files(spark, tmp_path):
     rows = spark.range(100).repartition(4).withColumn(
         "split", F.when(F.col("id") < 10, "test").otherwise("train")
     )
     path = str(tmp_path / "set")
-    writers.write_splits(rows, path, rows_per_file=5)
-    files = [str(f) for f in (tmp_path / "set").glob("split=*/*.parquet")]
-    assert len(files) >= 20 and all(spark.read.parquet(f).count() <= 5 for f in files)
+    writers.write_splits(rows, path, max_bytes=600)
+    files = list((tmp_path / "set").glob("split=*/*.parquet"))
+    assert len(files) > 8 and all(f.stat().st_size <= 600 for f in files)
     test = readers.read_split(spark, path, "test")
     assert {r["id"] for r in test.collect()} == set(range(10))
     assert readers.read_split(spark, path, "train").count() == 90
@@ -313,18 +353,25 @@ def test_posts_and_vectors(spark, some, make_posts, tmp_path):
     back = readers.read_posts(spark, str(tmp_path / "posts"))
     assert sorted(back.collect(), key=lambda r: r["id"]) == sorted(posts.collect(), key=lambda r: r["id"])
     writers.write_table(some, str(tmp_path / "vectors"))
-    vocab = spark.createDataFrame([(3, "renamed")], "token_id int, token string")
-    (row,) = readers.read_tag_vectors(spark, str(tmp_path / "vectors"), vocab).collect()
-    assert (row["token_id"], row["token"]) == (3, "renamed")
+    vocab = spark.createDataFrame([(3, "renamed"), (999, "lost")], "token_id int, token string")
+    row, lost = readers.read_tag_vectors(spark, str(tmp_path / "vectors"), vocab).orderBy("token_id").collect()
+    assert (row["token_id"], row["token"]) == (3, "renamed") and row["embedding"]
+    assert (lost["token_id"], lost["token"], lost["embedding"]) == (999, "lost", None)
 
 
 def test_vector_export(spark, some, tmp_path):
-    writers.write_vectors_tsv(some, str(tmp_path))
+    missing = spark.createDataFrame([(77, "none", None)], SCHEMA)
+    writers.write_vectors_tsv(some.unionByName(missing), str(tmp_path))
 
     def lines(name):
-        parts = sorted((tmp_path / name).glob("part-*"))
+        parts = sorted((tmp_path / f"file={name}").glob("part-*"))
         return [line for p in parts for line in p.read_text().splitlines()]
 
+    def parts(name):
+        return [(p.name.split("-")[1], len(p.read_text().splitlines())) for p in sorted((tmp_path / f"file={name}").glob("part-*"))]
+
+    assert parts("labels") == parts("vectors") and len(parts("labels")) > 1
+
     labels, numbers = lines("labels"), lines("vectors")
     assert labels == [f"t{i}" for i in range(60)]
     old = {r["token"]: r["embedding"] for r in some.collect()}

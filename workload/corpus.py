@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from tagloom.operators.encode import Encoder, encoder
 from tagloom.operators.lookup import TagTable, tag_table
 from tagloom.operators.organize import TagGroups, cluster_key
-from tagloom.operators.vectors import tag_vectors
+from tagloom.operators.vectors import known_vectors, tag_vectors
 from tagloom.operators.vocabulary import VocabularyParams, build_vocabulary
 from tagloom.schemas import POSTS
-from tagloom.sources.staging import staged
+from tagloom.sources.staging import shared_folder, staged
 
 GROUPS = TagGroups(
     people=("economy", "large", "medium", "promo", "small", "standard"),
@@ -119,11 +120,20 @@ class Corpus:
     @property
     def vectors(self) -> DataFrame:
         """Token i of the vocabulary has vector i."""
+        return known_vectors(self.all_vectors)
+
+    @property
+    def all_vectors(self) -> DataFrame:
+        """Tokens without a vector have null."""
         embeddings = self.table("embeddings").select(
             F.col("vec_id").cast("int").alias("token_id"), "embedding"
         )
         return tag_vectors(self.vocab, embeddings)
 
+    def folder(self, name: str) -> str:
+        """A new folder that all executors share."""
+        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+
     @property
     def cluster_map(self) -> DataFrame:
         """level, token, cluster_id of every token with a vector."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tagloom import constants as C
+from tagloom.plans.prompts import REASONS
+from tagloom.sources.readers import GROUP_FILES
 from workload.corpus import (
     CALIBRATION_FLOORS,
     FIRST_YEAR,
@@ -866,15 +868,14 @@ ranked AS (
             pieces("g_pieces", "clean", "general"),
             f"""
 ids AS (SELECT id, pos, coalesce(token_id, {special_id(C.UNK)}) AS token_id FROM g_pieces),
-ends AS (
-  SELECT vec_id,
-         CAST(CAST(round(CAST(embedding[1] AS DOUBLE), 4) AS DECIMAL(10, 4)) AS VARCHAR) || ':' ||
-         CAST(CAST(round(CAST(embedding[64] AS DOUBLE), 4) AS DECIMAL(10, 4)) AS VARCHAR) AS shown
+digests AS (
+  SELECT vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i:
+           i * CAST(floor(CAST(embedding[i] AS DOUBLE) * 10000 + 0.5) AS BIGINT))) AS BIGINT) AS digest
   FROM embeddings)""",
             select="""
 SELECT id, string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY pos) AS ids,
-       string_agg(coalesce(shown, '-'), ' ' ORDER BY pos) AS ends
-FROM ids LEFT JOIN ends ON token_id = vec_id GROUP BY id""",
+       string_agg(coalesce(CAST(digest AS VARCHAR), '-'), ' ' ORDER BY pos) AS digests
+FROM ids LEFT JOIN digests ON token_id = vec_id GROUP BY id""",
         ),
         "cluster_members": with_(
             POSTS,
@@ -929,7 +930,7 @@ FROM drawn GROUP BY token_id, token""",
             select="""
 SELECT token_id, token AS label, array_to_string(list_transform(embedding, lambda x:
          CAST(CAST(round(CAST(x AS DOUBLE), 5) AS DECIMAL(10, 5)) AS VARCHAR)), chr(9)) AS vector
-FROM vocab JOIN embeddings ON token_id = vec_id""",
+FROM vocab LEFT JOIN embeddings ON token_id = vec_id""",
         ),
         "pad_truncate": with_(
             *SFT,
@@ -975,6 +976,44 @@ SELECT id,
 FROM chosen, size GROUP BY id""",
         ),
     }
+    vectors = with_(POSTS, COUNTS, VOCAB, select="SELECT token{} FROM vocab JOIN embeddings ON token_id = vec_id")
+    names = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(GROUP_FILES))
+    sql |= {
+        "kmeans_map": vectors.format(", true AS in_range, true AS nearest, true AS cheapest"),
+        "get_or_train": vectors.format(", true AS same, 1 AS trainings"),
+        "revision_read": with_(POSTS, select="SELECT * FROM posts"),
+        "split_read": with_(POSTS, select=split("posts", "id, general, score")),
+        "tag_group_files": with_(
+            POSTS,
+            COUNTS,
+            VOCAB,
+            select=f"SELECT CASE token_id % {len(GROUP_FILES)} {names} END AS group_name, token AS tag "
+            "FROM vocab WHERE kind = 'general'",
+        ),
+        "cluster_map_files": with_(
+            POSTS,
+            COUNTS,
+            VOCAB,
+            CLUSTERS,
+            select="SELECT token, cluster_id FROM cluster_map WHERE level = 'lax'",
+        ),
+        "json_object_files": with_(
+            POSTS, COUNTS, select="SELECT tag, cnt FROM counts WHERE field = 'general'"
+        ),
+        "reason_counts": with_(
+            *SFT,
+            f"""
+failed AS (SELECT CASE WHEN lost.lost THEN 'unclustered_tag' ELSE 'no_tags_to_complete' END AS reason
+           FROM known LEFT JOIN lost USING (id) WHERE known.id NOT IN (SELECT id FROM prepared))""",
+            select=f"""
+SELECT r AS reason, (SELECT count(*) FROM failed WHERE reason = r) AS n
+FROM (SELECT unnest({array(REASONS)}) AS r)
+UNION ALL SELECT 'accepted', count(*) FROM prepared""",
+        ),
+    }
     for name in ("encode_tags", "sft_set"):
         sql[f"{name}_joined"] = sql[name]
+    sql["merged_tag_counts"] = sql["tag_frequency"]
+    for name in ("quality_bands", "tags_per_post"):
+        sql[f"merged_{name}"] = sql[name]
     return sql

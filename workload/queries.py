@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ from tagloom.functions.features import (
 )
 from tagloom.functions.text import has_text, iso_year, split_tags, tag_count, tokenize
 from tagloom.operators import clean, compose, organize, stats, vectors
+from tagloom.operators import summary as totals
 from tagloom.operators.encode import decode, decoder, unknown_tags
+from tagloom.operators.kmeans import fit_clusters
 from tagloom.operators.select import select_where
 from tagloom.operators.split import head, train_test_split
 from tagloom.operators.vocabulary import (
@@ -35,8 +39,17 @@ from tagloom.operators.vocabulary import (
 )
 from tagloom.plans import prompts as jobs
 from tagloom.plans.exploration import LENGTH_RANGE, RATINGS
-from tagloom.plans.vectors import VectorSetParams, vector_set
-from tagloom.sources.writers import tsv_lines
+from tagloom.plans.vectors import VectorSetParams, cluster_map, vector_set
+from tagloom.sources.readers import (
+    GROUP_FILES,
+    read_cluster_map,
+    read_json_object,
+    read_revision,
+    read_tag_groups,
+)
+from tagloom.sources.revisions import Dataset, Folder
+from tagloom.sources.staging import staged
+from tagloom.sources.writers import tsv_lines, write_cluster_map, write_json_object
 from workload.corpus import (
     CALIBRATION_FLOORS,
     FIRST_YEAR,
@@ -572,24 +585,33 @@ def cosine_topk(c: Corpus) -> DataFrame:
     return found.select("query", "rank", "token", F.round("similarity", 6).alias("similarity"))
 
 
-@query
-def vector_lookup(c: Corpus) -> DataFrame:
-    """Per post the ends of its tags' vectors; unknown ids have none."""
-    encoded = c.encoder.encode(clean.with_general_tags(c.posts), "general", "ids")
-    found = vectors.lookup_vectors(encoded, "ids", c.vectors)
+def _digests(found: DataFrame) -> DataFrame:
+    """id, ids and one whole number per vector, made of all its components; - for none."""
 
-    def ends(vector: Column) -> Column:
-        def shown(x: Column) -> Column:
-            return F.round(x.cast("double"), 4).cast("decimal(10,4)").cast("string")
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            vectors = lists.flatten()
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            known = vectors.is_valid().to_numpy(zero_copy_only=False)
+            size = len(flat) // max(1, known.sum())
+            whole = np.floor(flat * 10_000 + 0.5).astype(np.int64).reshape(-1, max(1, size))
+            numbers = np.zeros(len(known), np.int64)
+            numbers[known] = whole @ np.arange(1, whole.shape[1] + 1)
+            texts = np.where(known, numbers.astype(str), "-").tolist()
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            joined = [" ".join(texts[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(joined, pa.string())], ["id", "ids", "digests"])
 
-        both = F.concat_ws(":", shown(F.get(vector, F.lit(0))), shown(F.get(vector, F.lit(63))))
-        return F.coalesce(F.when(vector.isNotNull(), both), F.lit("-"))
+    shown = found.select("id", numbers(F.col("ids")).alias("ids"), "embeddings")
+    return shown.mapInArrow(run, "id bigint, ids string, digests string")
 
-    return found.select(
-        "id",
-        numbers(F.col("ids")).alias("ids"),
-        F.array_join(F.transform("embeddings", ends), " ").alias("ends"),
-    )
+
+@query
+def vector_lookup(c: Corpus) -> DataFrame:
+    """Per post a digest of all components of each of its tags' vectors; unknown ids have none."""
+    encoded = c.encoder.encode(clean.with_general_tags(c.posts), "general", "ids")
+    return _digests(vectors.lookup_vectors(encoded, "ids", c.vectors))
 
 
 def _level(c: Corpus, level: str) -> DataFrame:
@@ -629,12 +651,122 @@ def vector_tsv(c: Corpus) -> DataFrame:
     rounded = F.transform(
         "embedding", lambda x: F.round(x.cast("double"), 5).cast("decimal(10,5)")
     )
-    return tsv_lines(c.vectors.withColumn("embedding", rounded))
+    return tsv_lines(c.all_vectors.withColumn("embedding", rounded))
 
 
 @query
 def kmeans_map(c: Corpus) -> DataFrame:
-    return vectors.train_clusters(c.vectors, n_clusters=8, n_init=2, max_iter=50)
+    """What must hold for every token with a vector: its cluster is one of those asked for and the
+    nearest one, and the clusters cost no more than those of any single run."""
+    k, n_init, max_iter = 8, 2, 15
+    fitted = fit_clusters(c.vectors, k, n_init, max_iter, SEED)
+    single = [fit_clusters(c.vectors, k, 1, max_iter, SEED + i).cost for i in range(n_init)]
+    cheapest = fitted.cost <= min(single) * (1 + 1e-9)
+
+    def distance(centre) -> Column:
+        numbers = F.array(*(F.lit(float(x)) for x in centre))
+        squares = F.zip_with("embedding", numbers, lambda x, y: (x - y) * (x - y))
+        return F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)
+
+    distances = F.array(*(distance(centre) for centre in fitted.centres))
+    found = fitted.assign(c.vectors).join(c.vectors.select("token", distances.alias("d")), "token")
+    own = F.get("d", F.col("cluster_id"))
+    return found.select(
+        "token",
+        F.col("cluster_id").between(0, k - 1).alias("in_range"),
+        (own <= F.array_min("d") * (1 + 1e-9) + 1e-9).alias("nearest"),
+        F.lit(cheapest).alias("cheapest"),
+    )
+
+
+# Files
+
+
+@query
+def revision_read(c: Corpus) -> DataFrame:
+    """An older revision by its name, after a newer one was published."""
+    data = Dataset(c.spark, c.folder("posts"))
+    data.write("first", {"all": c.posts})
+    data.write("even", {"all": c.posts.where("id % 2 = 0")})
+    return read_revision(c.spark, data.root, "first")
+
+
+@query
+def split_read(c: Corpus) -> DataFrame:
+    """Both splits of a published revision, made in one pass over the posts."""
+    data = Dataset(c.spark, c.folder("set"))
+    data.write_split("v1", c.posts, c.n_posts, c.test_size, SEED)
+    return data.read().select("id", "general", "score", "split")
+
+
+@query
+def tag_group_files(c: Corpus) -> DataFrame:
+    """Files of one tag per line, and back; the general tags are dealt into groups by id."""
+    folder = c.folder("groups")
+    general = c.vocab.where("kind = 'general'").select("token_id", "token").collect()
+    for number, name in enumerate(GROUP_FILES):
+        tags = sorted(r["token"] for r in general if r["token_id"] % len(GROUP_FILES) == number)
+        Folder(c.spark, folder).put(f"{name}.txt", "".join(f"{t} \n" for t in tags))
+    return read_tag_groups(c.spark, folder)
+
+
+@query
+def cluster_map_files(c: Corpus) -> DataFrame:
+    path = c.folder("clusters")
+    write_cluster_map(_level(c, "lax"), path)
+    return read_cluster_map(c.spark, path)
+
+
+@query
+def get_or_train(c: Corpus) -> DataFrame:
+    """A map is trained once: asked for again, it is the one that was kept."""
+    path, calls = c.folder("trained"), []
+
+    def training() -> DataFrame:
+        calls.append(1)
+        return c.vectors
+
+    first, again = (cluster_map(c.spark, path, training, 4, n_init=1, max_iter=5) for _ in range(2))
+    both = first.join(again.withColumnRenamed("cluster_id", "again"), "token")
+    return both.select("token", (F.col("cluster_id") == F.col("again")).alias("same"), F.lit(len(calls)).alias("trainings"))
+
+
+@query
+def json_object_files(c: Corpus) -> DataFrame:
+    """The counts of all general tags as one JSON object, and back."""
+    path = c.folder("counts")
+    counts = tag_counts(c.posts, ("general",)).select("tag", "cnt")
+    write_json_object(counts, "tag", "cnt", path)
+    return read_json_object(c.spark, path, "tag", "cnt")
+
+
+@query
+def merged_tag_counts(c: Corpus) -> DataFrame:
+    """From the summaries of two halves of the posts, put together."""
+    return totals.tag_counts(_merged_summary(c))
+
+
+@query
+def merged_quality_bands(c: Corpus) -> DataFrame:
+    return stats.quality_bands(totals.score_counts(_merged_summary(c)))
+
+
+@query
+def merged_tags_per_post(c: Corpus) -> DataFrame:
+    return totals.tags_per_post(_merged_summary(c))
+
+
+def _merged_summary(c: Corpus) -> DataFrame:
+    halves = (totals.summarize(c.posts.where(F.col("id") % 2 == k)) for k in (0, 1))
+    return staged(totals.merged(*halves), "summary")
+
+
+@query
+def reason_counts(c: Corpus) -> DataFrame:
+    """How many posts of the fine-tuning set failed for what, counted while the others are written."""
+    rows = jobs.finetune_rows(c.posts, c.encoder, c.clusters, GROUPS, FINETUNE)
+    counts = jobs.write_accepted(rows, lambda kept: kept.write.parquet(c.folder("accepted")))
+    return c.spark.createDataFrame([(reason or "accepted", n) for reason, n in counts.items()], "reason string, n bigint")
 
 
 # Labels
