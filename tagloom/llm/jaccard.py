@@ -161,8 +161,8 @@ def _signatures(docs: DataFrame, id_col: str, text: str, width: int, percent: in
     return add_columns(rows, ["text"], outputs, setup, ["row", "id"])
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """c1, c2, shingles of the classes of the wanted ids; classes not asked for may be among them."""
+def _with_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """The wanted classes with `shingles`, from the texts of their least ids."""
 
     def setup():
         shingler = Shingler(width)
@@ -179,9 +179,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int
         return work
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), whole_text(text).alias("text"))
-    rows = rows.join(wanted, rows["id"].eqNullSafe(wanted["wanted"]), "left_semi")
-    outputs = fields(c1="long", c2="long", shingles="array<long>")
-    return add_columns(rows, ["text"], outputs, setup, [])
+    rows = rows.join(wanted, rows["id"].eqNullSafe(wanted["least_id"])).drop("id", "least_id")
+    outputs = fields(s1="long", s2="long", shingles="array<long>")
+    found = add_columns(rows, ["text"], outputs, setup, [c for c in rows.columns if c != "text"])
+    # Rows of one id may have other sets.
+    return found.where("s1 = c1 and s2 = c2")
 
 
 class _Job:
@@ -190,6 +192,8 @@ class _Job:
     def __init__(self, root: int, i: int, j: int, rows: list[dict], percent: int) -> None:
         self.root, self.percent = root, percent
         rows.sort(key=lambda r: (r["chunk"], r["cid"]))
+        # A class comes twice if rows of one id have equal sets.
+        rows = [r for k, r in enumerate(rows) if not k or r["cid"] != rows[k - 1]["cid"]]
         self.across = i != j
         self.split = sum(r["chunk"] == i for r in rows)
         self.cid = np.array([r["cid"] for r in rows])
@@ -293,6 +297,17 @@ def _compare(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+def _needed(inside: DataFrame) -> DataFrame:
+    """c1, root without the blocks whose members all are in one earlier block too.
+
+    The earliest block of its members is always kept, so every two members still meet.
+    """
+    inside = checkpointed(inside)
+    first = inside.groupBy("c1").agg(F.min("root").alias("first"))
+    spread = inside.join(first, "c1").groupBy("root").agg(F.min("first").alias("low"), F.max("first").alias("high"))
+    return inside.join(spread.where("low < high or low = root").select("root"), "root")
+
+
 def jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -323,14 +338,10 @@ def jaccard_join(
     )
     tiles = _tiles(found)  # exchanged once, read for the tiles' least sets and again for their others
     shared = tiles.groupBy("tile").agg(F.min("c1").alias("root"), F.max("c1").alias("last")).where("root <> last")
-    inside = tiles.join(shared, "tile").select("c1", "root").distinct()
+    inside = _needed(tiles.join(shared, "tile").select("c1", "root").distinct())
     with_roots = inside.groupBy("c1").agg(F.array_sort(F.collect_set("root")).alias("roots"))
     known = classes.join(with_roots, "c1")
     known = checkpointed(known)  # cid, c1, c2, least_id, copies, n, roots of the classes to compare
-    wanted = known.select(F.col("least_id").alias("wanted")).distinct()
-    sets = _sets(docs, wanted, id_col, text, width).groupBy(*keys).agg(F.first("shingles").alias("shingles"))
-    data = known.join(sets, keys)
-
     members = known.select("cid", "n", F.explode("roots").alias("root"))
     blocks = members.groupBy("root").agg(
         F.greatest(
@@ -342,7 +353,11 @@ def jaccard_join(
     placed = members.join(blocks, "root").withColumn("chunk", chunk)
     jobs = placed.select("cid", "root", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     jobs = jobs.select("cid", "root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    compared = checkpointed(_compare(jobs.join(data.drop("n"), "cid"), percent))
+    # A class takes its jobs along to its text, so that its array is dealt once, to the jobs.
+    of_each = jobs.groupBy("cid").agg(F.collect_list(F.struct("root", "chunk", "i", "j")).alias("jobs"))
+    wanted = known.drop("n").join(of_each, "cid")
+    sets = _with_sets(docs, wanted, id_col, text, width)
+    compared = checkpointed(_compare(sets.select("*", F.inline("jobs")), percent))
 
     links = compared.groupBy("cid").agg(F.sum("links").alias("links"))
     edges = compared.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b"))
