@@ -44,17 +44,18 @@ def write_splits(rows: DataFrame, path: str, max_bytes: int = MAX_FILE_BYTES) ->
     write_bounded(rows, path, max_bytes, "split")
 
 
-def write_vectors_tsv(vectors: DataFrame, path: str) -> None:
+def write_vectors_tsv(vectors: DataFrame, path: str, n_parts: int | None = None) -> None:
     """`file=vectors` (tab-joined numbers) and `file=labels`, one line per token in id order.
 
     The tokens are sorted once, and each task writes a part of both files: part n of one goes with
-    part n of the other, line by line. Tokens without a vector are in neither.
+    part n of the other, line by line; Spark chooses how many unless told. Tokens without a vector are in neither.
     """
     lines = tsv_lines(vectors.where(F.col("embedding").isNotNull()))
     both = F.explode(
         F.array(*(F.struct(F.lit(f"{c}s").alias("file"), F.col(c).alias("line")) for c in ("vector", "label")))
     )
-    ranged = lines.repartitionByRange("token_id").select("token_id", both.alias("l")).select("token_id", "l.*")
+    by = ["token_id"] if n_parts is None else [n_parts, "token_id"]
+    ranged = lines.repartitionByRange(*by).select("token_id", both.alias("l")).select("token_id", "l.*")
     ranged.sortWithinPartitions("file", "token_id").select("file", "line").write.mode("overwrite").partitionBy(
         "file"
     ).text(path)

@@ -333,13 +333,15 @@ def test_json_objects_written_by_several_tasks(spark, tmp_path, n):
 
 
 def test_split_files(spark, tmp_path):
-    rows = spark.range(100).repartition(4).withColumn(
-        "split", F.when(F.col("id") < 10, "test").otherwise("train")
+    rows = spark.range(100).repartition(4).select(
+        "id",
+        F.sha2(F.col("id").cast("string"), 512).alias("text"),
+        F.when(F.col("id") < 10, "test").otherwise("train").alias("split"),
     )
     path = str(tmp_path / "set")
-    writers.write_splits(rows, path, max_bytes=600)
+    writers.write_splits(rows, path, max_bytes=2000)
     files = list((tmp_path / "set").glob("split=*/*.parquet"))
-    assert len(files) > 8 and all(f.stat().st_size <= 600 for f in files)
+    assert len(files) > 8 and all(f.stat().st_size <= 2000 for f in files)
     test = readers.read_split(spark, path, "test")
     assert {r["id"] for r in test.collect()} == set(range(10))
     assert readers.read_split(spark, path, "train").count() == 90
@@ -361,7 +363,7 @@ def test_posts_and_vectors(spark, some, make_posts, tmp_path):
 
 def test_vector_export(spark, some, tmp_path):
     missing = spark.createDataFrame([(77, "none", None)], SCHEMA)
-    writers.write_vectors_tsv(some.unionByName(missing), str(tmp_path))
+    writers.write_vectors_tsv(some.unionByName(missing), str(tmp_path), 3)
 
     def lines(name):
         parts = sorted((tmp_path / f"file={name}").glob("part-*"))
@@ -370,7 +372,7 @@ def test_vector_export(spark, some, tmp_path):
     def parts(name):
         return [(p.name.split("-")[1], len(p.read_text().splitlines())) for p in sorted((tmp_path / f"file={name}").glob("part-*"))]
 
-    assert parts("labels") == parts("vectors") and len(parts("labels")) > 1
+    assert parts("labels") == parts("vectors") and len(parts("labels")) == 3
 
     labels, numbers = lines("labels"), lines("vectors")
     assert labels == [f"t{i}" for i in range(60)]
