@@ -1,13 +1,14 @@
 """Language-model scores: a word unigram base, and prediction by partial matching over bytes.
 
-The byte model is a trie of contexts of up to two bytes, counted over all training texts. Symbols
-not seen in a context are predicted by escaping to the next shorter one, without the symbols the
-longer one has seen. Two bytes are the depth whose size has a proven bound: 256 ** 2 contexts of
-256 symbols, whatever the corpus; so the model is broadcast as one table of log probabilities.
-
-Word counts have no such bound and are joined. Texts are read in chunks of bounded size; a chunk
-asks once for each of its distinct words, so a word has at most as many rows as there are chunks,
-and gets its counts back in the order of its words.
+The byte model is a trie of contexts of up to four bytes, counted over all training texts; it grows
+with the corpus and is never whole in one place. Symbols not seen in a context are predicted by
+escaping to the next shorter one, without the symbols the longer one has seen.
+
+Texts are read in chunks of bounded size. A chunk tells the blocks of the trie how often each
+symbol follows each context in its training texts, and in doing so asks for the contexts of all its
+texts: a block adds up what it is told and answers each chunk with all that followed those. In the
+same way a chunk asks once for each of its distinct words, so a word has at most as many rows as
+there are chunks, and gets its counts back in the order of its words.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from __future__ import annotations
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -29,79 +30,149 @@ from tagloom.llm.quality import remainder
 
 #: A chunk has some CHUNK_BYTES of text; a longer text is a chunk alone.
 CHUNK_BYTES = 16_000_000
-_WINDOWS_AT_ONCE = 4_000_000
+_WINDOWS_AT_ONCE = 2_000_000
+#: Bytes of the longest contexts; a key has the length of its context at this bit, above its bytes.
+DEPTH, _ORDER_AT = 4, 40
 #: Bytes that occur in no UTF-8 text: before and after a text.
 _START, _END = 0xFE, 0xFF
 _SYMBOLS = 256
 
 
-@dataclass(frozen=True)
-class ByteModel:
-    """row[context] picks the row of log10 probabilities of the next symbol after two bytes."""
+def _framed(lower: bytes, depth: int) -> bytes:
+    return bytes([_START] * depth) + lower + bytes([_END])
 
-    row: np.ndarray
-    log10: np.ndarray
 
-    def score(self, lower: bytes) -> float:
-        """log10 probability of a text and its end."""
-        data = _framed(lower)
-        context = data[:-2].astype(np.uint16) << 8 | data[1:-1]
-        at = self.row[context].astype(np.int64) * _SYMBOLS + data[2:]
-        return float(self.log10.ravel()[at].sum(dtype=np.float64))
+def _windows(framed: np.ndarray, depth: int) -> np.ndarray:
+    """Contexts of `depth` bytes with the symbol behind, as numbers, of a slice of framed texts."""
+    found = np.zeros(max(0, len(framed) - depth), np.uint64)
+    for i in range(depth + 1):
+        found <<= np.uint64(8)
+        found |= framed[i : i + len(found)]
+    return found
 
 
-def _framed(lower: bytes) -> np.ndarray:
-    return np.frombuffer(b"".join((bytes((_START, _START)), lower, bytes((_END,)))), dtype=np.uint8)
+def _slices(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of the texts, some at once, and which of them predict a symbol of a text or its end."""
+    every = np.frombuffer(b"".join(_framed(t, depth) for t in texts), np.uint8)
+    for at in range(0, len(every) - depth, _WINDOWS_AT_ONCE):
+        some = every[at : at + _WINDOWS_AT_ONCE + depth]
+        yield _windows(some, depth), some[depth:] != _START
 
 
-def _blend(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Shares of symbols in contexts (rows of counts), the rest given to `lower` by escape.
+def _counted(texts: list[bytes], train: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all windows of the texts, of every length, and how often they occur in training.
 
-    The escape has the share distinct / (total + distinct); `lower` (rows, not normalised) counts
-    only for symbols not seen here.
+    A key holds the length of the context above its bytes.
     """
-    total = counts.sum(axis=1, keepdims=True)
-    distinct = np.count_nonzero(counts, axis=1)[:, None]
-    unseen = np.where(counts > 0, 0, lower)
-    rest = unseen.sum(axis=1, keepdims=True)
-    # All symbols seen: nothing to escape to.
-    escape = np.where(rest > 0, distinct, 0)
-    escape = np.where(total > 0, escape, 1)
-    scale = np.where(rest > 0, escape / np.where(rest > 0, rest, 1), 0)
-    return (counts + unseen * scale) / (total + escape)
-
-
-def byte_model(grams: np.ndarray, counts: np.ndarray) -> ByteModel:
-    """From three-byte windows, as numbers, and how often they occur in training texts.
-
-    Exclusion: what a longer context has seen is taken out of all shorter ones, and their counts,
-    totals and escapes are those of what is left. Hence one table per last byte.
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for learnt in (True, False):
+        for windows, real in _slices([t for t, is_train in zip(texts, train, strict=True) if is_train == learnt], depth):
+            codes, distinct = pd.factorize(windows[real])
+            found.append((distinct, np.bincount(codes, minlength=len(distinct)) if learnt else np.zeros(len(distinct), np.int64)))
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    keys, counts = _summed(*(np.concatenate(c) for c in zip(*found, strict=True)))
+    levels = []
+    for order in range(depth, -1, -1):
+        keys, counts = _summed(keys & _low(order + 1), counts)
+        levels.append((keys | np.uint64(order << _ORDER_AT), counts))
+    return tuple(np.concatenate(c) for c in zip(*levels[::-1], strict=True))
+
+
+def _low(n_bytes: int) -> np.uint64:
+    return np.uint64((1 << (8 * n_bytes)) - 1)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Keys in order and their counts; bytes of equal weight together, as they compress better so."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    planes = np.stack([steps.view(np.int64), counts.astype(np.int64)]).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    steps, counts = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(2, -1)
+    return np.cumsum(steps.view(np.uint64), dtype=np.uint64), counts
+
+
+class ContextModel:
+    """The part of the trie that some texts need: what follows each of their contexts.
+
+    Exclusion: what a longer context has seen is taken out of the shorter ones, whose counts,
+    totals and escapes are those of what is left. What is left of a context's suffix depends on the
+    context alone, so it is kept with it.
     """
-    row = np.zeros(_SYMBOLS**2, dtype=np.int32)
-    order0 = np.zeros(_SYMBOLS)
-    np.add.at(order0, grams & 0xFF, counts)
-    order1 = np.zeros((_SYMBOLS, _SYMBOLS))
-    np.add.at(order1, ((grams >> 8) & 0xFF, grams & 0xFF), counts)
-    contexts, inverse = np.unique(grams >> 8, return_inverse=True)
-    order2 = np.zeros((len(contexts), _SYMBOLS))
-    np.add.at(order2, (inverse, grams & 0xFF), counts)
-    # Rows of unseen pairs first: one per last byte, with an empty longest context.
-    longest = np.concatenate([np.zeros((_SYMBOLS, _SYMBOLS)), order2])
-    last = np.concatenate([np.arange(_SYMBOLS), contexts & 0xFF])
-    row[:] = np.arange(_SYMBOLS**2) & 0xFF
-    row[contexts] = _SYMBOLS + np.arange(len(contexts))
-    log10 = np.empty((len(longest), _SYMBOLS), dtype=np.float32)
-    for at in range(0, len(longest), 1024):
-        two = longest[at : at + 1024]
-        one = np.where(two > 0, 0, order1[last[at : at + 1024]])
-        seen = (two > 0) | (one > 0)
-        none = np.where(seen, 0, order0)
-        seen |= none > 0
-        uniform = np.where(seen, 0, 1.0)
-        share = _blend(two, _blend(one, _blend(none, uniform)))
-        with np.errstate(divide="ignore"):
-            log10[at : at + 1024] = np.log10(share)
-    return ByteModel(row, log10)
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int) -> None:
+        self.depth = depth
+        self.grams, self.counts, self.contexts, self.total, self.distinct, self.left = [], [], [], [], [], []
+        ends = np.searchsorted(keys, np.arange(depth + 2, dtype=np.uint64) << np.uint64(_ORDER_AT))
+        for order in range(depth + 1):
+            grams, n = keys[ends[order] : ends[order + 1]] & _low(_ORDER_AT // 8), counts[ends[order] : ends[order + 1]]
+            contexts, start = np.unique(grams >> np.uint64(8), return_index=True)
+            total = np.add.reduceat(n, start) if len(start) else n
+            distinct = np.diff(np.append(start, len(grams)))
+            if order and len(grams):
+                shorter = np.searchsorted(self.grams[-1], grams & _low(order))
+                taken = np.add.reduceat(self.counts[-1][shorter], start)
+                suffix = np.searchsorted(self.contexts[-1], contexts & _low(order - 1))
+                self.left.append((self.total[-1][suffix] - taken, self.distinct[-1][suffix] - distinct))
+            else:
+                self.left.append((total, distinct))
+            for kept, made in zip((self.grams, self.counts, self.contexts, self.total, self.distinct), (grams, n, contexts, total, distinct), strict=True):
+                kept.append(made)
+
+    def log10(self, windows: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each window after the others."""
+        found, alive, inside = np.zeros(len(windows)), np.ones(len(windows), bool), np.zeros(len(windows), bool)
+        total, distinct = np.zeros(len(windows), np.int64), np.zeros(len(windows), np.int64)
+        for order in range(self.depth, -1, -1):
+            if not len(self.grams[order]):
+                continue
+            gram = windows & _low(order + 1)
+            at = np.minimum(np.searchsorted(self.contexts[order], gram >> np.uint64(8)), len(self.contexts[order]) - 1)
+            known = self.contexts[order][at] == gram >> np.uint64(8)
+            # The longest context known counts whole; of shorter ones what the longer has left.
+            total = np.where(inside, total, self.total[order][at])
+            distinct = np.where(inside, distinct, self.distinct[order][at])
+            where = np.minimum(np.searchsorted(self.grams[order], gram), len(self.grams[order]) - 1)
+            seen = self.grams[order][where] == gram
+            usable = alive & known & (distinct > 0)
+            share = np.where(seen, self.counts[order][where], distinct)
+            found[usable] += np.log10(share[usable] / (total + distinct)[usable])
+            alive &= ~(usable & seen)
+            if order:
+                left = self.left[order]
+                total, distinct = np.where(known, left[0][at], total), np.where(known, left[1][at], distinct)
+                inside |= known
+        n_seen = self.distinct[0][0] if len(self.distinct[0]) else 0
+        found[alive] -= np.log10(_SYMBOLS - n_seen)
+        return found
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """log10 probability of each text and its end."""
+        sums = [np.zeros(1)]
+        for windows, real in _slices(texts, self.depth):
+            codes, distinct = pd.factorize(windows)
+            sums.append(np.where(real, self.log10(distinct)[codes], 0.0))
+        # Sums per text, each of its own windows.
+        each = np.concatenate(sums)[1:]
+        lengths = np.array([len(t) + 1 + self.depth for t in texts], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        if not len(texts):
+            return np.zeros(0)
+        # The windows of a text are those that end in it; the first `depth` bytes of all end none.
+        bounds = np.maximum(starts - self.depth, 0)
+        return np.add.reduceat(np.append(each, 0.0), np.minimum(bounds, len(each)))
 
 
 def _key(lower: bytes, doc_id: str | None) -> tuple[int, int]:
@@ -115,84 +186,77 @@ def _key(lower: bytes, doc_id: str | None) -> tuple[int, int]:
 _CHUNK = fields(
     words="array<long>",
     counts="array<int>",
-    grams="array<int>",
-    gram_counts="array<long>",
+    blocks="array<long>",
+    asked="array<binary>",
     n_texts="long",
     n_train="long",
     payload="binary",
 )
 
 
+def _block(contexts: np.ndarray, blocks: int) -> np.ndarray:
+    return ((contexts * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(blocks)
+
+
 class _Chunk:
-    """Texts as numbers of their distinct words, numbered as they come."""
+    """Texts, and the numbers of their distinct words as they come."""
 
     def __init__(self) -> None:
-        self.number: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
-        self.tokens: list[np.ndarray] = []
+        self.texts: list[bytes] = []
         self.keys: list[tuple[int, int]] = []
         self.train: list[bool] = []
-        self.windows: list[np.ndarray] = []
         self.size = 0
 
     def add(self, lower: bytes, doc_id: str | None, train: bool) -> None:
-        words = lower.split()
-        self.tokens.append(np.fromiter(map(self.number.__getitem__, words), np.uint32, len(words)))
+        self.texts.append(lower)
         self.keys.append(_key(lower, doc_id))
         self.train.append(train)
-        if train:
-            self.windows.append(_framed(lower))
         self.size += len(lower)
 
-    def _grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of three bytes and their counts, counted in a table of the bytes in use."""
-        every = np.concatenate(self.windows)
-        used = np.flatnonzero(np.bincount(every, minlength=_SYMBOLS))
-        size = len(used)
-        code = np.zeros(_SYMBOLS, dtype=np.uint32)
-        code[used] = np.arange(size)
-        total = np.zeros(size**3, dtype=np.int64)
-        for at in range(0, len(every) - 2, _WINDOWS_AT_ONCE):
-            data = code[every[at : at + _WINDOWS_AT_ONCE + 2]]
-            gram = (data[:-2] * np.uint32(size) + data[1:-1]) * np.uint32(size) + data[2:]
-            # Windows that end in a start byte reach into the next text.
-            total += np.bincount(gram[data[2:] != code[_START]], minlength=len(total))
-        found = np.flatnonzero(total)
-        spelt = used[found // size**2] << 16 | used[found // size % size] << 8 | used[found % size]
-        return spelt, total[found]
-
-    def row(self) -> tuple:
-        lengths = np.array([len(t) for t in self.tokens], dtype=np.uint32)
-        tokens = np.concatenate([np.empty(0, np.uint32), *self.tokens])
-        train = np.repeat(np.array(self.train, dtype=bool), lengths)
-        counts = np.bincount(tokens[train], minlength=len(self.number)).astype(np.int32)
-        words = np.fromiter(map(xxhash.xxh3_64_intdigest, self.number), np.uint64, len(self.number))
-        grams, gram_counts = self._grams() if self.windows else (np.empty(0, np.int64), np.empty(0, np.int64))
-        # Bytes of equal weight together, as they compress better so.
-        planes = tokens.view(np.uint8).reshape(-1, 4).T.tobytes()
-        keys = np.array(self.keys, dtype=np.int64).tobytes()
-        payload = zstandard.ZstdCompressor(level=1).compress(keys + lengths.tobytes() + planes)
+    def row(self, depth: int, blocks: int) -> tuple:
+        number, tokens = _numbered(self.texts)
+        train = np.repeat(np.array(self.train, dtype=bool), [len(t) for t in tokens])
+        tokens = np.concatenate([np.empty(0, np.uint32), *tokens])
+        counts = np.bincount(tokens[train], minlength=len(number)).astype(np.int32)
+        words = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+        keys, seen = _counted(self.texts, self.train, depth)
+        block = _block(keys >> np.uint64(8), blocks)
+        order = np.argsort(block, kind="stable")  # keys stay in order within a block
+        named, starts = np.unique(block[order], return_index=True)
+        asked = [_packed(keys[at], seen[at]) for at in np.split(order, starts[1:])] if len(keys) else []
+        lengths = np.array([len(t) for t in self.texts], dtype=np.uint32)
+        payload = np.array(self.keys, dtype=np.int64).tobytes() + lengths.tobytes() + b"".join(self.texts)
         return (
-            words.view(np.int64), counts, grams.astype(np.int32), gram_counts,
-            len(self.keys), sum(self.train), payload,
+            words.view(np.int64), counts, named.astype(np.int64), asked,
+            len(self.keys), sum(self.train), zstandard.ZstdCompressor(level=3).compress(payload),
         )
 
 
-def _read_payload(payload: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _numbered(texts: list[bytes]) -> tuple[dict[bytes, int], list[np.ndarray]]:
+    """Numbers of the distinct words, as they come, and each text in them."""
+    number: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+    tokens = []
+    for text in texts:
+        words = text.split()
+        tokens.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+    return number, tokens
+
+
+def _read_payload(payload: bytes, n: int) -> tuple[np.ndarray, list[bytes]]:
     raw = zstandard.ZstdDecompressor().decompress(payload)
     keys = np.frombuffer(raw, np.int64, 2 * n).reshape(n, 2)
-    lengths = np.frombuffer(raw, np.uint32, n, 16 * n).astype(np.int64)
-    planes = np.frombuffer(raw, np.uint8, offset=20 * n).reshape(4, -1)
-    return keys, lengths, np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+    ends = 20 * n + np.cumsum(np.frombuffer(raw, np.uint32, n, 16 * n).astype(np.int64))
+    return keys, [raw[a:b] for a, b in zip([20 * n, *ends.tolist()], ends.tolist(), strict=False)]
 
 
-def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+def _chunks(docs: DataFrame, chunk_bytes: int, depth: int, blocks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(chunk: _Chunk) -> pa.RecordBatch:
             arrays = [
                 pa.array([v], t)
                 for v, t in zip(
-                    chunk.row(),
-                    [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()),
+                    chunk.row(depth, blocks),
+                    [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary()),
                      pa.int64(), pa.int64(), pa.binary()],
                     strict=True,
                 )
@@ -213,22 +277,65 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, _CHUNK).withColumn("chunk", F.monotonically_increasing_id())
 
 
-def _base_sums(chunks: DataFrame, counts: DataFrame) -> DataFrame:
-    """k1, k2, n_words, known, logs: per text the sum of log10(c + 0.1) over its words."""
+def _followers(chunks: DataFrame) -> DataFrame:
+    """chunk, block, payload: all that followed the contexts a chunk asked a block for."""
+    zipped = F.explode(F.arrays_zip("blocks", "asked")).alias("a")
+    asked = chunks.select("chunk", zipped).select("chunk", F.col("a.blocks").alias("block"), F.col("a.asked").alias("payload"))
+
+    def add(rows: pa.Table) -> pa.Table:
+        told = [_unpacked(p) for p in rows.column("payload").to_pylist()]
+        keys, counts = _summed(*(np.concatenate(c) for c in zip(*told, strict=True)))
+        keys, counts = keys[counts > 0], counts[counts > 0]
+        answers = []
+        for wanted, _ in told:
+            contexts = np.unique(wanted >> np.uint64(8))
+            at = np.minimum(np.searchsorted(contexts, keys >> np.uint64(8)), len(contexts) - 1)
+            mine = contexts[at] == keys >> np.uint64(8)
+            answers.append(_packed(keys[mine], counts[mine]))
+        return rows.set_column(rows.column_names.index("payload"), "payload", pa.array(answers, pa.binary()))
+
+    return asked.groupBy("block").applyInArrow(add, asked.schema)
+
+
+def _sums(chunks: DataFrame, counts: DataFrame, depth: int) -> DataFrame:
+    """k1, k2, n_bytes, n_words, known, logs, score: per text the sum of log10(c + 0.1) over its
+    words, and what the byte model gives it."""
     asked = chunks.select("chunk", F.posexplode("words").alias("pos", "word"))
+    none = F.lit(None).cast("binary").alias("payload")
+    zero = F.lit(0).cast("long")
     answers = asked.join(counts, "word").select(
-        "chunk", F.lit(0).alias("kind"), "pos", "count", F.lit(0).cast("long").alias("n_texts"), F.lit(None).cast("binary").alias("payload")
+        "chunk", F.lit(0).alias("kind"), F.col("pos").cast("long").alias("pos"), "count", zero.alias("n_texts"), none
     )
-    texts = chunks.select(
-        "chunk", F.lit(1).alias("kind"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("count"), "n_texts", "payload"
+    followers = _followers(chunks).select(
+        "chunk", F.lit(1).alias("kind"), F.col("block").alias("pos"), zero.alias("count"), zero.alias("n_texts"), "payload"
     )
-    # The counts of a chunk come first, in the order of its words; then its texts.
+    texts = chunks.select("chunk", F.lit(2).alias("kind"), zero.alias("pos"), zero.alias("count"), "n_texts", "payload")
+    # The counts of a chunk come first, in the order of its words; then what followed; then its texts.
     order = ["chunk", "kind", "pos"]
-    together = answers.union(texts).repartition("chunk").sortWithinPartitions(*order)
-    schema = fields(k1="long", k2="long", n_words="long", known="long", logs="double")
+    partitions = max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    together = answers.union(followers).union(texts).repartition(partitions, "chunk").sortWithinPartitions(*order)
+    schema = fields(k1="long", k2="long", n_bytes="long", n_words="long", known="long", logs="double", score="double")
+
+    def done(c: np.ndarray, told: list[bytes], payload: bytes, n: int) -> pa.RecordBatch:
+        keys, texts = _read_payload(payload, n)
+        _, tokens = _numbered(texts)
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        every = np.concatenate([np.empty(0, np.uint32), *tokens])
+        sums = np.zeros((2, len(every) + 1))
+        if len(every):
+            np.cumsum(np.log10(c + 0.1)[every], out=sums[0, 1:])
+            np.cumsum((c > 0)[every], out=sums[1, 1:])
+        ends = np.cumsum(lengths)
+        logs, known = sums[:, ends] - sums[:, ends - lengths]
+        parts = [_unpacked(p) for p in told] or [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+        model = ContextModel(*_summed(*(np.concatenate(p) for p in zip(*parts, strict=True))), depth)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        arrays = [keys[:, 0], keys[:, 1], sizes, lengths, known.astype(np.int64), logs, model.scores(texts)]
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[np.ndarray] = []
+        told: list[bytes] = []
         for batch in batches:
             kind = batch.column("kind").to_numpy()
             count = batch.column("count").to_numpy()
@@ -236,17 +343,12 @@ def _base_sums(chunks: DataFrame, counts: DataFrame) -> DataFrame:
             for at in np.flatnonzero(kind):
                 gathered.append(count[start:at])
                 start = at + 1
-                c = np.concatenate(gathered)
-                gathered = []
-                payload, n = batch.column("payload")[at].as_py(), batch.column("n_texts")[at].as_py()
-                keys, lengths, tokens = _read_payload(payload, n)
-                sums = np.zeros((2, len(tokens) + 1))
-                np.cumsum(np.log10(c + 0.1)[tokens], out=sums[0, 1:]) if len(tokens) else None
-                np.cumsum((c > 0)[tokens], out=sums[1, 1:]) if len(tokens) else None
-                ends = np.cumsum(lengths)
-                logs, known = sums[:, ends] - sums[:, ends - lengths]
-                arrays = [keys[:, 0], keys[:, 1], lengths, known.astype(np.int64), logs]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=schema.names)
+                payload = batch.column("payload")[at].as_py()
+                if kind[at] == 1:
+                    told.append(payload)
+                    continue
+                yield done(np.concatenate(gathered), told, payload, batch.column("n_texts")[at].as_py())
+                gathered, told = [], []
             gathered.append(count[start:].copy())
 
     return together.mapInArrow(run, schema)
@@ -258,13 +360,15 @@ def score_texts(
     id_col: str = "doc_id",
     text: str = "text",
     chunk_bytes: int = CHUNK_BYTES,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """One row per row of docs: id, train, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte.
 
     `train` (over the columns of docs) tells the rows to learn from; null is false. Words are split
     at ASCII white space, A-Z in lower case, and each text has one end token more. base_score is
-    the smoothed unigram log10 probability, score that of the byte model for the text and its end.
+    the smoothed unigram log10 probability, score that of the byte model, whose contexts have up to
+    `depth` bytes (4 at most), for the text and its end.
     Null and empty texts have the end alone. Repeated rows count and score each; without training
     rows both models are uniform over what is left; an empty table stays empty. Word counts and
     bytes of very long texts are all read. Words are known by 64-bit hashes.
@@ -275,34 +379,29 @@ def score_texts(
         F.coalesce(train, F.lit(False)).alias("train"),
         whole_text(text).alias("text"),
     )
-    chunks = checkpointed(_chunks(rows.drop("given"), chunk_bytes))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = 1 + total // (2 * chunk_bytes)
+    chunks = checkpointed(_chunks(rows.drop("given"), chunk_bytes, depth, blocks))
     asked = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("w"))
     counts = asked.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("count"))
     counts = checkpointed(counts)
     facts = counts.agg(F.sum("count").alias("n"), F.count(F.when(F.col("count") > 0, 1)).alias("v")).first()
     ends = chunks.agg(F.sum("n_train")).first()[0] or 0
     n, v = (facts["n"] or 0) + ends, facts["v"] + (ends > 0)
-    grams = chunks.select(F.explode(F.arrays_zip("grams", "gram_counts")).alias("g"))
-    # At most 256 ** 3 rows, mostly far fewer.
-    summed = grams.groupBy(F.col("g.grams").alias("gram")).agg(F.sum("g.gram_counts").alias("n")).toArrow()
-    model = byte_model(summed.column("gram").to_numpy().astype(np.int64), summed.column("n").to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def setup():
         def work(texts, ids):
-            lower = [t.as_py().lower() for t in text_bytes(texts)]
-            keys = [_key(t, i) for t, i in zip(lower, ids.to_pylist(), strict=True)]
-            return [k[0] for k in keys], [k[1] for k in keys], [len(t) for t in lower], [shared.value.score(t) for t in lower]
+            keys = [_key(t.as_py().lower(), i) for t, i in zip(text_bytes(texts), ids.to_pylist(), strict=True)]
+            return [k[0] for k in keys], [k[1] for k in keys]
 
         return work
 
-    outputs = fields(k1="long", k2="long", n_bytes="long", score="double")
-    scored = add_columns(rows, ["text", "id"], outputs, setup, ["given", "train"])
-    base = _base_sums(chunks, counts).dropDuplicates(["k1", "k2"])
+    named = add_columns(rows, ["text", "id"], fields(k1="long", k2="long"), setup, ["given", "train"])
+    sums = _sums(chunks, counts, depth).dropDuplicates(["k1", "k2"])
     n_tokens = F.col("n_words") + 1
     at_end = F.log10(F.lit(ends + 0.1))
     per_token = F.log10(F.lit(n + 0.1 * (v + 1)))
-    return scored.join(base, ["k1", "k2"]).select(
+    return named.join(sums, ["k1", "k2"]).select(
         F.col("given").alias(id_col),
         "train",
         n_tokens.alias("n_tokens"),

@@ -204,26 +204,38 @@ def _held_in(doc_id):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 10 != 0
 
 
-@pytest.mark.parametrize("chunk_bytes", [16_000_000, 20])
-def test_language_model_equals_brute_force(spark, odd_docs, chunk_bytes):
+@pytest.mark.parametrize("at_once", [1, 7, 10**6])
+def test_slices_of_windows_give_the_same(monkeypatch, at_once):
+    texts = [b"abcabcabd", b"", b"ab", "é a".encode(), b"abcabc"]
+    learnt = [True, True, False, True, False]
+    whole = language_model._counted(texts, learnt, 3)
+    scores = language_model.ContextModel(*(c[whole[1] > 0] for c in whole), 3).scores(texts)
+    monkeypatch.setattr(language_model, "_WINDOWS_AT_ONCE", at_once)
+    sliced = language_model._counted(texts, learnt, 3)
+    assert all((a == b).all() for a, b in zip(whole, sliced))
+    assert language_model.ContextModel(*(c[whole[1] > 0] for c in whole), 3).scores(texts) == pytest.approx(scores)
+
+
+@pytest.mark.parametrize("chunk_bytes, depth", [(16_000_000, 4), (20, 4), (20, 2), (300, 1)])
+def test_language_model_equals_brute_force(spark, odd_docs, chunk_bytes, depth):
     docs = odd_docs.where("doc_id is null or doc_id not in (6, 7)")
     rows = docs.select("doc_id", "text").collect()
     lower = [(i, (t or "").encode().lower()) for i, t in rows]
     train = [t for i, t in lower if _held_in(i)]
     c = Counter(w for t in train for w in [*t.split(), "end"])
     n, v = sum(c.values()), len(c)
-    contexts = [defaultdict(Counter) for _ in range(3)]
+    contexts = [defaultdict(Counter) for _ in range(depth + 1)]
     for t in train:
-        b = [0xFE, 0xFE, *t, 0xFF]
-        for j in range(2, len(b)):
-            for k in range(3):
+        b = [*[0xFE] * depth, *t, 0xFF]
+        for j in range(depth, len(b)):
+            for k in range(depth + 1):
                 contexts[k][tuple(b[j - k : j])][b[j]] += 1
 
     def ppm(t):
-        b, total = [0xFE, 0xFE, *t, 0xFF], 0.0
-        for j in range(2, len(b)):
+        b, total = [*[0xFE] * depth, *t, 0xFF], 0.0
+        for j in range(depth, len(b)):
             out, p = set(), 1.0
-            for k in (2, 1, 0):
+            for k in range(depth, -1, -1):
                 left = {s: m for s, m in contexts[k][tuple(b[j - k : j])].items() if s not in out}
                 if not left:
                     continue
@@ -241,18 +253,27 @@ def test_language_model_equals_brute_force(spark, odd_docs, chunk_bytes):
     def base(t):
         return sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*t.split(), "end"])
 
-    got = language_model.score_texts(docs, language_model.held_in(F.col("doc_id"), 10, 0), chunk_bytes=chunk_bytes).collect()
+    got = language_model.score_texts(docs, language_model.held_in(F.col("doc_id"), 10, 0), chunk_bytes=chunk_bytes, depth=depth).collect()
     wanted = [(str(i), len(t.split()) + 1, base(t), ppm(t)) for i, t in lower]
     for g, w in zip(sorted((str(g["doc_id"]), g["n_tokens"], g["base_score"], g["score"]) for g in got), sorted(wanted), strict=True):
         assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], rel=1e-5)
     assert {g["train_tokens"] for g in got} == {n}
 
 
-def test_byte_model_shares_sum_to_one():
-    pick = np.random.default_rng(4)
-    grams = np.unique(pick.integers(0, 1 << 24, 3000) | 0x404040)
-    model = language_model.byte_model(grams, pick.integers(1, 50, len(grams)))
-    assert np.power(10.0, model.log10.astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-5)
+def test_shares_of_the_context_model_sum_to_one():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 60))).encode() for _ in range(30)]
+    model = language_model.ContextModel(*language_model._counted(texts, [True] * 30, 3), 3)
+    for context in (b"abc", b"xab", b"yyc", b"zzz", bytes([0xFE] * 3)):
+        windows = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
+        assert np.power(10.0, model.log10(windows)).sum() == pytest.approx(1)
+
+
+def test_texts_learnt_from_score_better_than_new_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    scored = language_model.score_texts(docs, language_model.held_in(F.col("doc_id"), 10, 0))
+    bits = {r["train"]: r["b"] for r in scored.groupBy("train").agg(F.avg("bits_per_byte").alias("b")).collect()}
+    assert bits[True] < bits[False] < 2.6
 
 
 def test_language_model_without_training_rows(spark, odd_docs):
