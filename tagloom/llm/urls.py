@@ -300,13 +300,15 @@ def judge_urls(
     host_words = F.transform("tokens", lambda t: F.substring(t, 3, 2**31 - 1))
     host_facts = hosts.join(host_odds, "host").select("host", host_words.alias("_url_words"), "_url_host_odds")
 
-    found = _attached(judged, "host", host_facts, ["_url_words", "_url_host_odds"], hot["host"])
+    # The row in one struct, so that its columns may have any names.
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(judged.columns)))
+    found = _attached(judged.select(row.alias("row"), "host", "path"), "host", host_facts, ["_url_words", "_url_host_odds"], hot["host"])
     found = _attached(found, "path", path_odds, ["_url_path_odds"], hot["path"])
-    found = found.withColumns(
-        {"host_words": F.col("_url_words"), "block_odds": F.lit(bias) + F.col("_url_host_odds") + F.col("_url_path_odds")}
-    ).drop("_url_words", "_url_host_odds", "_url_path_odds")
-    by_rule = F.when(F.col("rule").isNull(), None)
+    own = {c: F.col(f"row.c{i}") for i, c in enumerate(judged.columns)}
+    block_odds = F.lit(bias) + F.col("_url_host_odds") + F.col("_url_path_odds")
+    by_rule = F.when(own["rule"].isNull(), None)
     for rule, verdict in verdict_of.items():
-        by_rule = by_rule.when(F.col("rule") == rule, verdict)
-    by_model = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
-    return found.withColumn("verdict", F.coalesce(by_rule, by_model))
+        by_rule = by_rule.when(own["rule"] == rule, verdict)
+    by_model = F.when(block_odds > 0, "block").otherwise("allow")
+    made = own | {"host_words": F.col("_url_words"), "block_odds": block_odds, "verdict": F.coalesce(by_rule, by_model)}
+    return found.select(*(column.alias(c) for c, column in made.items()))

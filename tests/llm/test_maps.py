@@ -216,6 +216,13 @@ def test_url_rules_and_model(spark):
     assert (got[6]["host"], got[6]["path"]) == ("", "") and got[9]["verdict"] == "block"
     assert {r["verdict"] for r in got.values()} <= {"allow", "block"}
     assert urls.judge_urls(pages.limit(0)).count() == 0
+    # Columns named like those made on the way come back as they were.
+    named = {"_url_salt": "5", "_url_key": "'k'", "_url_words": "array('w')", "_url_host_odds": "0.5", "row": "'r'"}
+    odd = pages.selectExpr("*", *(f"{v} as {c}" for c, v in named.items()))
+    back = urls.judge_urls(odd)
+    assert {*odd.columns, "host", "path", "rule", "host_words", "block_odds"} == set(back.columns)
+    assert back.select(*named).distinct().count() == 1 and back.first()["_url_salt"] == 5
+    assert {r["page_id"]: r["verdict"] for r in back.collect()} == {i: r["verdict"] for i, r in got.items()}
 
 
 def test_segmentation_equals_trying_all_ways():
@@ -282,6 +289,52 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r[0] == r[1] for r in rows) / len(rows) > 0.95
 
 
+def _term_counts(raw):
+    """Words (once per run of equal ones), shapes and repeats of a text, by their places."""
+    counts, before = Counter(), None
+    for word in raw.split():
+        packed = quality._terms(word)
+        if packed != before:
+            counts[packed >> 32] += 1
+        else:
+            counts[quality.TERMS - quality.REPEAT_TERMS + (packed >> 32) % quality.REPEAT_TERMS] += 1
+        counts[quality.WORD_TERMS + (packed & 0xFFFFFFFF)] += 1
+        before = packed
+    return counts
+
+
+def test_quality_votes_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("ab", "Ca", "7d", "é", "x.") for b in range(12)]
+    rows = [(i, " ".join(rng.choices(words[(i % 2) * 20 :], k=rng.randint(1, 40)))) for i in range(60)]
+    rows += [(60, ""), (61, None), (62, "same same same " * 30), (63, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(0, 40)]
+    params = quality.VoteParams(per_label=15, rank=6, neighbours=5)
+    space = quality.fit_votes(docs, spark.createDataFrame(labels, "doc_id long, quality int"), params)
+    sample = {r["doc_id"]: (r["text"], r["label"]) for r in quality.labelled_sample(docs, spark.createDataFrame(labels, "doc_id long, quality int"), params).collect()}
+    assert len(sample) == 30 and sum(label for _, label in sample.values()) == 15
+    n = len(sample)
+    df = Counter(t for text, _ in sample.values() for t in _term_counts(text.encode()))
+    basis = space.basis.astype(float)
+
+    def vector(text):
+        counts = _term_counts((text or "").encode())
+        made = [sum(math.log1p(c) * (math.log((n + 1) / (df[t] + 1)) + 0.1) * basis[t, r] for t, c in counts.items()) for r in range(basis.shape[1])]
+        length = math.sqrt(sum(x * x for x in made))
+        return [x / length for x in made] if length else made
+
+    known = [(vector(text), label) for _, (text, label) in sorted(sample.items())]
+    for row in quality.score_quality(docs, space).collect():
+        mine = vector(row["text"])
+        cosines = sorted(((sum(a * b for a, b in zip(mine, v)), label) for v, label in known), reverse=True)
+        votes = [(max(c, 0.0), label) for c, label in cosines[:5]]
+        total = sum(c for c, _ in votes)
+        wanted = sum(c * label for c, label in votes) / total if total > 1e-9 else 0.5
+        assert row["score"] == pytest.approx(wanted, abs=2e-3), row["doc_id"]
+        assert row["predicted"] == (row["score"] >= 0.5)
+
+
 def test_quality_without_labels_or_words(spark, odd_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     space = quality.fit_votes(odd_docs, none, quality.VoteParams())
@@ -302,4 +355,13 @@ def test_maps_keep_rows_and_take_odd_ones(odd_docs, tokenizer_path):
     empty = chunk_bpe.encode_texts(odd_docs, tokenizer_path).where("doc_id = 3").first()
     assert (empty["n_tokens"], empty["ids"], empty["decoded"]) == (0, [], "")
     assert empty["ids_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert token_count.count_tokens(odd_docs.limit(0), tokenizer_path).count() == 0
+    nothing = odd_docs.limit(0)
+    none = odd_docs.select("doc_id", F.lit(1).alias("quality")).limit(0)
+    for made in (
+        token_count.count_tokens(nothing, tokenizer_path),
+        chunk_bpe.encode_texts(nothing, tokenizer_path),
+        personal_data.find_personal_data(nothing),
+        licenses.scan_licenses(nothing),
+        quality.score_quality(nothing, quality.fit_votes(nothing, none, quality.VoteParams())),
+    ):
+        assert made.count() == 0
