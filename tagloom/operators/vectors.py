@@ -64,7 +64,7 @@ def same_cluster(queries: DataFrame, cluster_map: DataFrame) -> DataFrame:
     return asked.join(members, "cluster_id", "left").select("token", "cluster_id", "member")
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
+def unit(matrix: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; rows of length zero become not-a-number."""
     norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -85,12 +85,12 @@ def _first_k(sim: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(nearest, order, axis=1)
 
 
-def _nearest(asked: pd.DataFrame, found: pd.DataFrame, k: int) -> pd.DataFrame:
+def nearest(asked: pd.DataFrame, found: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best of one shard of vectors for each query of one block."""
     parts = []
     if len(asked) and len(found):
-        units = _unit(np.stack(asked["wanted"].to_numpy()).astype(np.float64))
-        shard = _unit(np.stack(found["embedding"].to_numpy()).astype(np.float64))
+        units = unit(np.stack(asked["wanted"].to_numpy()).astype(np.float64))
+        shard = unit(np.stack(found["embedding"].to_numpy()).astype(np.float64))
         names = asked["query"].to_numpy(object)
         ids = found["token_id"].to_numpy(np.int64)
         tokens = found["token"].to_numpy(object)
@@ -163,7 +163,7 @@ def similar_tags(
         left.groupBy("block", "shard")
         .cogroup(right.groupBy("block", "shard"))
         .applyInPandas(
-            lambda some, others: _nearest(some, others, k),
+            lambda some, others: nearest(some, others, k),
             "query string, token_id bigint, token string, similarity double",
         )
     )

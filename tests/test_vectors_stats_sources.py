@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tagloom import constants as C
 from tagloom.functions import labels as L
-from tagloom.operators import kmeans, stats, vectors
+from tagloom.operators import kmeans, similar, stats, vectors
 from tagloom.plans.vectors import cluster_map
 from tagloom.sources import readers, writers
 
@@ -46,6 +46,30 @@ def test_similar_tags(spark, some, max_bytes, k):
     assert found == brute_force(some, k)
 
 
+@pytest.mark.parametrize("k, pivots, block", [(1, 4, 3), (5, 6, 4096), (58, 6, 7), (100, 3, 4096)])
+def test_pruned_search_equals_brute_force(spark, some, k, pivots, block):
+    found = {}
+    rows = similar.similar_tags_pruned(some.select("token"), some, k, pivots, block).collect()
+    for row in sorted(rows, key=lambda r: (r["query"], r["rank"])):
+        found.setdefault(row["query"], []).append(row["token"])
+    assert found == brute_force(some, k)
+
+
+def test_pruned_search_skips_shards_out_of_reach(spark):
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(8, 12))
+    rows = [(i, f"t{i}", [float(x) for x in centres[i % 8] + 0.05 * draw.normal(size=12)]) for i in range(400)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    visited = []
+    found = similar.similar_tags_pruned(table.select("token"), table, 10, 8, visited=visited)
+    whole = vectors.similar_tags(table.select("token"), table, 10)
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+    seen = sum(v.count() for v in visited)
+    assert 400 <= seen < 400 * 8 / 3
+    asked = spark.createDataFrame([("nobody",)], "token string")
+    assert [tuple(r) for r in similar.similar_tags_pruned(asked, table, 3, 4).collect()] == [("nobody", None, None, None, None)]
+
+
 def test_unknown_and_zero_queries(spark, some):
     asked = spark.createDataFrame([("nobody",), ("t7",)], "token string")
     rows = vectors.similar_tags(asked, some, 3).collect()

@@ -1013,6 +1013,7 @@ UNION ALL SELECT 'accepted', count(*) FROM prepared""",
     }
     for name in ("encode_tags", "sft_set"):
         sql[f"{name}_joined"] = sql[name]
+    sql["cosine_topk_pruned"] = sql["cosine_topk"]
     sql["merged_tag_counts"] = sql["tag_frequency"]
     for name in ("quality_bands", "tags_per_post"):
         sql[f"merged_{name}"] = sql[name]

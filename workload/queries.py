@@ -26,6 +26,7 @@ from tagloom.operators import summary as totals
 from tagloom.operators.encode import decode, decoder, unknown_tags
 from tagloom.operators.kmeans import fit_clusters
 from tagloom.operators.select import select_where
+from tagloom.operators.similar import similar_tags_pruned
 from tagloom.operators.split import head, train_test_split
 from tagloom.operators.vocabulary import (
     VocabularyParams,
@@ -607,6 +608,14 @@ def _digests(found: DataFrame) -> DataFrame:
     return shown.mapInArrow(run, "id bigint, ids string, digests string")
 
 
+@query
+def cosine_topk_pruned(c: Corpus) -> DataFrame:
+    """The same, of all shards that may hold one of the k best."""
+    asked = c.vocab.where(F.col("token_id") % 20 == 0).select("token")
+    found = similar_tags_pruned(asked, c.vectors, TOP_K)
+    return found.select("query", "rank", "token", F.round("similarity", 6).alias("similarity"))
+
+
 @query
 def vector_lookup(c: Corpus) -> DataFrame:
     """Per post a digest of all components of each of its tags' vectors; unknown ids have none."""
