@@ -30,7 +30,7 @@ from tagloom.llm.quality import remainder
 
 #: A chunk has some CHUNK_BYTES of text; a longer text is a chunk alone.
 CHUNK_BYTES = 16_000_000
-_WINDOWS_AT_ONCE = 2_000_000
+_WINDOWS_AT_ONCE = 1_000_000
 #: Bytes of the longest contexts; a key has the length of its context at this bit, above its bytes.
 DEPTH, _ORDER_AT = 4, 40
 #: Bytes that occur in no UTF-8 text: before and after a text.
@@ -160,19 +160,19 @@ class ContextModel:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text and its end."""
-        sums = [np.zeros(1)]
+        found = np.zeros(len(texts))
+        # The windows of a text are those that end in it; the first `depth` bytes of all end none.
+        lengths = np.array([len(t) + 1 + self.depth for t in texts], np.int64)
+        begin = np.maximum(np.cumsum(lengths) - lengths - self.depth, 0)
+        at = 0
         for windows, real in _slices(texts, self.depth):
             codes, distinct = pd.factorize(windows)
-            sums.append(np.where(real, self.log10(distinct)[codes], 0.0))
-        # Sums per text, each of its own windows.
-        each = np.concatenate(sums)[1:]
-        lengths = np.array([len(t) + 1 + self.depth for t in texts], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        if not len(texts):
-            return np.zeros(0)
-        # The windows of a text are those that end in it; the first `depth` bytes of all end none.
-        bounds = np.maximum(starts - self.depth, 0)
-        return np.add.reduceat(np.append(each, 0.0), np.minimum(bounds, len(each)))
+            share = np.where(real, self.log10(distinct)[codes], 0.0)
+            first = np.searchsorted(begin, at, side="right") - 1
+            last = np.searchsorted(begin, at + len(share))
+            found[first:last] += np.add.reduceat(share, np.maximum(begin[first:last] - at, 0))
+            at += len(share)
+        return found
 
 
 def _key(lower: bytes, doc_id: str | None) -> tuple[int, int]:
