@@ -114,6 +114,98 @@ def test_viterbi_equals_trying_all_paths():
         assert value(got, s) == pytest.approx(best)
 
 
+def test_likelihood_equals_sums_over_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    count = len(personal_data.LABELS)
+    trans = rng.normal(size=(count, count)) + personal_data._allowed()
+    emit = rng.normal(size=(3, 3, count))
+    lengths, labels = np.array([1, 2, 3]), np.array([[1, 0, 0], [3, 4, 0], [0, 5, 6]])
+
+    def one(row, path):
+        return sum(emit[row, t, y] + trans[path[t - 1] if t else 0, y] for t, y in enumerate(path))
+
+    def brute():
+        value = 0.0
+        for row, n in enumerate(lengths):
+            ways = [one(row, p) for p in itertools.product(range(count), repeat=int(n))]
+            value += one(row, labels[row, :n]) - math.log(sum(map(math.exp, ways)))
+        return value
+
+    value, by_place, by_step = personal_data.likelihood(emit, lengths, labels, trans)
+    assert value == pytest.approx(brute())
+    h = 1e-5
+    for table, grad, at in [(emit, by_place, (0, 0, 1)), (emit, by_place, (2, 1, 5)), (emit, by_place, (1, 1, 0)),
+                            (trans, by_step, (0, 5)), (trans, by_step, (3, 4)), (trans, by_step, (0, 1))]:
+        table[at] += h
+        up = brute()
+        table[at] -= 2 * h
+        down = brute()
+        table[at] += h
+        assert grad[at] == pytest.approx((up - down) / (2 * h), abs=1e-5)
+    assert not by_place[0, 1:].any() and not by_place[1, 2:].any()
+
+
+#: Marked lines the field is not trained on.
+UNSEEN = (
+    "please call {phone:(312) 555-0186} tomorrow",
+    "her phone: {phone:404-555-0152}.",
+    "tel {phone:415-555-\n0177} or",
+    "fax {phone:0113 496 0999} London",
+    "phone {phone:503 - 555 - 0120} again",
+    "write to {email:carol at example.net} soon",
+    "mail {email:bob.ray (at) example.org} first",
+    "contact {email:helga at example dot com} today",
+    'a token = "{secret:1b6453892473a467d07372d45eb05abc2031647a}" there',
+    "password={secret:f0e1d2c3b4a5968778} then",
+    "DB_PASSWORD = '{secret:q7W3e9R1t5Y8}'",
+    "api_key: {secret:0a1b2c3d4e5f60718293a4b5c6d7e8f9} used",
+    "twice {card:4111111111111111} {card:4111111111111111} here",
+    "token = {secret:aa11bb22cc33dd44ee55ff66}",
+    "commit ac3478d69a3c81fa62e60f5c3696165a4e5e6ac4 of may",
+    "md5: 5eb63bbbe01eeed093cb22bb8f5acdc3",
+    "from 1871 - 1914 and 12 - 14",
+    "a report of 2014, page 12, with 3,500 rows",
+    "it was at example.com in 2020",
+    "version 4.1.2 came on 2023-04-05 at 12:45",
+    "id=20230405 size=1024 and width=88",
+    "item 7 costs 3.99 or 12 for 40",
+)
+
+
+def test_the_field_on_marked_lines_not_learnt_from():
+    assert not set(UNSEEN) & set(personal_data.EXAMPLES)
+    texts, marked = zip(*map(personal_data.read_marked, UNSEEN), strict=True)
+    found = personal_data.field_spans(list(texts), personal_data.train())
+    wanted = {(i, s) for i, spans in enumerate(marked) for s in spans}
+    got = {(i, s) for i, spans in enumerate(found) for s in spans}
+    assert len(wanted & got) >= 0.85 * len(wanted), wanted - got
+    assert len(wanted & got) >= 0.85 * len(got), got - wanted
+
+
+def test_secrets_are_spans_beside_the_base_ones(spark):
+    text = 'x token = "11acdfb36bb72224148e6160f674b4be45601bff" y a.b@c.de'
+    row = personal_data.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["spans"] == "email:55:63,secret:11:51" and row["n_spans"] == 2
+    assert row["base_sha256"] == hashlib.sha256(b"email:55:63").hexdigest()
+    assert row["masked"] == 'x token = "<secret>" y <email>'
+
+
+def test_windows_cover_every_hint_once():
+    pick = random.Random(5)
+    made = ["".join(pick.choice("ab1@. \n" + "x" * 30) for _ in range(pick.choice([3, 200, 3000]))) for _ in range(300)]
+    for text in [*made, "9 " * 70_000, "word " * 50 + "7" + "y" * 100_000]:
+        places = [s for tokens in personal_data._windows(text) for s in tokens]
+        assert all(b <= c for (_, b), (c, _) in zip(places, places[1:], strict=False))
+        starts = np.array([a for a, _ in places])
+        for m in re.finditer("[0-9@]", text):
+            a, b = places[int(np.searchsorted(starts, m.start(), side="right")) - 1]
+            assert a <= m.start() < b
+            whole = personal_data._TOKEN.match(text, a)
+            assert whole.end() == b  # tokens are never cut
+
+
 def test_license_places_and_templates(spark):
     texts = [
         "Apache License. Licensed under the Apache-License, the License, Version 2.0!",
