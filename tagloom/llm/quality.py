@@ -79,7 +79,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def _terms(word: bytes) -> int:
     """Term of a word and term of its shape, packed into one number."""
     plain = word.lower().strip(b".,;:!?")
-    shape = _RUN.sub(rb"\1", word[:40].translate(_CLASSES))
+    shape = _RUN.sub(rb"\1", word.translate(_CLASSES))
     a = xxhash.xxh3_64_intdigest(plain) % WORD_TERMS
     b = xxhash.xxh3_64_intdigest(shape, seed=1) % SHAPE_TERMS
     return a << 32 | b
