@@ -191,6 +191,26 @@ def test_pipeline_drops_copies_over_four_fifths(spark):
     assert kept == sorted(set(least)) and len(kept) < len(texts)
 
 
+def test_pipeline_stages_take_empty_tables_and_odd_rows(spark, odd_docs):
+    odd = odd_docs.withColumn("_key", F.lit("k")).withColumn("a.b", F.lit(None).cast("string"))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SMALL).count() == 0, name
+        made = stage(spark, odd, SMALL)
+        if name != "BPE encoding":
+            assert made.columns == odd.columns, name
+        left[name] = Counter(r["doc_id"] for r in made.collect())
+    every = Counter(r["doc_id"] for r in odd.collect())
+    assert all(not found - every for found in left.values())
+    # 2 and the null id have the text of 1; 4 has none, as 3, and a blank is no empty text.
+    assert left["exact dedup"] == Counter([1, 3, 5, 6, 7, 8])
+    # Texts without words are linked with nothing; repeated rows are one, 7 is nearly 6.
+    assert left["n-gram Jaccard join"] == Counter([1, 3, 4, None, 5, 6, 8])
+    assert left["benchmark decontamination"] == left["BPE encoding"] == every
+    good = left["quality classifier"]
+    assert good[2] in (0, 2) and len({good[i] > 0 for i in (3, 4, 5)}) == 1
+
+
 def test_components_of_paths_and_hubs(spark):
     path = [(i, i + 1) for i in range(0, 40)]
     hub = [(100, i) for i in range(101, 160)]
