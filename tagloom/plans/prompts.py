@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tagloom import constants as C
 from tagloom.functions.prompts import finetune_prompt, pretrain_prompt
-from tagloom.functions.text import iso_year, split_tags, tokenize
+from tagloom.functions.text import iso_year, split_tags, tokenize, wide_commas
 from tagloom.operators.clean import (
     exceeds_floor,
     with_general_tags,
@@ -86,7 +86,9 @@ def _section_keys() -> Column:
 
     def keys(column: str) -> Column:
         text = F.col(column)
-        return F.concat(tokenize(text), F.flatten(F.transform(split_tags(text), tokenize)))
+        apart = F.concat(tokenize(text), F.flatten(F.transform(split_tags(text), tokenize)))
+        # With plain commas the tags apart are those of the whole text.
+        return F.when(wide_commas(text), apart).otherwise(tokenize(text))
 
     return F.array_distinct(F.concat(keys("copyright"), keys("character")))
 

@@ -31,3 +31,25 @@ def test_posts_are_hashed_not_sorted(spark, sf_dir):
     assert "SortMergeJoin" not in text and text.count("ShuffledHashJoin") == 3
     # The joined tags are never moved.
     assert not [x for x in text.splitlines() if "Exchange" in x and "o_custkey" in x and "general" in x]
+
+
+def test_tokens_of_odd_texts(spark):
+    texts = ["", ",", "a", "A, b", "a,b,, c", "a,  b", " a,b ", "a,\tb,　c", "a , b", ", ,a", "a,\n, b", ",,", "a,  b"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    rows = df.select("text", tokenize(F.col("text")).alias("t")).collect()
+    for row in rows:
+        wanted = None if row["text"] is None else [t for t in re.split(TOKEN_SEPARATOR, row["text"].lower()) if t]
+        assert row["t"] == wanted
+    # Texts of plain commas are cut without a pattern.
+    assert "split(replace(" in plan(df.select(tokenize(F.col("text"))))
+
+
+def test_section_keys_of_odd_texts(spark):
+    texts = ["a, b", "a,  b", "a, \tb,c", "a,\nb", "", ", a", "b,,  c"]
+    df = spark.createDataFrame([(t, u) for t in texts for u in texts], "copyright string, character string")
+    for row in df.select("copyright", "character", _section_keys().alias("k")).collect():
+        wanted = set()
+        for text in (row["copyright"], row["character"]):
+            for part in (text, *text.split(", ")):
+                wanted.update(t for t in re.split(TOKEN_SEPARATOR, part) if t)
+        assert set(row["k"]) == wanted and len(row["k"]) == len(wanted)
