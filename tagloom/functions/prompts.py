@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagloom import constants as C
-from tagloom.functions.text import strip
+from tagloom.functions.text import held, strip
 
 
 def _head(copyright: Column, character: Column, rating: Column, aspect: Column, length: Column):
@@ -84,17 +85,24 @@ def cut_sections(tokens: Column, end_marks: Sequence) -> Column:
 
     A part is null when its mark, or one before it, is missing.
     """
-    parts = []
-    begin = F.lit(1)
-    for i, mark in enumerate(end_marks):
-        rest = F.slice(tokens, begin, F.size(tokens))
-        at = F.array_position(rest, F.lit(mark)).cast("int")
-        found = F.when(at > 0, at)
-        parts.append(
-            F.when(found.isNotNull(), F.slice(tokens, begin, found - 1)).alias(f"part_{i}")
-        )
-        begin = begin + found
-    return F.struct(*parts)
+
+    def after(starts: Column, mark: Column) -> Column:
+        begin = F.element_at(starts, -1)
+        at = F.array_position(F.slice(tokens, begin, F.size(tokens)), mark).cast("int")
+        return F.concat(starts, F.array(begin + at))
+
+    def cut(starts: Column) -> Column:
+        def part(i: int) -> Column:
+            begin, end = F.get(starts, F.lit(i)), F.get(starts, F.lit(i + 1))
+            found = reduce(Column.__and__, (F.get(starts, F.lit(j + 1)) > F.get(starts, F.lit(j)) for j in range(i + 1)))
+            return F.when(found, F.slice(tokens, begin, end - begin - 1)).alias(f"part_{i}")
+
+        return F.struct(*(part(i) for i in range(len(end_marks))))
+
+    # Each start builds on the one before; written out, every one would compute all earlier ones
+    # several times over. A start that does not move tells that its mark is missing.
+    marks = F.array(*(F.lit(m) for m in end_marks))
+    return held(F.aggregate(marks, F.array(F.lit(1)), after), cut)
 
 
 def reorder_sections(
