@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.constants import IGNORE_LABEL, MASK_RATE, MAX_LENGTH
 from tagloom.functions.draws import PRIME, positional_sql
+from tagloom.functions.text import held
 
 
 def _ignore() -> Column:
@@ -75,8 +76,10 @@ def masked_token_labels(
             F.when(chosen, x).otherwise(_ignore()).alias("label"),
         )
 
-    pairs = F.transform(drawn, one)
-    return F.struct(
-        F.transform(pairs, lambda p: p["input_id"]).alias("input_ids"),
-        F.transform(pairs, lambda p: p["label"]).alias("labels"),
-    )
+    def both(pairs: Column) -> Column:
+        return F.struct(
+            F.transform(pairs, lambda p: p["input_id"]).alias("input_ids"),
+            F.transform(pairs, lambda p: p["label"]).alias("labels"),
+        )
+
+    return held(F.transform(drawn, one), both)

@@ -60,6 +60,12 @@ def test_sections_of_odd_lists(spark, tokens, wanted):
     assert tuple(found) == wanted
 
 
+def test_masked_labels_draw_once(spark):
+    df = spark.range(3).select("id", F.sequence(F.lit(1), F.col("id") + 5).cast("array<int>").alias("ids"))
+    both = df.select("id", L.masked_token_labels("ids", [0], 1, 50, 7).alias("both"))
+    assert plan(both.select("both.input_ids", "both.labels")).count("md5(") == 1
+
+
 def test_tokens_of_odd_texts(spark):
     texts = ["", ",", "a", "A, b", "a,b,, c", "a,  b", " a,b ", "a,\tb,　c", "a , b", ", ,a", "a,\n, b", ",,", "a,  b"]
     df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
