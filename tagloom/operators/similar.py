@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import held
 from tagloom.operators.kmeans import fit_clusters
 from tagloom.operators.vectors import nearest, unit
 from tagloom.sources.staging import staged
@@ -68,7 +69,8 @@ def sharded(vectors: DataFrame, n_pivots: int, max_iter: int = 10, seed: int = 1
     """token_id, token, embedding, shard, stored; and what the shards are. Centres of at most
     `n_pivots` shards are the only thing that reaches the driver."""
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    scaled = F.transform("embedding", lambda x: F.try_divide(x.cast("double"), length).cast("float"))
+    # The length is held, or every component would compute it again.
+    scaled = held(length, lambda n: F.transform("embedding", lambda x: F.try_divide(x.cast("double"), n).cast("float")))
     units = vectors.where(length > 0).select("token_id", "token", scaled.alias("embedding"))
     centres = fit_clusters(units, n_pivots, 1, max_iter, seed).centres
     pivots = unit(centres)

@@ -86,3 +86,17 @@ def test_section_keys_of_odd_texts(spark):
             for part in (text, *text.split(", ")):
                 wanted.update(t for t in re.split(TOKEN_SEPARATOR, part) if t)
         assert set(row["k"]) == wanted and len(row["k"]) == len(wanted)
+
+
+def test_lengths_are_not_made_per_component(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(similar, "fit_clusters", lambda units, *a: made.append(units) or similar_stop())
+    df = spark.createDataFrame([(0, "a", [1.0, 2.0])], "token_id int, token string, embedding array<float>")
+    with pytest.raises(StopIteration):
+        similar.sharded(df, 2)
+    scaled = re.search(r"transform\(array\(sqrt\(aggregate|transform\(array\(SQRT\(aggregate", plan(made[0]))
+    assert scaled and made[0].first()["embedding"] == pytest.approx([0.4472136, 0.8944272])
+
+
+def similar_stop():
+    raise StopIteration
