@@ -88,6 +88,30 @@ def test_section_keys_of_odd_texts(spark):
         assert set(row["k"]) == wanted and len(row["k"]) == len(wanted)
 
 
+def test_nearest_takes_slices_of_a_shard(monkeypatch):
+    draw = np.random.default_rng(3)
+    matrix = draw.normal(size=(9000, 4)).astype(np.float32)
+    matrix[8000:8600] = matrix[:600]  # equal ones in different slices
+    matrix[5] = 0
+    ids = draw.permutation(9000)
+    found = pd.DataFrame({"token_id": ids, "token": [f"t{i}" for i in ids], "embedding": list(matrix)})
+    asked = pd.DataFrame({"query": [f"t{i}" for i in ids[:700]], "wanted": list(matrix[:700])})
+    widths, first_k = [], vectors._first_k
+
+    def seen(sim, *rest):
+        widths.append(sim.shape[1])
+        return first_k(sim, *rest)
+
+    monkeypatch.setattr(vectors, "_first_k", seen)
+    made = vectors.nearest(asked, found, 7)
+    assert max(widths) <= 4096
+    units = vectors.unit(matrix.astype(np.float64))
+    for at in (0, 5, 300, 699):
+        sim = np.round(units @ units[at], 9)
+        order = np.lexsort((ids, np.where(np.isnan(sim), np.inf, -sim)))[:7]
+        assert made.iloc[at * 7 : at * 7 + 7]["token_id"].tolist() == ids[order].tolist()
+
+
 def test_lengths_are_not_made_per_component(spark, monkeypatch):
     made = []
     monkeypatch.setattr(similar, "fit_clusters", lambda units, *a: made.append(units) or similar_stop())
