@@ -88,7 +88,9 @@ def _sums(points: DataFrame, runs: dict[int, np.ndarray]) -> dict[int, tuple[np.
                     near = part.argmin(axis=1)
                     n[begin:end] += np.bincount(near, minlength=end - begin)
                     cost[begin:end] += np.bincount(near, part[np.arange(len(near)), near], end - begin)
-                    np.add.at(total[begin:end], near, some)
+                    hits = np.zeros((end - begin, len(near)))
+                    hits[near, np.arange(len(near))] = 1.0
+                    total[begin:end] += hits @ some
         task = TaskContext.get().partitionId()
         columns = [
             np.repeat(list(runs), np.diff(np.append(0, ends))),

@@ -124,3 +124,10 @@ def test_lengths_are_not_made_per_component(spark, monkeypatch):
 
 def similar_stop():
     raise StopIteration
+
+
+def test_cluster_check_joins_vectors_once(spark, sf_dir, monkeypatch):
+    made, vectors_of = [], Corpus.vectors.fget
+    monkeypatch.setattr(Corpus, "vectors", property(lambda self: made.append(1) or vectors_of(self)))
+    found = Q.kmeans_map(corpus(spark, sf_dir))
+    assert len(made) == 1 and found.where("not (in_range and nearest and cheapest)").isEmpty()
