@@ -4,13 +4,16 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tagloom.functions import labels as L
 from tagloom.functions import prompts as P
 from tagloom.functions.text import TOKEN_SEPARATOR, tokenize
-from tagloom.operators import similar, vectors
+from tagloom.operators import requests, similar, vectors
+from tagloom.operators.requests import Made
 from tagloom.plans.prompts import _section_keys
 from workload import queries as Q
 from workload.corpus import Corpus, corpus, derive_posts
@@ -131,3 +134,58 @@ def test_cluster_check_joins_vectors_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(Corpus, "vectors", property(lambda self: made.append(1) or vectors_of(self)))
     found = Q.kmeans_map(corpus(spark, sf_dir))
     assert len(made) == 1 and found.where("not (in_range and nearest and cheapest)").isEmpty()
+
+
+def test_looked_up_vectors_stay_in_the_task_that_fills_them(spark, sf_dir):
+    text = plan(Q.vector_lookup(corpus(spark, sf_dir)))
+    assert text.count("FlatMapCoGroupsInArrow") == 1 and "MapInArrow" not in text
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 15])
+def test_digests_of_looked_up_vectors(spark, monkeypatch, cells):
+    monkeypatch.setattr(Q, "DIGEST_CELLS", cells)
+    draw = np.random.default_rng(5)
+    known = {i: draw.normal(size=3).astype(np.float32) for i in (0, 1, 2, 7)}
+    some = spark.createDataFrame([(i, v.tolist()) for i, v in known.items()], "token_id int, embedding array<float>")
+    lists = [(1, [7, 0, 7]), (1, [7, 0, 7]), (2, [5, 1]), (3, [5]), (4, []), (5, None), (None, [None, 2])]
+    rows = spark.createDataFrame(lists, "id long, ids array<int>").repartition(2)
+    made = vectors.lookup_vectors(rows, "ids", some, "digests", Made(Q._digests, StringType()))
+
+    def digest(i):
+        whole = np.floor(known[i].astype(np.float64) * 10_000 + 0.5).astype(int) if i in known else None
+        return "-" if whole is None else str(whole @ [1, 2, 3])
+
+    wanted = [(i, ids, " ".join(digest(x) for x in ids or [])) for i, ids in lists]
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, wanted))
+
+
+def test_digests_of_no_vectors():
+    lists = pa.array([[None, None], [], None], pa.list_(pa.list_(pa.float32())))
+    assert Q._digests(lists).to_pylist() == ["- -", "", ""]
+    assert Q._digests(lists.slice(0, 0)).to_pylist() == []
+
+
+@pytest.mark.parametrize(
+    ("name", "n_columns"),
+    [
+        ("vector_lookup", 2),
+        ("encode_tags", 2),
+        ("encode_tags_joined", 2),
+        ("drop_unknown", 2),
+        ("mlm_labels", 2),
+        ("unknown_reject", 3),
+    ],
+)
+def test_requests_carry_the_columns_in_use(spark, sf_dir, monkeypatch, name, n_columns):
+    carried, staged = [], requests.staged
+
+    def seen(table, *rest):
+        carried.append(len(table.schema["row"].dataType))
+        return staged(table, *rest)
+
+    monkeypatch.setattr(requests, "staged", seen)
+    c = Corpus(spark, sf_dir)
+    c.posts, c.vocab = corpus(spark, sf_dir).posts, corpus(spark, sf_dir).vocab
+    c.encoder = c.joined_encoder
+    getattr(Q, name)(c)
+    assert carried[0] == n_columns
