@@ -141,6 +141,43 @@ def test_looked_up_vectors_stay_in_the_task_that_fills_them(spark, sf_dir):
     assert text.count("FlatMapCoGroupsInArrow") == 1 and "MapInArrow" not in text
 
 
+@pytest.mark.parametrize(
+    "lists",
+    [
+        [[1.0, 2.0], [3.0, None], [5.0, 6.0]],
+        [[1.0], [2.0, 3.0], []],
+        [[], [], []],
+        [[1.0], None, [2.0]],
+        [None, None, None],
+    ],
+)
+def test_lists_of_any_length_are_taken(lists):
+    kind = pa.list_(pa.field("element", pa.float32()))
+    values = pa.array([[9.0], *lists], kind).slice(1)
+    places = [2, None, 0, 0, 1]
+    found = requests._taken(values, pa.array(places, pa.int32()))
+    wanted = [None if i is None else lists[i] for i in places]
+    assert found.type == kind and found.to_pylist() == wanted
+    flat = [x for v in wanted for x in v or []]
+    assert found.flatten().to_pylist() == flat
+    none = requests._taken(values.slice(0, 0), pa.array([None], pa.int32()))
+    assert none.type == kind and none.to_pylist() == [None]
+
+
+def test_lists_of_one_length_are_taken_as_blocks(monkeypatch):
+    made, blocks = [], pa.FixedSizeListArray
+
+    class Seen:
+        @staticmethod
+        def from_arrays(*args):
+            made.append(args[1])
+            return blocks.from_arrays(*args)
+
+    monkeypatch.setattr(requests.pa, "FixedSizeListArray", Seen)
+    requests._taken(pa.array([[1.0, 2.0], [3.0, 4.0]]), pa.array([1]))
+    assert made == [2]
+
+
 @pytest.mark.parametrize("cells", [1, 1 << 15])
 def test_digests_of_looked_up_vectors(spark, monkeypatch, cells):
     monkeypatch.setattr(Q, "DIGEST_CELLS", cells)
